@@ -48,6 +48,7 @@ class WordBpe:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         # Fixed value: the pattern in the file's pre-tokenizer; what it does not match is dropped.
         self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.run = regex.compile(r"\S+")
         self.joined = self._joined_pairs()
         #: Runs without white space → (ids as little-endian bytes, decoded bytes).
         self.chunks: dict[str, tuple[bytes, bytes]] = {}
@@ -95,18 +96,20 @@ class WordBpe:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # one character at a time, as the library does: no final sigma
-        chunks = text.split() if text.isascii() and not regex.search("[\x1c-\x1f]", text) else regex.split(r"\s+", text)
+        # str.split also cuts at four control characters that are no white space to the library.
+        chunks = self.run.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        if not chunks:
+            return
         known = self.chunks
         if len(known) >= MEMORY:
             known.clear()
-        new: dict[str, tuple[bytes, bytes]] = {}
+        long: dict[str, tuple[bytes, bytes]] = {}
         for c in set(chunks):
             if c not in known:
-                (known if len(c) <= LONGEST else new)[c] = self._chunk(c)
-        for pair in map(known.__getitem__, chunks) if not new else (known.get(c) or new[c] for c in chunks):
-            if pair[0]:
-                out.append(pair[0])
-                said.append(pair[1])
+                (known if len(c) <= LONGEST else long)[c] = self._chunk(c)
+        ids, words = zip(*((known.get(c) or long[c] for c in chunks) if long else map(known.__getitem__, chunks)))
+        out.extend(ids)
+        said.extend(words)
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian 32-bit numbers, the text they decode to in UTF-8)."""
