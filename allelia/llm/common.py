@@ -73,12 +73,12 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         yield part, [t or "" for t in part.column(at).to_pylist()]
 
 
-def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None], column: str = "text"):
+def per_slice(fn: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | None], column: str = "text", limit: int = SLICE_BYTES):
     """A ``mapInArrow`` function that applies ``fn`` to each slice of :func:`text_slices`."""
 
     def run(batches):
         for batch in batches:
-            for part, texts in text_slices(batch, column):
+            for part, texts in text_slices(batch, column, limit):
                 out = fn(part, texts)
                 if out is not None and out.num_rows:
                     yield out

@@ -31,13 +31,20 @@ REJECT_BELOW = 0.15
 
 _LETTER = regex.compile(r"\p{L}")
 _NON_LETTERS = regex.compile(r"[^\p{L}]+")
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_ASCII = bytes(b if chr(b).isalpha() else 32 for b in range(128)) + bytes(range(128, 256))
+#: Bytes of text that a worker's arrays cover at once.
+SLICE = 1 << 20
 
 
 def letters(text: str) -> bytes:
     """Lower-case letter runs, each with one space on both sides; empty if there is no letter."""
-    runs = _NON_LETTERS.sub(" ", text.lower()).strip(" ")
-    return f" {runs} ".encode() if runs else b""
+    lower = text.lower()
+    if lower.isascii():
+        runs = b" ".join(lower.encode().translate(_ASCII).split())
+    else:
+        runs = _NON_LETTERS.sub(" ", lower).strip(" ").encode()
+    return b" " + runs + b" " if runs else b""
 
 
 def ngram_codes(buf: np.ndarray, size: int) -> np.ndarray:
@@ -50,9 +57,12 @@ def ngram_codes(buf: np.ndarray, size: int) -> np.ndarray:
 
 
 def rows_of(code: np.ndarray, bits: int, hashes: int) -> list[np.ndarray]:
+    """The table's rows of each n-gram: fields of one mixed product (``bits`` times ``hashes`` within 64)."""
     with np.errstate(over="ignore"):
-        x = (code ^ (code >> np.uint64(29))) * _MIX[0]
-        return [((x ^ (x >> np.uint64(31))) * _MIX[1 + k % 3] + np.uint64(k)) >> np.uint64(64 - bits) for k in range(hashes)]
+        x = (code ^ (code >> np.uint64(29))) * _MIX
+    x ^= x >> np.uint64(32)
+    mask = np.uint64((1 << bits) - 1)
+    return [((x >> np.uint64(k * bits)) & mask).astype(np.int64) for k in range(hashes)]
 
 
 @dataclass
@@ -80,11 +90,12 @@ class LanguageFilters:
         for k, (code, rate) in enumerate(counts):
             share[k, np.searchsorted(every, code)] = rate
         inside = (share >= LEAST_SHARE) & (share >= LEAST_RATIO * share.max(axis=0, initial=0)) if len(names) else share > 0
-        table = np.zeros(1 << bits, np.uint64)
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(names) <= 8 * t().itemsize)
+        table = np.zeros(1 << bits, kind)
         for k in range(len(names)):
             for r in rows_of(every[inside[k]], bits, hashes):
-                table[r] |= np.uint64(1) << np.uint64(k)
-        full = np.array([((table >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(names))])
+                table[r] |= kind(1 << k)
+        full = np.array([((table >> kind(k)) & kind(1)).mean() for k in range(len(names))])
         return cls(names, table, full**hashes, tuple(sizes), hashes)
 
     def masks(self, code: np.ndarray) -> np.ndarray:
@@ -99,19 +110,20 @@ class LanguageFilters:
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text and language the corrected share of known n-grams; and the n-grams of each text."""
         bufs = [letters(t) for t in texts]
-        ends = np.cumsum([len(b) for b in bufs])
-        buf = np.frombuffer(b"".join(bufs), np.uint8)
+        size = np.array([len(b) for b in bufs], np.int64)
         hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        owner = np.repeat(np.arange(len(texts)), [len(b) for b in bufs])
-        for s in self.sizes:
-            code = ngram_codes(buf, s)
-            at = np.arange(len(code))
-            own = owner[: len(code)]
-            whole = at + s <= ends[own] if len(code) else np.zeros(0, bool)
-            own, mask = own[whole], self.masks(code[whole])
-            total += np.bincount(own, minlength=len(texts))
+        has = np.flatnonzero(size)
+        buf = np.frombuffer(b"".join(bufs) + bytes(8), np.uint8)
+        begin = (np.cumsum(size) - size)[has]
+        ends = begin + size[has]
+        kind = self.table.dtype.type
+        for s in self.sizes if len(has) else ():
+            mask = self.masks(ngram_codes(buf, s))[: ends[-1]]
+            for back in range(1, s):  # n-grams that leave their text
+                mask[np.maximum(ends - back, begin)] = 0
+            total[has] += np.maximum(size[has] - s + 1, 0)
             for k in range(len(self.languages)):
-                hits[:, k] += np.bincount(own[(mask >> np.uint64(k)) & np.uint64(1) == 1], minlength=len(texts))
+                hits[has, k] += np.add.reduceat((mask >> kind(k)) & kind(1), begin, dtype=np.int64)
         fp = self.false_positive
         share = (hits - total[:, None] * fp) / np.maximum(total[:, None] * (1 - fp), 1e-9)
         return np.clip(share, 0, 1), total
@@ -159,7 +171,7 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
         lang, score, known = shared.value.predict(texts)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(known)], ["doc_id", "lang_pred", "score", "known"])
 
-    return docs.select("doc_id", "text").mapInArrow(per_slice(run), "doc_id long, lang_pred string, score double, known double")
+    return docs.select("doc_id", "text").mapInArrow(per_slice(run, limit=SLICE), "doc_id long, lang_pred string, score double, known double")
 
 
 def keep_known(docs: DataFrame, filters: LanguageFilters, reject_below: float = REJECT_BELOW) -> DataFrame:
