@@ -18,7 +18,6 @@ BOS, EOS, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 #: A backslash goes behind the first character of each of these inside a text; backslashes are doubled before.
 CONTROL = r"(<)(/?s>)|(\[)(/?INST\])"
 LEARNED = "assistant"
-ROUNDS = 40
 
 
 def escape(text: Column) -> Column:
@@ -49,30 +48,35 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     spark = messages.sparkSession
     base = messages.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = base.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    up, path = stored(base.join(known, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("size")), "replies")
-    levels = []
-    for _ in range(ROUNDS):
-        levels.append((up, path))
-        if up.where("up is not null").isEmpty():
+    linked = base.join(known, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("size"))
+    state, path = stored(linked, "replies")
+    levels, paths_used = [], [path]
+    done = state.where("up is null")
+    for _ in range(state.count().bit_length() + 1):  # no path has more messages than there are
+        active = state.where("up is not null")
+        if active.isEmpty():
             break
-        far = up.select("conv_id", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("size").alias("_size"))
-        joined = up.join(far, ["conv_id", "up"], "left")
-        step = joined.select("conv_id", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"))
-        # A path can have no more messages than there are rounds of doubling; what is still unfinished is on a cycle.
-        up, path = stored(step, "replies")
-    whole = levels[-1][0].where("up is null")
+        levels.append(active)
+        # Only messages whose way up is not at its root yet are joined on; those at a root wait in ``done``.
+        far = active.unionByName(done).select("conv_id", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("size").alias("_size"))
+        step = active.join(far, ["conv_id", "up"]).select("conv_id", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("size") + F.col("_size")).alias("size"))
+        # What is never done is on a cycle, or replies to one.
+        state, path = stored(step, "replies")
+        paths_used.append(path)
+        done = done.unionByName(state.where("up is null"))
+    whole = done
     replied = base.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
     leaves = whole.join(replied, ["conv_id", "node"], "left_anti")
     rank = Window.partitionBy("conv_id").orderBy((F.col("score") / F.col("size")).desc(), F.col("node").desc())
     best = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
     on = best.select("conv_id", "branch", F.col("node").alias("leaf"), F.lit(0).cast("long").alias("step"), "node")
     on, on_path = stored(on, "paths")
-    for k, (level, _) in enumerate(levels[:-1]):
-        hop = on.join(level.where("up is not null").select("conv_id", "node", "up"), ["conv_id", "node"])
+    for k, level in enumerate(levels):
+        hop = on.join(level.select("conv_id", "node", "up"), ["conv_id", "node"])
         grown, grown_path = stored(on.unionByName(hop.select("conv_id", "branch", "leaf", (F.col("step") + (1 << k)).alias("step"), F.col("up").alias("node"))), "paths")
         discard(spark, on_path)
         on, on_path = grown, grown_path
-    for _, p in levels:
+    for p in paths_used:
         discard(spark, p)
     return on
 
