@@ -3,7 +3,7 @@
 Winnowing picks anchors: word runs of which every window of ``size`` words holds at least one, by content alone, so
 that equal passages have equal anchors. Documents are joined on the anchors. Each anchor that occurs again is a seed
 and is extended both ways over all windows that hold it: first as one block, which settles the inside of a long
-repeat at once; where the block differs, window by window. Matching goes through counts of equal content, never
+repeat at once; where the block differs, by each window that has the seed as its least run. Matching goes through counts of equal content, never
 through pairs of documents. Windows that match are merged into the maximal repeats, and their words are removed.
 """
 
@@ -58,18 +58,23 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
+def _least_runs(w: Words, hashes: np.ndarray, size: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text of each word; for each window the least hash of its runs, 0 where it leaves its text; the hash of each run."""
+    n, own = len(hashes), w.text_of()
+    if n < size:
+        return own, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    runs = Rolling(hashes, _BASES[0]).of(np.arange(n - run + 1), np.arange(run, n + 1)) | np.uint64(1)
+    least = _sliding(runs, size - run + 1, np.minimum)
+    return own, np.where(own[: len(least)] == own[size - 1 :], least, np.uint64(0)), runs
+
+
 def anchors(w: Words, hashes: np.ndarray, size: int, run: int) -> np.ndarray:
     """Places (words of the buffer) at which a least run of some window begins; ties all count."""
-    n, span = len(hashes), size - run + 1
-    if n < size:
+    _, least, runs = _least_runs(w, hashes, size, run)
+    if not len(least):
         return np.zeros(0, np.int64)
-    h = Rolling(hashes, _BASES[0]).of(np.arange(n - run + 1), np.arange(run, n + 1)) | np.uint64(1)
-    doc = w.text_of()
-    least = _sliding(h, span, np.minimum)
-    least = np.where(doc[: len(least)] == doc[size - 1 :], least, np.uint64(0))  # windows that leave a document pick nothing
-    pad = np.zeros(span - 1, np.uint64)
-    best = _sliding(np.concatenate([pad, least, pad]), span, np.maximum)
-    return np.flatnonzero(best == h)
+    pad = np.zeros(size - run, np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), size - run + 1, np.maximum) == runs)
 
 
 def _keys() -> tuple[Column, Column]:
@@ -99,20 +104,17 @@ def _anchor_rows(docs: DataFrame, size: int, run: int) -> DataFrame:
 
 
 def _window_rows(docs: DataFrame, places: DataFrame, size: int, run: int) -> DataFrame:
-    """``(doc_id, mark, pos, a, b)``: two hashes of each window that holds an anchor in ``places(doc_id, mark, pos)``."""
-    span = size - run
+    """``(doc_id, mark, pos, a, b)``: two hashes of each window whose own least run is in ``places(doc_id, mark, pos)``."""
 
     def one(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         w = Words(texts)
         h = word_hashes(w)
         pos = part.column(part.schema.get_field_index("places"))
-        doc = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(pos)))
-        at = np.asarray(pos.flatten(), dtype=np.int64) + w.first[doc]
-        start = np.unique(at[:, None] - np.arange(span + 1))  # each window once
-        start = start[start >= 0]
-        start = start[start + size <= len(h)]
-        own = w.text_of()
-        start = start[own[start] == own[start + size - 1]] if len(start) else start
+        at = np.asarray(pos.flatten(), dtype=np.int64) + w.first[np.repeat(np.arange(len(pos)), np.asarray(pc.list_value_length(pos)))]
+        own, least, runs = _least_runs(w, h, size, run)
+        marked = np.full(len(runs), np.iinfo(np.uint64).max)
+        marked[at] = runs[at]
+        start = np.flatnonzero((_sliding(marked, size - run + 1, np.minimum) == least) & (least > 0)) if len(least) else np.zeros(0, np.int64)
         doc = own[start]
         take = pa.array(doc)
         a, b = (Rolling(h, base).of(start, start + size).view(np.int64) for base in _BASES)
@@ -135,7 +137,8 @@ def repeats(docs: DataFrame, size: int = SIZE, run: int = ANCHOR) -> DataFrame:
     words that are in a window whose words occur elsewhere."""
     span = size - run
     found = _anchor_rows(docs, size, run)
-    again = found.groupBy("seed").count().where("count > 1").select("seed")
+    # Stored, so that the join below is between two exchanges and Spark can split a seed that very many texts share.
+    again = materialize(found.groupBy("seed").count().where("count > 1").select("seed"), "again")
     seeds = materialize(found.join(again, "seed"), "seeds")
     kinds = materialize(seeds.groupBy("seed", "block").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "pos")).alias("one")), "blocks")
     # Blocks that occur again settle all their windows.
@@ -145,7 +148,7 @@ def repeats(docs: DataFrame, size: int = SIZE, run: int = ANCHOR) -> DataFrame:
     single = kinds.where("n = 1").select("seed").distinct()
     places = kinds.join(single, "seed", "left_semi").select("one.doc_id", "one.mark", "one.pos")
     windows = materialize(_window_rows(docs, places, size, run), "windows")
-    twice = windows.groupBy("a", "b").count().where("count > 1").select("a", "b")
+    twice = materialize(windows.groupBy("a", "b").count().where("count > 1").select("a", "b"), "twice")
     matched = windows.join(twice, ["a", "b"], "left_semi")
     ranges = ranges.union(matched.select("doc_id", "mark", F.col("pos").alias("from"), (F.col("pos") + size).alias("to")))
     return ranges.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))  # as long as one text at most
