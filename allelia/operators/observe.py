@@ -11,6 +11,8 @@ from ..functions.evidence import allele, error_rate, evidence_weight, usable_bas
 from ..params import Observing
 
 UNMAPPED, SECONDARY, SUPPLEMENTARY = 0x4, 0x100, 0x800
+#: Flags that a pileup leaves out besides: failed quality checks, duplicates.
+QC_FAIL, DUPLICATE = 0x200, 0x400
 
 
 def usable_alignments(alignments: DataFrame, min_mapq: int, skip: int = UNMAPPED | SECONDARY | SUPPLEMENTARY) -> DataFrame:
@@ -86,8 +88,10 @@ def best_per_read_site(obs: DataFrame, order: tuple[str, ...] = ("ordinal",)) ->
 
 def observations(alignments: DataFrame, sites: DataFrame, p: Observing = Observing()) -> tuple[DataFrame, DataFrame]:
     """(observations, counts): ``(read_id, snp_idx, snp_id, b, baseq, mapq, epsilon, weight, ordinal)``, and one row
-    ``(n_ref, n_alt, n_other)``. Without ``dedup`` mates that share a name keep both rows."""
-    seen = coded(observed_bases(usable_alignments(alignments, p.min_mapq), last_site_at(sites)), p)
+    ``(n_ref, n_alt, n_other)``. Without ``dedup`` mates that share a name keep both rows. A pileup scan also leaves
+    out failed and duplicate alignments."""
+    skip = UNMAPPED | SECONDARY | SUPPLEMENTARY | (QC_FAIL | DUPLICATE if p.scan == "pileup" else 0)
+    seen = coded(observed_bases(usable_alignments(alignments, p.min_mapq, skip), last_site_at(sites)), p)
     rows = weighted(seen.where("b <> 0"), p).select(F.col("name").alias("read_id"), "snp_idx", "snp_id", "b", "baseq", "mapq", "epsilon", "weight", "ordinal")
     if p.dedup:
         rows = best_per_read_site(rows)
@@ -139,3 +143,17 @@ def held_out(obs: DataFrame, fraction: float, salt: str) -> DataFrame:
 
     share = F.pandas_udf(place, "double", F.PandasUDFType.SCALAR)
     return reads.withColumn("validation", share(F.col("read_id").cast("string")) < fraction)
+
+
+def read_entries(obs: DataFrame, order: tuple[str, ...] = ("ordinal",)) -> DataFrame:
+    """``(read_id, entries)``: each read's observations in one array by site; as long as a read."""
+    rest = [F.col(c) for c in ("snp_idx", *order, "b", "weight")]
+    return obs.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("entries"))
+
+
+def require_all(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
+    """Inner join on ``key``; rows of ``left`` without a partner are an error when they are read."""
+    mark = right.withColumn("_there", F.lit(True))
+    j = left.join(mark, key, "left")
+    seen = F.when(F.col("_there"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"no {what} for "), F.col(key).cast("string"))))
+    return j.withColumn(key, seen).drop("_there")

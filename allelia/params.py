@@ -13,8 +13,8 @@ class Observing:
     eps_floor: float = 1e-4
     eps_ceiling: float = 0.49
     mapq_cap: int = 60
-    chunk_bp: int = 0
     dedup: bool = True
+    scan: str = "read"
 
 
 @dataclass(frozen=True)

@@ -21,9 +21,19 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root[app]
 
 
+def folder(spark: SparkSession) -> str:
+    """Where this application's tables are."""
+    return f"{shared_root(spark)}/allelia-{spark.sparkContext.applicationId}"
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete all tables of this application; results that are not written yet can no longer be read."""
+    discard(spark, folder(spark))
+
+
 def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/allelia-{tag}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

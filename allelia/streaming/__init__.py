@@ -1 +1 @@
-
+"""Nothing here: none of the engine's operators has streaming semantics, so it runs on tables only."""
