@@ -17,17 +17,21 @@ from pyspark.sql import functions as F
 from .common import per_slice
 
 #: Characters of an n-gram (a space marks a word's edge), buckets, size of a vector, words of a window and of a step.
-NGRAMS, BUCKETS, DIM, WINDOW, STEP = (3, 4, 5), 1 << 17, 8, 32, 16
+NGRAMS, BUCKETS, DIM, WINDOW, STEP = (3, 4, 5, 6), 1 << 17, 8, 32, 16
+#: Characters cut off both ends of a word that has others.
+EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…¡¿"
 #: The documented sample: labelled rows of each class, by least hash of doc_id.
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1000, 2000
 EPOCHS, BATCH, RATE, SEED = 30, 32, 0.15, 7
+#: Every so manieth text of the sample is kept from training, to set the scale and offset of the logits.
+CALIBRATION = 5
 
 
 class Bags:
     """The n-grams of several texts by distinct word, and the words by window; so a word said a hundred times weighs as one."""
 
     def __init__(self, texts: list[str]):
-        words = [list(dict.fromkeys(t.lower().split())) for t in texts]
+        words = [list(dict.fromkeys(w.strip(EDGES) or w for w in t.lower().split())) for t in texts]
         self.words = np.array([len(w) for w in words], np.int64)
         joined = " " + " ".join(" ".join(w) for w in words if w) + " "
         self.code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -71,6 +75,9 @@ class Model:
     loss: list[float] = field(default_factory=list)
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -60, 60)))
+
+    def logits(self, texts: list[str]) -> np.ndarray:
         bags = Bags(texts)
         total, count = np.zeros(bags.n_words + 1), np.zeros(bags.n_words + 1)
         for n in NGRAMS:
@@ -83,7 +90,22 @@ class Model:
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, text, logit)
         best[~np.isfinite(best)] = 0.0  # no words: an empty bag
-        return 1 / (1 + np.exp(-np.clip(best + self.bias, -60, 60)))
+        return best + self.bias
+
+
+def _bags_of(texts: list[str], step: int = 200) -> tuple[np.ndarray, ...]:
+    """(bucket of each n-gram by word, n-grams before each word, text, first word and end word of each window)."""
+    buckets, counts, windows, words = [], [], [], 0
+    for k in range(0, len(texts), step):
+        bags = Bags(texts[k : k + step])
+        pairs = [bags.grams(n) for n in NGRAMS]
+        word = np.concatenate([w for w, _ in pairs])
+        buckets.append(np.concatenate([b for _, b in pairs])[np.argsort(word, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(word, minlength=bags.n_words))
+        text, a, b = bags.windows()
+        windows.append((text + k, a + words, b + words))
+        words += bags.n_words
+    return np.concatenate(buckets), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), *(np.concatenate(x) for x in zip(*windows))
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -95,15 +117,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    bags = Bags(texts)
-    pairs = [bags.grams(n) for n in NGRAMS]
-    word = np.concatenate([w for w, _ in pairs]).astype(np.int32)
-    order = np.argsort(word, kind="stable")
-    bucket = np.concatenate([b for _, b in pairs]).astype(np.int32)[order]
-    edge = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=bags.n_words))])
-    del pairs, word, order
-    text, a, b = bags.windows()
-    begin, end = edge[a], edge[b]
+    bucket, edge, text, a, b = _bags_of(texts)
+    if not len(text):
+        return fit([], [])
     vec = rng.normal(0, 0.05, (BUCKETS, DIM))
     out = rng.normal(0, 0.3, (DIM, 2))
     bias = np.zeros(2)
@@ -112,15 +128,15 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     has = text[first]
     loss = []
     for _ in range(epochs):
-        flat = np.concatenate([[0.0], np.cumsum((vec @ (out[:, 1] - out[:, 0]))[bucket])])
-        logit = (flat[end] - flat[begin]) / np.maximum(end - begin, 1)
-        top = np.maximum.reduceat(logit, first)
+        score = (vec @ (out[:, 1] - out[:, 0])).astype(np.float32)
+        flat = np.concatenate([[0.0], np.cumsum(np.add.reduceat(score[bucket], edge[:-1]), dtype=np.float64)])
+        logit = (flat[b] - flat[a]) / np.maximum(edge[b] - edge[a], 1)
         pick = np.array([f + int(np.argmax(logit[f:g])) for f, g in zip(first, [*first[1:], len(text)])])
         total = 0.0
         for part in np.array_split(rng.permutation(len(has)), max(1, len(has) // BATCH)):
-            w = pick[part]
-            size = end[w] - begin[w]
-            ids = bucket[np.repeat(begin[w] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            w, goal = pick[part], y[has[part]]
+            size = edge[b[w]] - edge[a[w]]
+            ids = bucket[np.repeat(edge[a[w]] - np.cumsum(size) + size, size) + np.arange(size.sum())]
             row = np.repeat(np.arange(len(w)), size)
             mean = np.zeros((len(w), DIM))
             np.add.at(mean, row, vec[ids])
@@ -129,8 +145,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             d = p.copy()
-            d[np.arange(len(w)), y[has[part]]] -= 1
-            total -= np.log(p[np.arange(len(w)), y[has[part]]] + 1e-12).sum()
+            d[np.arange(len(w)), goal] -= 1
+            total -= np.log(p[np.arange(len(w)), goal] + 1e-12).sum()
             g_out, g_bias, g_mean = mean.T @ d / len(w), d.mean(axis=0), d @ out.T
             used, inverse = np.unique(ids, return_inverse=True)
             g_vec = np.zeros((len(used), DIM))
@@ -145,6 +161,34 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     return Model((vec @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]), loss)
 
 
+def fit_calibrated(texts: list[str], labels: list[int], share: float | None = None) -> Model:
+    """:func:`fit` on four fifths of the texts, then scale and offset by logistic regression on the other fifth, as if
+    label 1 had the given share. Where either part lacks a label, the plain fit on all texts."""
+    parts = [[(t, y) for k, (t, y) in enumerate(zip(texts, labels)) if (k % CALIBRATION == 0) == held] for held in (False, True)]
+    if any(len({y for _, y in p}) < 2 for p in parts):
+        return fit(texts, labels)
+    model = fit(*map(list, zip(*parts[0])))
+    x, y = model.logits([t for t, _ in parts[1]]), np.array([y for _, y in parts[1]], float)
+    weight = np.ones_like(y) if share is None else np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    unit = float(x.std()) or 1.0
+    design, prior = np.stack([x / unit, np.ones_like(x)], axis=1), np.array([1.0, 0.0])
+
+    def loss(theta: np.ndarray) -> float:  # a weak pull to scale 1 and offset 0 keeps separable parts finite
+        z = design @ theta
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.1 * ((theta - prior) ** 2).sum())
+
+    theta = prior
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -60, 60)))
+        grad = design.T @ (weight * (p - y)) + 0.2 * (theta - prior)
+        step = np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + 0.2 * np.eye(2), grad)
+        while loss(theta - step) > loss(theta) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        theta = theta - step
+    scale = max(float(theta[0]), 1e-3) / unit
+    return Model(model.weight * scale, model.bias * scale + float(theta[1]), model.loss)
+
+
 def fit_labelled(docs: DataFrame, labels: DataFrame, positive: int = SAMPLE_POSITIVE, negative: int = SAMPLE_NEGATIVE) -> Model:
     """Fit on ``docs(doc_id, text)`` labelled by ``labels(doc_id, toxic)``; null labels and texts teach nothing.
 
@@ -157,7 +201,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, positive: int = SAMPLE_POSI
     sample = rows.where(place <= share)  # about positive + negative ids: small enough to broadcast at any size
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null").select("doc_id", "text", "toxic").collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in found], [r["toxic"] for r in found])
+    return fit_calibrated([r["text"] for r in found], [r["toxic"] for r in found], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
