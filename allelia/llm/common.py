@@ -1,9 +1,7 @@
-"""Helpers that the training-data operators share: written tables, Arrow text, word buffers."""
+"""Helpers that the training-data operators share: Arrow text and word buffers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,44 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import discard, materialize, shared_root, stored  # noqa: F401
+
 #: Whitespace of the word pattern ``[^\x20\x09-\x0D]+``, as a Java character class and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: UTF-8 bytes that a Python worker handles at once; bounds its memory whatever the batch size.
-SLICE_BYTES = 4 << 20
-
-_own_root: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset, a temporary folder of this session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        _own_root[app] = "file://" + tempfile.mkdtemp(prefix="allelia-")
-    return _own_root[app]
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, survives lost executors."""
-    return stored(df, tag)[0]
-
-
-def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/allelia-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table of :func:`stored` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
+SLICE_BYTES = 2 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

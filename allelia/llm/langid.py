@@ -155,7 +155,9 @@ def fit_filters(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Language
         return LanguageFilters.fit([], [])
     place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5  # uniform from 0 to 1
     within = [(F.col("lang") == name) & (place <= sample_docs / n) for name, n in counts.items()]
-    sample = rows.where(reduce(or_, within)).select("lang", "text").collect()
+    # One row for each id, so that a repeated id cannot make the sample grow.
+    sample = rows.where(reduce(or_, within)).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.*").collect()
+    sample.sort(key=lambda r: (r["lang"], r["text"]))
     texts = [(r["text"], r["lang"]) for r in sample if _LETTER.search(r["text"])]
     return LanguageFilters.fit([t for t, _ in texts], [x for _, x in texts])
 

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from .common import Words, drop_ids, materialize, per_slice, tasks
-from .components import connected
 from .xxh import xxh64
 
 #: Words in a shingle, differing bits of a link, segments of the ring.

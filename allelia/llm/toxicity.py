@@ -192,14 +192,17 @@ def fit_calibrated(texts: list[str], labels: list[int], share: float | None = No
 def fit_labelled(docs: DataFrame, labels: DataFrame, positive: int = SAMPLE_POSITIVE, negative: int = SAMPLE_NEGATIVE) -> Model:
     """Fit on ``docs(doc_id, text)`` labelled by ``labels(doc_id, toxic)``; null labels and texts teach nothing.
 
+    Of several labels of a document the greater counts, of several texts the least.
+
     The sample is bounded and documented: about ``positive`` and ``negative`` rows, those with the least hash of
     doc_id; their whole texts are used."""
-    rows = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    rows = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
     share = F.when(F.col("toxic") == 1, positive / max(1, counts.get(1, 0))).otherwise(negative / max(1, counts.get(0, 0)))
     sample = rows.where(place <= share)  # about positive + negative ids: small enough to broadcast at any size
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null").select("doc_id", "text", "toxic").collect()
+    matched = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
+    found = matched.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit_calibrated([r["text"] for r in found], [r["toxic"] for r in found], counts.get(1, 0) / max(1, sum(counts.values())))
 

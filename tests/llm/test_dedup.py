@@ -7,7 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from allelia.llm import components, cuckoo, simhash
+from allelia.llm import cuckoo, simhash
+from allelia.operators.graph import connected
 from allelia.llm.xxh import xxh64
 
 NASTY = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, "ONE"), (6, "one two"), (7, "a b c d"), (8, "a  b\x0bc\x0cd"), (9, "É é"), (10, "x" * 5000 + " y z"), (11, "word " * 3000), (11, "word " * 3000), (12, "a b c d")]
@@ -51,7 +52,7 @@ def test_links_keep_every_component(spark, pairwise):
             fps.add(s if rnd.random() < 0.7 else s ^ (1 << rnd.randrange(64)))
     rows = {i: f for i, f in enumerate(sorted(fps))}
     df = spark.createDataFrame([(f - (1 << 64) * (f >> 63), i) for i, f in rows.items()], "fp long, rep long")
-    got = {r.node: r.root for r in components.connected(simhash.links(df, pairwise=pairwise)).collect()}
+    got = {r.node: r.root for r in connected(simhash.links(df, pairwise=pairwise)).collect()}
     want = {n: r for n, r in brute.components(rows).items()}
     assert {n: got.get(n, n) for n in rows} == want
 
@@ -68,8 +69,8 @@ def test_simhash_nasty_and_empty(spark):
 
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
-    assert {r.root for r in components.connected(edges).collect()} == {0}
-    assert components.connected(edges.limit(0)).count() == 0
+    assert {r.root for r in connected(edges).collect()} == {0}
+    assert connected(edges.limit(0)).count() == 0
 
 
 def test_exact_table(spark, sf_dir):
