@@ -6,7 +6,6 @@ from collections import defaultdict
 import brute
 import numpy as np
 import public_tokenizers
-import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
