@@ -46,3 +46,11 @@ def classify(edges: DataFrame, h: Hard = Hard(), s: Soft = Soft()) -> DataFrame:
     e = edges.where(F.col("distance_bp") <= h.max_distance).withColumn("edge_class", kind).withColumn("status", status)
     e = e.withColumn("conflicting", support & passes & ~F.col("sign_ok"))
     return e.withColumn("weak", F.col("status").isin("drop_weak_hard_support", "drop_weak_hard_confidence", "drop_high_hard_risk"))
+
+
+def risk_stats(classes: DataFrame, forest: DataFrame) -> DataFrame:
+    """One row: mean and greatest risk of the retained edges of ``forest(i, j, status)`` and of the soft ones; zeros if none."""
+    kept = forest.where("status = 'hard_retained'").select("i", "j", F.lit(True).alias("_kept"))
+    e = classes.join(kept, ["i", "j"], "left")
+    risk_of = {"retained": F.when(F.col("_kept"), F.col("risk")), "soft": F.when(F.col("edge_class").startswith("soft"), F.col("risk"))}
+    return e.agg(*(F.coalesce(f(c), F.lit(0.0)).alias(f"{n}_{k}_risk") for k, c in risk_of.items() for n, f in (("mean", F.avg), ("max", F.max))))

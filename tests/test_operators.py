@@ -285,6 +285,9 @@ def test_solver_is_exact_on_small_components_and_limited(spark):
         heuristic.setdefault(r.cand, {})[r.block] = r.z
     scores = [score(np.array([c[b] for b in range(n_blocks)])) for c in heuristic.values()]
     assert len(heuristic) == 21 and max(scores) >= 0.9 * max(score(np.array(s)) for s in itertools.product((1, -1), repeat=n_blocks))
+    steps = solve.trace(j, n_hyper, n_blocks, Solver(batch=3, iterations=120)).collect()
+    assert {r.step for r in steps} == {50, 100, 120} and len({r.root for r in steps}) * 3 * 3 == len(steps) and all(r.energy < 0 for r in steps if r.step == 120)
+    assert solve.trace(j.limit(0), n_hyper, n_blocks).count() == 0
     with pytest.raises(solve.TooLarge):
         solve.solve(j, n_hyper, n_blocks, Solver(max_nodes=10))
     assert solve.solve(j.limit(0), n_hyper, n_blocks).count() == 0
@@ -413,6 +416,8 @@ def test_reads_to_phases(spark, tmp_path):
     s = r.summary().first()
     assert (s.objective, s.disagreement, s.blocks, s.patterns) == (10.0, 0.0, 2, 1)
     assert {x.status for x in phasing.edge_statuses(r).collect()} == {"soft_bridge", "hard_retained"}
+    stats = risk.risk_stats(r.classes, phasing.edge_statuses(r)).first()
+    assert stats.mean_retained_risk == pytest.approx(0.23653688, abs=1e-7) and stats.max_soft_risk == pytest.approx(0.41640626, abs=1e-7)
     back = vcf.records(spark, f"{out}/phased.vcf").orderBy("pos").collect()
     assert [x.gt for x in back] in (["0|1", "0|1", "1|0", "1|0"], ["1|0", "1|0", "0|1", "0|1"]) and {x.ps for x in back} == {"10"}
     m = phasing.benchmark(spark, variants, f"{out}/phased.vcf", [f"own:{out}/phased.vcf"]).first()
