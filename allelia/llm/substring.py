@@ -145,7 +145,7 @@ def repeats(docs: DataFrame, size: int = SIZE, run: int = ANCHOR) -> DataFrame:
     settled = seeds.join(kinds.where("n > 1").select("seed", "block"), ["seed", "block"], "left_semi")
     ranges = settled.select("doc_id", "mark", F.greatest(F.col("pos") - span, F.lit(0)).alias("from"), (F.col("pos") + size).alias("to"))
     # Where a seed has a block of its own, its windows are compared one by one, with one block of each other kind.
-    single = kinds.where("n = 1").select("seed").distinct()
+    single = materialize(kinds.where("n = 1").select("seed").distinct(), "single")
     places = kinds.join(single, "seed", "left_semi").select("one.doc_id", "one.mark", "one.pos")
     windows = materialize(_window_rows(docs, places, size, run), "windows")
     twice = materialize(windows.groupBy("a", "b").count().where("count > 1").select("a", "b"), "twice")
