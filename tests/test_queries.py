@@ -8,6 +8,9 @@ from allelia.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Queries without rows on the smallest tables.
+EMPTY_HERE = {"retained_edges", "soft_coupling"}
+
 
 @pytest.fixture(scope="module")
 def db(sf_dir):
@@ -28,7 +31,7 @@ def test_query(spark, db, sf_dir, name):
     want = db.sql(ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     got, want = rows(df.columns, map(tuple, df.collect())), rows(want.columns, want.fetchall())
-    assert len(got) == len(want) > 0
+    assert len(got) == len(want) and (want or name in EMPTY_HERE)
     for a, b in zip(got, want):
         assert a == pytest.approx(b, abs=2e-6), (a, b)
 
