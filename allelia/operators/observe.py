@@ -80,7 +80,8 @@ def weighted(obs: DataFrame, p: Observing = Observing()) -> DataFrame:
 def best_per_read_site(obs: DataFrame, order: tuple[str, ...] = ("ordinal",)) -> DataFrame:
     """Of several observations of a site by one read name the heaviest, the first of equals.
 
-    An aggregate with map-side combine, so a read of any size needs no sort."""
+    Rows are dealt by read alone: the aggregate and all windows over reads that follow need no exchange of their own."""
+    obs = obs.repartition("read_id")
     rest = [c for c in obs.columns if c not in ("read_id", "snp_idx")]
     first = F.struct(F.abs("weight").alias("_w"), *(((-F.col(c)) if dict(obs.dtypes)[c] != "string" else F.col(c)).alias(f"_{c}") for c in order))
     return obs.groupBy("read_id", "snp_idx").agg(F.max_by(F.struct(*rest), first).alias("_o")).select("read_id", "snp_idx", "_o.*").select(*obs.columns)
