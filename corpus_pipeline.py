@@ -1,14 +1,14 @@
 """A corpus pipeline of five stages, each on all that the stage before it kept.
 
-Language ID drops texts in no known language, exact dedup and SimHash near-dedup leave one document of each group,
-the secret scan blanks secrets out, and packing gives each remaining piece its place in a training sequence.
+Language ID drops texts in no known language, exact dedup and near-dedup (five-word shingles, similarity 0.8) leave
+one document of each group, the secret scan blanks secrets out, and packing gives each remaining piece its place in a training sequence.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from allelia.llm import cuckoo, langid, packing, simhash
+from allelia.llm import cuckoo, langid, packing, shingles
 from allelia.llm.common import materialize, table
 from allelia.llm.queries import vocabulary
 
@@ -22,7 +22,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return shingles.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
