@@ -22,7 +22,8 @@ BASE = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+#: A sign before a string is none of it (``KEY=string``); behind it one or two are padding, unless more text follows at once.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings in the order they are tried: what the string may hold, and the alphabet it is tested over.
 ENCODINGS = (
@@ -108,7 +109,8 @@ def battery(token: Column) -> Column:
 def candidates(text: Column) -> Column:
     """``array<struct<start, end, p>>`` of the candidate strings."""
     spans = _found(text, KINDS.index("random"), CANDIDATE, 0, 20)
-    scored = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(text.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))).alias("p"))
+    own = lambda s: F.regexp_replace(text.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), "=+$", "")
+    scored = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(own(s)).alias("p"))
     return let(spans, lambda found: F.transform(found, scored))
 
 
