@@ -3,8 +3,9 @@
 A candidate is a long run of encoding characters with letters and digits. Its encoding is inferred from its
 characters, and a battery asks whether it looks uniformly random in it: chi-squared over the alphabet, runs about
 the median, serial correlation. Bonferroni combines the three. Ordinary strings pile up at small p-values; random
-ones are uniform. For each class of lengths the number of random ones is read off the upper half of the p-values
-(Storey's estimate), and the cut is the least at which ordinary strings are a small part of those above it.
+ones are uniform. For each class of lengths, over distinct strings that no pattern covers, the number of random ones
+is read off the upper half of the p-values (Storey's estimate), and the cut is the least at which ordinary strings
+are a small part of those above it.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ ENCODINGS = (
     ("", _UPPER + _LOWER + _DIGITS + "+/-_"),
 )
 #: Lengths at which a class begins; steps of the p-value grid; part of ordinary strings allowed among those reported;
-#: candidates below which a class takes the cut of all lengths, and below which that is the plain level.
-LENGTH_CLASSES, GRID, FALSE_PART, LEAST_CLASS, PLAIN_CUT = (20, 28, 40, 64), 50, 0.05, 200, 0.02
+#: strings that the counts of the other lengths add to a class, and uniform ones to those; the least cut.
+LENGTH_CLASSES, GRID, FALSE_PART, PRIOR, PLAIN_CUT = (20, 28, 40, 64), 50, 0.05, 200, 0.02
 MASK = "[SECRET]"
 
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
@@ -107,10 +108,10 @@ def battery(token: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """``array<struct<start, end, p>>`` of the candidate strings."""
+    """``array<struct<start, end, p, h>>`` of the candidate strings, ``h`` a hash of the string."""
     spans = _found(text, KINDS.index("random"), CANDIDATE, 0, 20)
     own = lambda s: F.regexp_replace(text.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), "=+$", "")
-    scored = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(own(s)).alias("p"))
+    scored = lambda s: let(own(s), lambda x: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(x).alias("p"), F.xxhash64(x).alias("h")))
     return let(spans, lambda found: F.transform(found, scored))
 
 
@@ -118,18 +119,30 @@ def _length_class(size: Column) -> Column:
     return sum(((size >= n).cast("int") for n in LENGTH_CLASSES), F.lit(0))
 
 
+def _free(base: Column):
+    """Whether a candidate meets none of the base spans."""
+    return lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+
 def cuts(scored: DataFrame) -> dict[int, float]:
-    """The least p-value that is reported, by class of lengths, from ``scored(candidates)``; the counts are a bounded grid."""
-    one = scored.select(F.explode("candidates").alias("c")).select(_length_class(F.col("c.end") - F.col("c.start")).alias("size"), F.least(F.floor(F.col("c.p") * GRID), F.lit(GRID - 1)).cast("int").alias("at"))
+    """The least p-value that is reported, by class of lengths, from ``scored(base, candidates)``; the counts are a bounded grid.
+
+    A string counts once, however often it is repeated. A class's counts are shrunk towards those of the other
+    lengths, and these towards uniform ones, by ``PRIOR`` strings each."""
+    free = scored.select(F.explode(F.filter("candidates", _free(F.col("base")))).alias("c"))
+    strings = free.groupBy("c.h").agg(F.min(F.struct((F.col("c.end") - F.col("c.start")).alias("length"), F.col("c.p").alias("p"))).alias("s")).select("s.length", "s.p")
+    one = strings.select(_length_class(F.col("length")).alias("size"), F.least(F.floor(F.col("p") * GRID), F.lit(GRID - 1)).cast("int").alias("at"))
     table: dict[int, list[int]] = {k: [0] * GRID for k in range(len(LENGTH_CLASSES) + 1)}
     for size, at, n in one.groupBy("size", "at").count().collect():  # at most 5 x GRID rows
         table[size][at] += n
-    pooled = [sum(x) for x in zip(*table.values())]
-    plain = _cut(pooled) if sum(pooled) >= LEAST_CLASS else PLAIN_CUT
-    return {k: _cut(x) if sum(x) >= LEAST_CLASS else plain for k, x in table.items()}
+    out = {}
+    for k, own in table.items():
+        others = [sum(x) - n + PRIOR / GRID for x, n in zip(zip(*table.values()), own)]
+        out[k] = _cut([n + PRIOR * m / sum(others) for n, m in zip(own, others)])
+    return out
 
 
-def _cut(counts: list[int]) -> float:
+def _cut(counts: list[float]) -> float:
     """The least grid point from which on ordinary strings are FALSE_PART at most; 1 or more if there is none."""
     random = sum(counts[GRID // 2 :]) / (GRID - GRID // 2)  # of each step: the upper half is taken as random
     for at in range(GRID):
@@ -143,7 +156,7 @@ def _accepted(base: Column, cands: Column, limits: dict[int, float]) -> Column:
     """Base spans and the accepted candidates that meet none of them, by start and then kind."""
     size = lambda c: c["end"] - c["start"]
     limit = lambda c: F.element_at(F.array(*(F.lit(limits[k]) for k in sorted(limits))), _length_class(size(c)) + 1)
-    free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    free = _free(base)
     kept = F.filter(cands, lambda c: (c["p"] >= limit(c)) & free(c))
     as_span = lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), c["end"].alias("end"))
     return F.sort_array(F.concat(base, F.transform(kept, as_span)))
@@ -186,7 +199,7 @@ def masked(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of :func:`scan` masked in ``text`` (and ``n_chars`` counted anew where it exists); null texts stay null."""
     text = whole_text()
-    limits = cuts(materialize(docs.select(candidates(text).alias("candidates")).where(F.size("candidates") > 0), "candidates"))
+    limits = cuts(materialize(docs.select(base_spans(text).alias("base"), candidates(text).alias("candidates")).where(F.size("candidates") > 0), "candidates"))
     spans = _accepted(base_spans(text), candidates(text), limits)
     out = F.when(F.col("text").isNotNull(), let(spans, lambda s: masked(text, s)))
     done = docs.withColumn("text", out)

@@ -1,4 +1,8 @@
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from allelia.llm import secrets
 
@@ -16,3 +20,33 @@ def test_secrets_after_a_sign(spark, before, after):
 def test_secrets_signs_between_strings(spark):
     a, b = "Xq7RmZ2tLw9KcV4nBy8HsJ5dPf3GaT6uEe1QoWiC", "b8Yt3QzLm5WcKx9RvN2pHd7SfJ4gAeU6iTo1DqVy"
     assert secrets.report(secrets.scan(spark.createDataFrame([(1, f"{a}={b}")], "doc_id long, text string"))).first().spans == "random:0:40,random:41:81"
+
+
+def drawn(n, seed, length=44):
+    rnd, b64 = random.Random(seed), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    return ["".join(rnd.choice(b64) for _ in range(length)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("low,high", [(0.25, 0.5), (0.6, 1.01)])
+def test_secrets_copies_of_a_string_do_not_move_the_cut(spark, low, high):
+    texts = [f"see {k} there" for k in drawn(600, 11)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p = {r.doc_id: r.p for r in docs.select("doc_id", secrets.candidates(F.col("text"))[0]["p"].alias("p")).collect()}
+    again = next(i for i, x in sorted(p.items()) if low <= x < high)
+    copies = spark.range(5000).select((F.col("id") + 1000).alias("doc_id"), F.lit(texts[again]).alias("text"))
+    spans = lambda d: {r.doc_id: r.spans for r in secrets.report(secrets.scan(d)).collect() if r.doc_id < 1000}
+    alone = spans(docs)
+    assert np.mean([bool(x) for x in alone.values()]) > 0.9 and spans(docs.union(copies)) == alone
+
+
+def test_secrets_under_base_spans_do_not_count(spark):
+    keys, covered = drawn(600, 12), ["ab1" * 9 + "x" * (i % 7) + str(i) for i in range(3000)]
+    texts = [f"see {k} there" for k in keys] + [f"token={c}" for c in covered]
+    scored = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(secrets.base_spans(F.col("text")).alias("base"), secrets.candidates(F.col("text")).alias("candidates"))
+    assert secrets.cuts(scored) == secrets.cuts(scored.where(F.size("base") == 0))
+
+
+@pytest.mark.parametrize("n", [1, 3, 30, 190, 210])
+def test_secrets_cut_by_one_rule_at_every_count(spark, n):
+    scored = spark.createDataFrame([(f"see {k} there",) for k in drawn(n, 13)], "text string").select(secrets.base_spans(F.col("text")).alias("base"), secrets.candidates(F.col("text")).alias("candidates"))
+    assert max(secrets.cuts(scored).values()) <= 0.1
