@@ -22,7 +22,7 @@ NORMS = ("sum", "mean", "sqrt", "cap", "sqrt_cap", "degree_norm_cap", "adaptive_
 #: Settings that make the small grounded tables exercise every class.
 CAP = {"cap": 3.0, "domination": 0.30}
 CONTACT = Contact(min_contacts=100, min_confidence=0.3)
-SOLVER = Solver(batch=8, iterations=100, exact_blocks=10)
+SOLVER = Solver()
 SITE = {"dense": "l_suppkey", "sparse": "l_partkey"}
 
 
@@ -205,6 +205,11 @@ def read_components(spark, sf_dir):
     return select.read_components(o, sites(spark, sf_dir)).select(*big("snp_idx", "ps"))
 
 
+def read_components_whole(spark, sf_dir):
+    """The same over every observation; its closure is too slow for SQL."""
+    return select.read_components(obs(spark, sf_dir), sites(spark, sf_dir)).select(*big("snp_idx", "ps"))
+
+
 def hard_components(spark, sf_dir):
     hard = classes(spark, sf_dir).where("edge_class = 'hard'")
     found = components(sites(spark, sf_dir).select(F.col("snp_idx").alias("node")), hard.select(F.col("i").alias("u"), F.col("j").alias("v")))
@@ -316,6 +321,28 @@ def candidate_select(spark, sf_dir):
     return z.select(*big("block", "z"))
 
 
+def dealt(spark, sf_dir):
+    """The whole projection, each read's values moved to the component that its number names, so that the choice separates.
+
+    A block goes to the one at its place there, or to the first where the last component is shorter."""
+    n = labels(spark, sf_dir).agg(F.count("*").alias("n"))
+    at = projected(spark, sf_dir).crossJoin(n)  # one row
+    first = F.col("read_id") % F.ceil(F.col("n") / 4) * 4
+    moved = at.select("read_id", F.when(first + F.col("block") % 4 < F.col("n"), first + F.col("block") % 4).otherwise(first).cast("int").alias("block"), "v")
+    return moved.groupBy("read_id", "block").agg(F.sum("v").alias("v"))
+
+
+def candidate_scores_whole(spark, sf_dir):
+    return select.candidate_scores(dealt(spark, sf_dir), samples(spark, sf_dir), labels(spark, sf_dir)).select(*big("component", "cand"), r6("score").alias("score"))
+
+
+def candidate_select_whole(spark, sf_dir):
+    z, mode = select.choose(dealt(spark, sf_dir), samples(spark, sf_dir), labels(spark, sf_dir))
+    if mode != "component_profiled_F":
+        raise RuntimeError("reads join components")
+    return z.select(*big("block", "z"))
+
+
 def candidate_select_global(spark, sf_dir):
     z, _ = select.choose(projected(spark, sf_dir), samples(spark, sf_dir), labels(spark, sf_dir))
     return z.select(*big("block", "z"))
@@ -404,9 +431,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         observation_weight, site_scan, interval_join, cigar_walk, dedup_best, read_snp_matrix, parity_edges, parity_edges_weighted, parity_edges_near,
-        edge_risk, edge_class, edge_class_confidence, backbone_forest, read_components, hard_components, phaselet_forest, phaselet_table, consistency_margin,
+        edge_risk, edge_class, edge_class_confidence, backbone_forest, read_components, read_components_whole, hard_components, phaselet_forest, phaselet_table, consistency_margin,
         released_edges, haplotags, profiled_objective, read_projection, single_profile, hyperread_rows, soft_coupling, ising_coupling, coupling_scale,
-        compressed_score, candidate_scores, candidate_select, candidate_select_global, phase_sets, holdout_split, read_index, component_edges, retained_edges, contact_qc,
+        compressed_score, candidate_scores, candidate_scores_whole, candidate_select, candidate_select_whole, candidate_select_global, phase_sets, holdout_split, read_index, component_edges, retained_edges, contact_qc,
         orient_components, apply_orientation, phase_errors, span_n50, block_n50, completeness, key_intersection, chunking, solver,
     )
 } | {f"hyperreads_{n}": hyperreads(n) for n in NORMS}
