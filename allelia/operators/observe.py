@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, sums_before
 from ..functions.evidence import allele, error_rate, evidence_weight, usable_baseq
 from ..params import Observing
+from ..plans.tables import materialize
 
 UNMAPPED, SECONDARY, SUPPLEMENTARY = 0x4, 0x100, 0x800
 #: Flags that a pileup leaves out besides: failed quality checks, duplicates.
@@ -23,21 +26,19 @@ def usable_alignments(alignments: DataFrame, min_mapq: int, skip: int = UNMAPPED
 def aligned_blocks(alignments: DataFrame) -> DataFrame:
     """One row for each M, = or X run of a CIGAR: ``ref_start`` and ``ref_end`` (0-based, half-open) and ``query_start``.
 
-    I and S use up the query, D and N the reference, H and P nothing. The walk is a running sum inside each row."""
-    ops = F.regexp_extract_all("cigar", F.lit("([0-9]+)([MIDNSHPX=])"), F.lit(2))
-    sizes = F.transform(F.regexp_extract_all("cigar", F.lit("([0-9]+)([MIDNSHPX=])"), F.lit(1)), lambda x: x.cast("long"))
-    kind = "array<struct<ref_start:long,ref_end:long,query_start:long>>"
-
-    def step(s: Column, r: Column) -> Column:
-        both, query, ref = r["op"].isin("M", "=", "X"), r["op"].isin("I", "S"), r["op"].isin("D", "N")
-        block = F.struct(s["r"].alias("ref_start"), (s["r"] + r["n"]).alias("ref_end"), s["q"].alias("query_start"))
-        return F.struct(
-            (s["r"] + F.when(both | ref, r["n"]).otherwise(0)).alias("r"), (s["q"] + F.when(both | query, r["n"]).otherwise(0)).alias("q"),
-            F.when(both, F.array_append(s["blocks"], block)).otherwise(s["blocks"]).alias("blocks"))
-
-    start = F.struct(F.col("start0").cast("long").alias("r"), F.lit(0).cast("long").alias("q"), F.array().cast(kind).alias("blocks"))
-    rows = F.zip_with(ops, sizes, lambda o, n: F.struct(o.alias("op"), n.alias("n")))
-    found = alignments.withColumn("block", F.explode(F.aggregate(rows, start, step, lambda s: s["blocks"])))
+    I and S use up the query, D and N the reference, H and P nothing. The walk is two running sums inside each row."""
+    pattern = F.lit("([0-9]+)([MIDNSHPX=])")
+    ops, sizes = F.regexp_extract_all("cigar", pattern, F.lit(2)), F.regexp_extract_all("cigar", pattern, F.lit(1))
+    rows = F.zip_with(ops, sizes, lambda o, n: F.struct(o.alias("op"), n.cast("long").alias("n")))
+
+    def walk(x: Column) -> Column:
+        used = lambda kinds: sums_before(F.transform(x, lambda r: F.when(r["op"].isin(*kinds), r["n"]).otherwise(F.lit(0).cast("long"))))
+        places = F.arrays_zip(x.alias("run"), used("M=XDN").alias("ref"), used("M=XIS").alias("query"))
+        return F.filter(places, lambda p: p["run"]["op"].isin("M", "=", "X"))
+
+    start = F.col("start0").cast("long")
+    block = lambda p: F.struct((start + p["ref"]).alias("ref_start"), (start + p["ref"] + p["run"]["n"]).alias("ref_end"), p["query"].alias("query_start"))
+    found = alignments.withColumn("block", F.explode(F.transform(let(rows, walk), block)))
     return found.select(*alignments.columns, "block.*")
 
 
@@ -109,13 +110,17 @@ def read_index(obs: DataFrame) -> DataFrame:
 
 
 def dense_index(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Rows numbered from 0 in order; rows must differ in ``order``. A range exchange, counts by range, then local ranks."""
-    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id())
-    local = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
-    sizes = local.groupBy("_range").count()  # one row for each range
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    """Rows numbered from 0 in order; rows must differ in ``order``.
+
+    Rows are dealt out by range, sorted there and stored with their place in their range, once: counts of the ranges
+    and rows are then read from the same table, and no plan can deal them out twice."""
+    dealt = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    placed = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")  # range << 33 | place in it
+    sizes = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))  # one row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(sizes.select("_range", before.alias("_before")))
-    return local.join(starts, "_range").withColumn(name, F.col("_rank") + F.col("_before")).drop("_range", "_rank", "_before")
+    found = placed.withColumn("_range", F.shiftright("_at", 33)).join(starts, "_range")
+    return found.withColumn(name, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_range", "_at", "_before")
 
 
 def site_chunks(sites: DataFrame, chunk_bp: int) -> DataFrame:
@@ -139,11 +144,12 @@ def held_out(obs: DataFrame, fraction: float, salt: str) -> DataFrame:
     reads = obs.select("read_id").distinct()
     if fraction <= 0:
         return reads.withColumn("validation", F.lit(False))
-    def place(names):
+
+    @F.pandas_udf("double")
+    def place(names: pd.Series) -> pd.Series:
         return names.map(lambda n: int.from_bytes(hashlib.blake2b(f"{salt}:{n}".encode(), digest_size=8).digest(), "little") / 2.0**64)
 
-    share = F.pandas_udf(place, "double", F.PandasUDFType.SCALAR)
-    return reads.withColumn("validation", share(F.col("read_id").cast("string")) < fraction)
+    return reads.withColumn("validation", place(F.col("read_id").cast("string")) < fraction)
 
 
 def read_entries(obs: DataFrame, order: tuple[str, ...] = ("ordinal",)) -> DataFrame:

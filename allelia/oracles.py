@@ -126,7 +126,11 @@ def ising() -> str:
 
 CANDS = "cands AS (SELECT unnest(range(6)) AS cand)"
 SAMPLES = f"{CANDS}, samples AS (SELECT block, cand, CASE WHEN (block * 7 + cand * 3) % 5 < 2 THEN -1 ELSE 1 END AS z FROM (SELECT DISTINCT block FROM sites), cands), labels AS (SELECT DISTINCT block, block // 4 AS component FROM sites)"
-FIELDS = "fields AS (SELECT read_id, cand, min(component) AS component, abs(sum(v * z)) AS f FROM proj JOIN samples USING (block) JOIN labels USING (block) WHERE %s GROUP BY read_id, cand)"
+#: The projection with each read's values moved to the component that its number names, as the queries deal them.
+DEALT = """parts AS (SELECT count(*) AS n FROM (SELECT DISTINCT block FROM sites)),
+      dealt AS (SELECT read_id, CASE WHEN first + block % 4 < n THEN first + block % 4 ELSE first END AS block, sum(v) AS v
+        FROM (SELECT read_id, block, v, n, read_id % CAST(ceil(n / 4) AS BIGINT) * 4 AS first FROM proj, parts) GROUP BY 1, 2)"""
+FIELDS = "fields AS (SELECT read_id, cand, min(component) AS component, abs(sum(v * z)) AS f FROM %s JOIN samples USING (block) JOIN labels USING (block) GROUP BY read_id, cand)"
 CONTACTS = """anchors AS (SELECT user_id AS q, CAST(event_id % 20 AS VARCHAR) AS c, value AS score, event_id AS o,
         (CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) * (CASE WHEN event_id % 20 % 3 = 0 THEN -1 ELSE 1 END) * (CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) AS s FROM events),
       best AS (SELECT * FROM anchors QUALIFY row_number() OVER (PARTITION BY q, c ORDER BY score DESC, o) = 1),
@@ -148,7 +152,6 @@ def _all() -> dict[str, str]:
     edge_hard = f"{classes()}, hard AS (SELECT i AS u, j AS v FROM classes WHERE edge_class = 'hard'), nodes AS (SELECT snp_idx AS node FROM sites)"
     relaxed = f"""{classes('sparse')}, {margin()}, bad AS (SELECT snp_idx FROM margins WHERE margin < 0),
       hard AS (SELECT i AS u, j AS v FROM classes WHERE edge_class = 'hard' AND i NOT IN (SELECT snp_idx FROM bad) AND j NOT IN (SELECT snp_idx FROM bad)), nodes AS (SELECT snp_idx AS node FROM sites)"""
-    read_links = f"{obs()}, {sites()}, kept AS (SELECT * FROM obs WHERE snp_idx % 4 <> 1 AND read_id % 50 = snp_idx % 50), hard AS (SELECT DISTINCT a.snp_idx AS u, b.snp_idx AS v FROM kept a JOIN kept b USING (read_id)), nodes AS (SELECT DISTINCT snp_idx AS node FROM kept)"
     out = {
         "observation_weight": f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(eps, 9) AS epsilon, {r6('ln((1 - eps) / eps)')} AS weight FROM (SELECT *, {eps} AS eps FROM lineitem)",
         "site_scan": f"WITH {CALLS} SELECT 'chr1' AS chrom, pos, row_number() OVER (ORDER BY pos) - 1 AS snp_idx, 'A' AS ref, alt FROM records WHERE length(alt) = 1 AND gt <> '1/1'",
@@ -164,7 +167,6 @@ def _all() -> dict[str, str]:
         "edge_class": f"WITH {classes()} {CLASS_OUT}",
         "edge_class_confidence": f"WITH {classes('sparse', Hard(mode='confidence', max_distance=10**9), Soft(mode='none'))} {CLASS_OUT}",
         "hard_components": f"WITH RECURSIVE {edge_hard}, {closure('hard', 'nodes')} SELECT node, root FROM roots",
-        "read_components": f"WITH RECURSIVE {read_links}, {closure('hard', 'nodes')} SELECT node AS snp_idx, min((root + 1) * 1000) OVER (PARTITION BY root) AS ps FROM roots",
         "phaselet_table": f"""WITH RECURSIVE {relaxed}, {closure('hard', 'nodes')}
             SELECT row_number() OVER (ORDER BY root) - 1 AS block, min((node + 1) * 1000) AS start, max((node + 1) * 1000) AS "end", count(*) AS n_sites, 'chr1' AS chrom FROM roots GROUP BY root""",
         "consistency_margin": f"WITH {obs()}, {sites()}, {margin()} SELECT snp_idx, {r6('margin')} AS margin FROM margins",
@@ -180,11 +182,11 @@ def _all() -> dict[str, str]:
         "compressed_score": f"""WITH {both()}, {SAMPLES}, h AS (SELECT hyper, cand, sum(value * z) * (CASE WHEN (hyper + cand) % 3 = 0 THEN -1 ELSE 1 END) AS x FROM hyper JOIN samples USING (block) GROUP BY hyper, cand),
             x AS (SELECT cand, sum(x) AS x FROM h GROUP BY cand), y AS (SELECT a.cand, sum(coeff * a.z * b.z) AS y FROM soft JOIN samples a ON a.block = l JOIN samples b ON b.block = r AND a.cand = b.cand GROUP BY a.cand)
             SELECT CAST(cand AS BIGINT) AS cand, {r6('coalesce(x, 0) + coalesce(y, 0)')} AS score FROM x FULL JOIN y USING (cand)""",
-        "candidate_scores": f"WITH {projected()}, {SAMPLES}, {FIELDS % 'block // 4 = read_id % 5'} SELECT component, CAST(cand AS BIGINT) AS cand, {r6('sum(f)')} AS score FROM fields GROUP BY component, cand",
-        "candidate_select": f"""WITH {projected()}, {SAMPLES}, {FIELDS % 'block // 4 = read_id % 5'}, scores AS (SELECT component, cand, sum(f) AS score FROM fields GROUP BY ALL),
+        "candidate_scores": f"WITH {projected()}, {SAMPLES}, {DEALT}, {FIELDS % 'dealt'} SELECT component, CAST(cand AS BIGINT) AS cand, {r6('sum(f)')} AS score FROM fields GROUP BY component, cand",
+        "candidate_select": f"""WITH {projected()}, {SAMPLES}, {DEALT}, {FIELDS % 'dealt'}, scores AS (SELECT component, cand, sum(f) AS score FROM fields GROUP BY ALL),
             pick AS (SELECT component, cand FROM scores QUALIFY row_number() OVER (PARTITION BY component ORDER BY score DESC, cand) = 1)
             SELECT l.block, CAST(s.z AS BIGINT) AS z FROM labels l LEFT JOIN pick p USING (component) JOIN samples s ON s.block = l.block AND s.cand = coalesce(p.cand, 0)""",
-        "candidate_select_global": f"""WITH {projected()}, {SAMPLES}, {FIELDS % 'TRUE'}, scores AS (SELECT cand, sum(f) AS score FROM fields GROUP BY ALL), pick AS (SELECT cand FROM scores ORDER BY score DESC, cand LIMIT 1)
+        "candidate_select_global": f"""WITH {projected()}, {SAMPLES}, {FIELDS % 'proj'}, scores AS (SELECT cand, sum(f) AS score FROM fields GROUP BY ALL), pick AS (SELECT cand FROM scores ORDER BY score DESC, cand LIMIT 1)
             SELECT block, CAST(z AS BIGINT) AS z FROM samples JOIN pick USING (cand)""",
         "phase_sets": f"WITH {sites()} SELECT snp_idx, min(pos1) OVER (PARTITION BY block // 4) AS ps FROM sites",
         "read_index": "SELECT user_id AS read_id, row_number() OVER (ORDER BY min(event_id)) - 1 AS read_idx FROM events GROUP BY user_id",

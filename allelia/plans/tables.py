@@ -11,10 +11,12 @@ _own_root: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset, a temporary folder of this session."""
+    """``spark.checkpoint.dir``; only where that is unset and executors share the driver's disk, a temporary folder of this session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = "file://" + tempfile.mkdtemp(prefix="allelia-")

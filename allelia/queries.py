@@ -201,12 +201,7 @@ def backbone_forest(spark, sf_dir):
 
 
 def read_components(spark, sf_dir):
-    o = obs(spark, sf_dir).where("snp_idx % 4 <> 1 AND read_id % 50 = snp_idx % 50")
-    return select.read_components(o, sites(spark, sf_dir)).select(*big("snp_idx", "ps"))
-
-
-def read_components_whole(spark, sf_dir):
-    """The same over every observation; its closure is too slow for SQL."""
+    """Over every observation; its closure is too slow for SQL."""
     return select.read_components(obs(spark, sf_dir), sites(spark, sf_dir)).select(*big("snp_idx", "ps"))
 
 
@@ -306,21 +301,6 @@ def compressed_score(spark, sf_dir):
     return found.select(*big("cand"), r6("score").alias("score"))
 
 
-def candidate_scores(spark, sf_dir):
-    p = within(projected(spark, sf_dir))
-    return select.candidate_scores(p, samples(spark, sf_dir), labels(spark, sf_dir)).select(*big("component", "cand"), r6("score").alias("score"))
-
-
-def within(p):
-    """A projection whose reads stay in one component each, so that the choice separates."""
-    return p.where("(block div 4) = read_id % 5")
-
-
-def candidate_select(spark, sf_dir):
-    z, _ = select.choose(within(projected(spark, sf_dir)), samples(spark, sf_dir), labels(spark, sf_dir))
-    return z.select(*big("block", "z"))
-
-
 def dealt(spark, sf_dir):
     """The whole projection, each read's values moved to the component that its number names, so that the choice separates.
 
@@ -332,11 +312,11 @@ def dealt(spark, sf_dir):
     return moved.groupBy("read_id", "block").agg(F.sum("v").alias("v"))
 
 
-def candidate_scores_whole(spark, sf_dir):
+def candidate_scores(spark, sf_dir):
     return select.candidate_scores(dealt(spark, sf_dir), samples(spark, sf_dir), labels(spark, sf_dir)).select(*big("component", "cand"), r6("score").alias("score"))
 
 
-def candidate_select_whole(spark, sf_dir):
+def candidate_select(spark, sf_dir):
     z, mode = select.choose(dealt(spark, sf_dir), samples(spark, sf_dir), labels(spark, sf_dir))
     if mode != "component_profiled_F":
         raise RuntimeError("reads join components")
@@ -431,9 +411,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         observation_weight, site_scan, interval_join, cigar_walk, dedup_best, read_snp_matrix, parity_edges, parity_edges_weighted, parity_edges_near,
-        edge_risk, edge_class, edge_class_confidence, backbone_forest, read_components, read_components_whole, hard_components, phaselet_forest, phaselet_table, consistency_margin,
+        edge_risk, edge_class, edge_class_confidence, backbone_forest, read_components, hard_components, phaselet_forest, phaselet_table, consistency_margin,
         released_edges, haplotags, profiled_objective, read_projection, single_profile, hyperread_rows, soft_coupling, ising_coupling, coupling_scale,
-        compressed_score, candidate_scores, candidate_scores_whole, candidate_select, candidate_select_whole, candidate_select_global, phase_sets, holdout_split, read_index, component_edges, retained_edges, contact_qc,
+        compressed_score, candidate_scores, candidate_select, candidate_select_global, phase_sets, holdout_split, read_index, component_edges, retained_edges, contact_qc,
         orient_components, apply_orientation, phase_errors, span_n50, block_n50, completeness, key_intersection, chunking, solver,
     )
 } | {f"hyperreads_{n}": hyperreads(n) for n in NORMS}

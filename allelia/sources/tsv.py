@@ -67,11 +67,18 @@ def orientations(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("component_id").alias("component"), F.col("orientation").cast("int").alias("orientation"), own.alias("hic_ps"))
 
 
-def key_values(spark: SparkSession, path: str) -> dict[str, str]:
-    """A small metric/value file; empty if there is no such file."""
+#: Rows of a metric/value file that the driver takes in.
+KEY_VALUES = 10_000
+
+
+def key_values(spark: SparkSession, path: str, limit: int = KEY_VALUES) -> dict[str, str]:
+    """A small metric/value file; empty if there is no such file, an error if it has more than ``limit`` rows."""
     from pyspark.errors import AnalysisException
 
     try:
-        return {r[0]: r[1] for r in spark.read.csv(path, sep="\t", header=True).limit(10_000).collect()}
+        rows = spark.read.csv(path, sep="\t", header=True).limit(limit + 1).collect()
     except AnalysisException:
         return {}
+    if len(rows) > limit:
+        raise ValueError(f"{path} has more than {limit} rows")
+    return {r[0]: r[1] for r in rows}

@@ -1,13 +1,14 @@
 import itertools
 import math
 import random
+import time
 
 import files
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from allelia.functions import evidence
+from allelia.functions import arrays, evidence
 from allelia.operators import blocks, collapse, contacts, coupling, evaluate, graph, observe, parity, risk, select, solve
 from allelia.params import Collapse, Contact, Hard, Observing, Params, Soft, Solver
 from allelia.plans import phasing
@@ -459,3 +460,49 @@ def test_contacts_extend_phase_sets(spark, tmp_path):
         contacts.component_sites(s, phases.withColumn("ps", F.when(F.col("snp_idx") > 0, F.col("ps"))))
     bare = contacts.component_sites(s, phases.withColumn("ps", F.lit(None).cast("long")), phases.select("snp_idx", "ps"))
     assert bare.count() == 5 and math.isclose(Contact().alpha, 0.1)
+
+
+def test_numbers_of_wide_rows_have_no_gaps(spark, tmp_path):
+    """Written out, with columns beyond the order: every number once."""
+    n = 300_000
+    rows = spark.range(n).select((F.col("id") * 7919 % 300_007).alias("ordinal"), F.concat(F.lit("x" * 30), F.col("id").cast("string")).alias("wide"), F.lit("A").alias("ref"))
+    observe.dense_index(rows.repartition(7), ["ordinal"], "idx").write.parquet(str(tmp_path / "n"))
+    got = spark.read.parquet(str(tmp_path / "n"))
+    assert got.agg(F.countDistinct("idx"), F.min("idx"), F.max("idx"), F.countDistinct("wide")).first() == (n, 0, n - 1, n)
+    ordered = got.select("idx", "ordinal").orderBy("idx").toPandas()
+    assert (ordered["ordinal"].diff().dropna() > 0).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 129, 5000])
+def test_running_sums(spark, n):
+    sizes = [(7 * k) % 11 for k in range(n)]
+    got = spark.createDataFrame([(sizes,)], "x array<long>").select(arrays.sums_before(F.col("x")).alias("s")).first().s
+    assert got == [sum(sizes[:k]) for k in range(n)]
+
+
+def test_long_cigars_take_time_in_proportion(spark):
+    took = {}
+    for k in (20_000, 200_000):
+        reads = spark.createDataFrame([(0, "5M1I" * k)], "start0 long, cigar string")
+        began = time.time()
+        assert observe.aligned_blocks(reads).agg(F.count("*"), F.max("ref_end"), F.max("query_start")).first() == (k, 5 * k, 6 * k - 6)
+        took[k] = time.time() - began
+    assert took[200_000] < 40 * max(took[20_000], 0.5)
+
+
+def test_solver_limit_is_by_component(spark):
+    j = [(0, 10, 1.0), (10, 0, 1.0), (1, 11, -1.0), (11, 1, -1.0)]
+    df = spark.createDataFrame(j, "u long, v long, w double")
+    small = Solver(batch=2, iterations=5, max_nodes=2)
+    assert solve.solve(df, 10, 2, small).select("block").distinct().count() == 2
+    with pytest.raises(solve.TooLarge):
+        solve.solve(df.union(spark.createDataFrame([(0, 11, 1.0), (11, 0, 1.0)], df.schema)), 10, 2, small)
+
+
+def test_key_value_files_are_whole_or_refused(spark, tmp_path):
+    path = str(tmp_path / "kv.tsv")
+    with open(path, "w") as f:
+        f.write("metric\tvalue\n" + "".join(f"m{k}\t{k}\n" for k in range(30)))
+    assert len(tsv.key_values(spark, path)) == 30 and tsv.key_values(spark, path + ".none") == {}
+    with pytest.raises(ValueError, match="more than 20"):
+        tsv.key_values(spark, path, 20)

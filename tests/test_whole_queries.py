@@ -29,7 +29,7 @@ def test_read_components_of_all_observations(spark):
     least = defaultdict(list)
     for x in root:
         least[find(x)].append(pos[x])
-    got = {r.snp_idx: r.ps for r in queries.QUERIES["read_components_whole"](spark, SF).collect()}
+    got = {r.snp_idx: r.ps for r in queries.QUERIES["read_components"](spark, SF).collect()}
     assert got == {x: min(least[find(x)]) for x in root}
 
 
@@ -49,10 +49,10 @@ def test_candidates_over_every_read(spark):
     for (read, c), f in field.items():
         scores[read % parts, c] += abs(f)
     assert parts > 1 and reads == {r.read_id for r in queries.dealt(spark, SF).select("read_id").distinct().collect()}  # none is dropped
-    got = {(r.component, r.cand): r.score for r in queries.QUERIES["candidate_scores_whole"](spark, SF).collect()}
+    got = {(r.component, r.cand): r.score for r in queries.QUERIES["candidate_scores"](spark, SF).collect()}
     assert got == {k: pytest.approx(v, abs=2e-6) for k, v in scores.items()}
     best = {p: max(range(6), key=lambda c: (round(scores[p, c], 6), -c)) for p in range(parts)}
-    assert {r.block: r.z for r in queries.QUERIES["candidate_select_whole"](spark, SF).collect()} == {b: z[b, best[b // 4]] for b in blocks}
+    assert {r.block: r.z for r in queries.QUERIES["candidate_select"](spark, SF).collect()} == {b: z[b, best[b // 4]] for b in blocks}
 
 
 def test_solver_query_has_the_default_settings(spark, sf_dir):
