@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, scan, sums_before  # noqa: F401
 from .common import SPACE_CHARS
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once for each row, however often ``body`` names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def whole_text(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
