@@ -27,7 +27,8 @@ MEMORY, LONGEST = 400_000, 64
 class WordBpe:
     """Ids as the tokenizers library gives them for a lower-casing BPE file with word ends."""
 
-    #: From here on the library's Unicode tables may differ from Python's; such texts go to the library whole.
+    #: From here on Python's Unicode tables may differ from the library's: such text is brought into form and split
+    #: into words by the file's own normalizer and pre-tokenizer, and then cut and encoded like any other.
     SURE_BELOW = 0x0250
 
     def __init__(self, path: str):
@@ -83,8 +84,11 @@ class WordBpe:
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """A run without white space: words by the pattern, then fragments."""
         ids: list[int] = []
-        for w in self.word.findall(chunk):
-            letters = "".join(map(self.letters.__getitem__, w.encode()))
+        if self.sure(chunk):
+            words = ["".join(map(self.letters.__getitem__, w.encode())) for w in self.word.findall(chunk)]
+        else:
+            words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+        for letters in words:
             *inner, last = self.cut(letters)
             for f in inner:
                 ids += self.fragment(f, False)
@@ -93,11 +97,7 @@ class WordBpe:
 
     def _span(self, text: str, out: list[bytes], said: list[bytes]) -> None:
         """Text without special tokens."""
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # one character at a time, as the library does: no final sigma
-        # str.split also cuts at four control characters that are no white space to the library.
-        chunks = self.run.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        chunks = self._chunks(text)
         if not chunks:
             return
         known = self.chunks
@@ -111,11 +111,21 @@ class WordBpe:
         out.extend(ids)
         said.extend(words)
 
+    def sure(self, text: str) -> bool:
+        return text.isascii() or ord(max(text)) < self.SURE_BELOW
+
+    def _chunks(self, text: str) -> list[str]:
+        """The runs without white space of the text in its normal form."""
+        if not self.sure(text):
+            return [c for c in self.library.normalizer.normalize_str(text).split(" ") if c]
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text = text.replace("Σ", "σ").lower()  # one character at a time, as the library does: no final sigma
+        # str.split also cuts at four control characters that are no white space to the library.
+        return self.run.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian 32-bit numbers, the text they decode to in UTF-8)."""
-        if text and not text.isascii() and ord(max(text)) >= self.SURE_BELOW:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes(), self.decode(ids).encode()
         out: list[bytes] = []
         said: list[bytes] = []
         parts = self.special.split(text) if "<|" in text else [text]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import let
+from .columns import let, sums_before
 from .common import discard, materialize, stored
 
 BOS, EOS, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
@@ -82,21 +82,27 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``(conv_id, branch, formatted, loss)``: one text for each chosen path, and the spans (start, end), in code points,
-    that a model learns from: what assistants say."""
+    """``(conv_id, branch, formatted, loss)``: one text for each chosen path, and the spans that a model learns from, what
+    assistants say: (start, end) in code points and (from, to) in bytes of UTF-8."""
     rows = chosen.join(messages.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
     head = F.concat(F.lit(BOS + OPEN), escape(F.col("role")), F.lit(CLOSE))
-    turn = F.struct((-F.col("step")).alias("at"), F.concat(head, escape(F.col("text")), F.lit(EOS)).alias("block"), F.char_length(head).cast("long").alias("head"), (F.col("role") == LEARNED).alias("learned"))
+    turn = F.struct((-F.col("step")).alias("at"), F.concat(head, escape(F.col("text")), F.lit(EOS)).alias("block"), head.alias("head"), (F.col("role") == LEARNED).alias("learned"))
     turns = rows.groupBy("conv_id", "branch").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    chars = lambda x: F.char_length(x).cast("long")
+    bytes_ = lambda x: F.octet_length(x).cast("long")
 
-    def step(s: Column, t: Column) -> Column:
-        end = s["at"] + F.char_length(t["block"])
-        span = F.struct((s["at"] + t["head"]).alias("start"), (end - len(EOS)).alias("end"))
-        return F.struct(end.alias("at"), F.when(t["learned"], F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+    def spans(ts: Column) -> Column:
+        before = lambda size: sums_before(F.transform(ts, lambda t: size(t["block"])))
+        learned = F.filter(F.arrays_zip(ts.alias("turn"), before(chars).alias("start"), before(bytes_).alias("from")), lambda x: x["turn"]["learned"])
+        ends = lambda x, at, size: ((x[at] + size(x["turn"]["head"])), (x[at] + size(x["turn"]["block"]) - len(EOS)))
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
-    loss = F.aggregate("turns", begin, step, lambda s: s["spans"])
-    return turns.select("conv_id", "branch", F.concat_ws("", F.transform("turns", lambda t: t["block"])).alias("formatted"), loss.alias("loss"))
+        def span(x: Column) -> Column:
+            (start, end), (from_, to) = ends(x, "start", chars), ends(x, "from", bytes_)
+            return F.struct(start.alias("start"), end.alias("end"), from_.alias("from"), to.alias("to"))
+
+        return F.transform(learned, span)
+
+    return turns.select("conv_id", "branch", F.array_join(F.transform("turns", lambda t: t["block"]), "").alias("formatted"), let(F.col("turns"), spans).alias("loss"))
 
 
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -112,7 +118,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     parse = lambda b: F.struct(
         unescape(F.substring_index(F.substring(b, len(BOS + OPEN) + 1, 1 << 30), CLOSE, 1)).alias("role"),
         unescape(F.substring(b, F.instr(b, CLOSE) + len(CLOSE), F.lit(1 << 30))).alias("text"))
-    under = lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    raw = F.col("formatted").cast("binary")
+    under = lambda s: unescape(F.substring(raw, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")).cast("string"))
     return formatted.select("conv_id", "branch", "formatted", let(blocks, lambda bs: F.transform(bs, parse)).alias("turns"), F.transform("loss", under).alias("learned"))
 
 

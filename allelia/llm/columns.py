@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, scan, sums_before  # noqa: F401
+from ..functions.arrays import let, sums_before  # noqa: F401
+from ..functions.arrays import scan as running  # noqa: F401
 from .common import SPACE_CHARS
 
 

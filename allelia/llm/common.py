@@ -76,6 +76,11 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``dropped(doc_id)``. Spark broadcasts the ids only below its size threshold, else it sorts and merges."""
-    return docs.join(dropped.select(F.col("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+def one_of_each(kept: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
+    """``kept(row, key, ...)`` with one row of each key in the stored table ``repeated(key)``, the least, and all rows of other keys."""
+    if repeated.isEmpty():
+        return kept
+    ordered = "map<" not in kept.schema["row"].dataType.simpleString()
+    one = (F.min if ordered else F.first)("row").alias("row")  # partly done before the exchange
+    again = kept.join(repeated, key, "left_semi").groupBy(key).agg(one).select("row", key)
+    return kept.join(repeated, key, "left_anti").select("row", key).unionByName(again)

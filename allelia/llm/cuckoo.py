@@ -2,19 +2,21 @@
 
 The index holds, in each slot of a two-choice table, a 16-bit tag and the stored key and payload behind it. A tag
 hit is verified against the stored key of that slot; an insertion that finds no place after many moves doubles the
-table and files the stored keys again. Digests can be deleted, so the index follows a changing corpus.
+table and files the stored keys again. Texts that the index calls equal are then held against each other, digest by
+digest; where a digest has more than one text, the texts themselves decide. Beside the index lie the live rows by
+digest and id, so that digests can be deleted row by row and the index follows a changing corpus.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable
 
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_ids, materialize
+from .common import materialize, one_of_each
 
 SLOTS, MOVES = 4, 200
 #: Rows of a bucket of the index, on average, and parts that a digest's rows are summed in before they meet.
@@ -22,7 +24,7 @@ BUCKET_ROWS, SALT = 20_000, 8
 
 
 class CuckooIndex:
-    """Keys are bytes of which the first eight are well mixed; payloads are (keep_id, size)."""
+    """Keys are bytes of which the first eight are well mixed; payloads are (keep_id, size, times): the id that stays, how many rows there are, and how many with that id."""
 
     def __init__(self, capacity: int = 64):
         self.buckets = 1 << max(2, (capacity * 5 // 4 // SLOTS).bit_length())
@@ -105,40 +107,54 @@ class CuckooIndex:
             index._file(k, p)
         return index
 
-    def merge(self, key: bytes, keep_id, size: int) -> None:
-        """Add ``size`` rows with this digest; the largest id so far stays."""
+    def merge(self, key: bytes, keep_id, size: int, times: int) -> None:
+        """Add ``size`` rows with this digest, ``times`` of them with ``keep_id``; the largest id so far stays."""
         old = self.get(key)
         if old is not None:
-            ids = [i for i in (old[0], keep_id) if i is not None]
-            keep_id, size = max(ids, default=None), old[1] + size
-        self.put(key, (keep_id, size))
+            size += old[1]
+            if keep_id is None or old[0] is not None and old[0] > keep_id:
+                keep_id, times = old[0], old[2] + (times if old[0] is None else 0)
+            elif old[0] == keep_id:
+                times += old[2]
+        self.put(key, (keep_id, size, times))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``(doc_id, digest)``: SHA-256 of the text as it is, null as empty."""
-    return docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("digest"))
+def content() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def sha256(text: Column) -> Column:
+    """The digest of a text as it is, 64 hex digits."""
+    return F.sha2(text, 256)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.conv(F.substring("digest", 17, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def _partial(rows: DataFrame, buckets: int) -> DataFrame:
     """Rows with one digest are summed in a few parts, so that a group of any size reaches its bucket as a few rows."""
-    part = rows.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).alias("part")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("size"))
-    return part.select(F.pmod(F.conv(F.substring("digest", 17, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int").alias("bucket"), F.unhex("digest").alias("digest"), "keep_id", "size")
+    by_id = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).alias("part")
+    summed = by_id.groupBy("digest", part).agg(F.max(F.struct("doc_id", "n")).alias("most"), F.sum("n").alias("size"))
+    return summed.select(_bucket(buckets), F.unhex("digest").alias("digest"), F.col("most.doc_id").alias("keep_id"), "size", F.col("most.n").alias("times"))
 
 
 def _fill(index: CuckooIndex, rows: pa.Table) -> CuckooIndex:
-    for key, keep_id, size in zip(*(rows.column(c).to_pylist() for c in ("digest", "keep_id", "size"))):
-        index.merge(key, keep_id, size)
+    for row in zip(*(rows.column(c).to_pylist() for c in ("digest", "keep_id", "size", "times"))):
+        index.merge(*row)
     return index
 
 
 def groups(rows: DataFrame, buckets: int) -> DataFrame:
-    """``rows(doc_id, digest)`` → ``(digest, keep_id, group_size)`` of the digests that more than one row has."""
+    """``rows(doc_id, digest)`` → ``(digest, keep_id, group_size, times)`` of the digests that more than one row has."""
 
     def run(part: pa.Table) -> pa.Table:
         found = [(k.hex(), *p) for k, p in _fill(CuckooIndex(len(part)), part).items() if p[1] > 1]
-        return pa.table([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["digest", "keep_id", "group_size"])
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], ["digest", "keep_id", "group_size", "times"])
 
-    return _partial(rows, buckets).groupBy("bucket").applyInArrow(run, "digest string, keep_id long, group_size long")
+    return _partial(rows, buckets).groupBy("bucket").applyInArrow(run, "digest string, keep_id long, group_size long, times long")
 
 
 _INDEX = "bucket int, keys long, blob binary"
@@ -148,41 +164,95 @@ def _stored(bucket: int, index: CuckooIndex) -> pa.Table:
     return pa.table([pa.array([bucket], pa.int32()), pa.array([index.live], pa.int64()), pa.array([index.to_bytes()], pa.binary())], ["bucket", "keys", "blob"])
 
 
-def build_index(docs: DataFrame, buckets: int) -> DataFrame:
-    """``(bucket, keys, blob)``: the index of a corpus, one row for each bucket that has rows."""
-    return _partial(digests(docs), buckets).groupBy("bucket").applyInArrow(lambda part: _stored(part["bucket"][0].as_py(), _fill(CuckooIndex(len(part)), part)), _INDEX)
+def live_rows(docs: DataFrame) -> DataFrame:
+    """``(digest, doc_id, copies)``: the rows of a corpus that an index stands for."""
+    return docs.select(sha256(content()).alias("digest"), "doc_id").groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
 
 
-def update_index(index: DataFrame, added: DataFrame, removed: DataFrame, buckets: int) -> DataFrame:
-    """The index after the digests of ``removed(doc_id, text)`` are deleted and ``added`` is inserted."""
-    gone = _partial(digests(removed), buckets).withColumn("gone", F.lit(True))
-    change = gone.unionByName(_partial(digests(added), buckets).withColumn("gone", F.lit(False)))
+def _states(live: DataFrame, buckets: int) -> DataFrame:
+    """``(bucket, digest, keep_id, size, times)`` of the digests in ``live``."""
+    best = live.groupBy("digest").agg(F.max(F.struct("doc_id", "copies")).alias("most"), F.sum("copies").alias("size"))
+    return best.select(_bucket(buckets), F.unhex("digest").alias("digest"), F.col("most.doc_id").alias("keep_id"), "size", F.col("most.copies").alias("times"))
 
-    def run(old: pa.Table, new: pa.Table) -> pa.Table:
-        live = CuckooIndex.from_bytes(old["blob"][0].as_py()) if len(old) else CuckooIndex(len(new))
-        for key in new.filter(new["gone"])["digest"].to_pylist():
-            live.delete(key)
-        _fill(live, new.filter(pc.invert(new["gone"])))
-        return _stored((old if len(old) else new)["bucket"][0].as_py(), live)
 
-    return index.groupBy("bucket").cogroup(change.groupBy("bucket")).applyInArrow(run, _INDEX)
+def build_index(live: DataFrame, buckets: int) -> DataFrame:
+    """:func:`live_rows` → ``(bucket, keys, blob)``: the index, one row for each bucket that has digests."""
+    return _states(live, buckets).groupBy("bucket").applyInArrow(lambda part: _stored(part["bucket"][0].as_py(), _fill(CuckooIndex(len(part)), part)), _INDEX)
 
 
-def exact_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def update_index(index: DataFrame, live: DataFrame, added: DataFrame, removed: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(index, live rows) after the rows of ``removed(doc_id, text)`` are deleted and those of ``added`` are inserted.
+
+    A digest goes from the index with its last row; while it has others, its size and the id that stays follow them.
+    Rows that were never there are not removed."""
+    change = live_rows(added).unionByName(live_rows(removed).withColumn("copies", -F.col("copies")))
+    change = materialize(change.groupBy("digest", "doc_id").agg(F.sum("copies").alias("copies")), "change")
+    after = materialize(live.unionByName(change).groupBy("digest", "doc_id").agg(F.sum("copies").alias("copies")).where("copies > 0"), "live")
+    touched = change.select("digest").distinct()
+    states = _states(after.join(touched, "digest", "left_semi"), buckets)
+    gone = touched.join(after, "digest", "left_anti").select(_bucket(buckets), F.unhex("digest").alias("digest"))
+
+    def run(old: pa.Table, new: pa.Table) -> pa.Table:
+        held = CuckooIndex.from_bytes(old["blob"][0].as_py()) if len(old) else CuckooIndex(len(new))
+        for key, keep_id, size, times in zip(*(new.column(c).to_pylist() for c in ("digest", "keep_id", "size", "times"))):
+            held.delete(key) if size is None else held.put(key, (keep_id, size, times))
+        return _stored((old if len(old) else new)["bucket"][0].as_py(), held)
+
+    news = states.unionByName(gone, allowMissingColumns=True)
+    return index.groupBy("bucket").cogroup(news.groupBy("bucket")).applyInArrow(run, _INDEX), after
+
+
+def _decided(docs: DataFrame, digest: Callable[[Column], Column], bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(groups by digest, groups by digest and text): what the index finds equal, and is; the second for digests that several texts have."""
+    rows = materialize(docs.select("doc_id", digest(content()).alias("digest")), "digests")
+    found = materialize(groups(rows, max(1, -(-rows.count() // bucket_rows))), "groups")
+    # Of each digest the least and the greatest text, which are one; partly done before the exchange.
+    texts = docs.select("doc_id", digest(content()).alias("digest"), content().alias("text")).join(found.select("digest"), "digest", "left_semi")
+    several = materialize(texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest"), "several")
+    by_id = texts.join(several, "digest", "left_semi").groupBy("digest", "text", "doc_id").agg(F.count("*").alias("n"))
+    by_text = by_id.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "n")).alias("most"), F.sum("n").alias("group_size"))
+    by_text = by_text.select("digest", F.col("text").alias("same"), F.col("most.doc_id").alias("keep_id"), "group_size", F.col("most.n").alias("times"))
+    return found.join(several, "digest", "left_anti"), by_text
+
+
+def _with_groups(rows: DataFrame, found: DataFrame, by_text: DataFrame) -> DataFrame:
+    """``rows(digest, text, ...)`` with ``keep_id``, ``group_size`` and ``times``; null where a text is alone."""
+    by_text = materialize(by_text, "by_text")
+    plain = rows.join(found, "digest", "left")
+    if by_text.isEmpty():
+        return plain
+    odd = by_text.select("digest").distinct()
+    clash = rows.join(odd, "digest", "left_semi").join(by_text.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.col("text") == F.col("same")), "left")
+    return plain.join(odd, "digest", "left_anti").unionByName(clash.drop("_digest", "same"))
+
+
+def exact_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """``docs(doc_id, text, ...)`` → ``(doc_id, keep_id, group_size, kept, text_sha256)``, one row for each row of ``docs``.
 
     Texts are equal if they are the same without any change; null is the empty text. Of a group the largest doc_id
     stays. Rows that repeat both id and text count in ``group_size`` and share one decision. Null ids stay only
     where no row of the group has an id. Other columns are ignored; an empty table gives an empty result.
+    ``digest`` may be any key of 16 hex digits or more: what it calls equal is held against the texts.
     """
-    rows = materialize(digests(docs), "digests")
-    buckets = max(1, -(-rows.count() // bucket_rows))
-    found = groups(rows, buckets)
-    joined = rows.join(found, "digest", "left")
+    found, by_text = _decided(docs, digest, bucket_rows)
+    rows = docs.select("doc_id", digest(content()).alias("digest"), content().alias("text"))
+    joined = _with_groups(rows.select("doc_id", "digest", "text", sha256(F.col("text")).alias("text_sha256")), found, by_text)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
-
-
-def keep_last(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_duplicates` does not keep, all columns as they were."""
-    return drop_ids(docs, exact_duplicates(docs, **params).where("not kept").select("doc_id"))
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+
+
+def keep_last(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, all columns as they were.
+
+    Each row is decided by its own id and text: the largest doc_id stays, a null one only where the group has no
+    other. Of rows that repeat both, the least by the other columns stays. An empty table gives an empty result."""
+    found, by_text = _decided(docs, digest, bucket_rows)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", digest(content()).alias("digest"), content().alias("text"))
+    kept = _with_groups(rows, found, by_text).where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    again = lambda df: df.where("times > 1").select("digest")
+    repeated = materialize(again(found).union(again(by_text)).distinct(), "repeated")
+    if by_text.isEmpty():
+        return one_of_each(kept, "digest", repeated).select("row.*")
+    key = F.struct("digest", "text").alias("key")
+    both = materialize(kept.where("times > 1").select(key).distinct(), "repeated")
+    return one_of_each(kept.withColumn("key", key), "key", both).select("row.*")

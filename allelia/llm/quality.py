@@ -1,7 +1,8 @@
 """Quality rules with adaptive thresholds, in DataFrame functions.
 
 The rates of each text are sketched by language and source (KLL, mergeable). A group's upper limit follows from its
-quartiles; groups with few rows take the limit of the merged sketches of their language, or of all. The limits are
+quartiles. They are drawn towards those of the merged sketches of its language, and these towards those of all, by the
+weight of a fixed number of rows, so that every group has limits of its own and none jumps as it grows. The limits are
 joined back to the texts.
 """
 
@@ -16,9 +17,9 @@ from .common import SPACE_CHARS, materialize
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 3, 50, 0.5
 #: Rates that get a limit, with the least distance from the upper quartile to it.
-RATES = {"word_length": 3.0, "symbol_rate": 0.04, "dup_line_rate": 0.04, "repeat_rate": 0.35}
-#: Interquartile ranges from the upper quartile to the limit; rows below which a group's own sketch is too small.
-SPREAD, LEAST_GROUP = 6.0, 300
+RATES = {"word_length": 1.5, "symbol_rate": 0.04, "dup_line_rate": 0.04, "repeat_rate": 0.35}
+#: Interquartile ranges from the upper quartile to the limit; rows that the quartiles of a group's parent count as.
+SPREAD, PARENT_ROWS = 6.0, 300
 
 
 def _repeated(w: Column) -> Column:
@@ -87,13 +88,18 @@ def limits(rows: DataFrame) -> DataFrame:
     by_lang = merged(own.groupBy("lang")).select(F.col("lang").alias("_lang"), F.struct("n", *RATES).alias("of_lang"))
     of_all = merged(own.groupBy()).select(F.struct("n", *RATES).alias("of_all"))
     every = own.select("lang", "source", F.struct("n", *RATES).alias("of_group")).join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(of_all))  # of_all is one row
-    pick = F.when(F.col("of_group.n") >= LEAST_GROUP, F.col("of_group")).when(F.col("of_lang.n") >= LEAST_GROUP, F.col("of_lang")).otherwise(F.col("of_all"))
+
+    def quartile(rate: str, at: float) -> Column:
+        """A quantile of the group, drawn towards its language's, drawn towards that of all."""
+        q = lambda level: F.kll_sketch_get_quantile_double(F.col(f"{level}.{rate}"), F.lit(at))
+        drawn = lambda level, parent: (F.col(f"{level}.n") * q(level) + PARENT_ROWS * parent) / (F.col(f"{level}.n") + PARENT_ROWS)
+        return drawn("of_group", drawn("of_lang", q("of_all")))
 
     def limit(rate: str, least: float) -> Column:
-        q = lambda at: F.kll_sketch_get_quantile_double(F.col(f"pick.{rate}"), F.lit(at))
-        return (q(0.75) + F.greatest(SPREAD * (q(0.75) - q(0.25)), F.lit(least))).alias(f"limit_{rate}")
+        low, high = quartile(rate, 0.25), quartile(rate, 0.75)
+        return (high + F.greatest(SPREAD * (high - low), F.lit(least))).alias(f"limit_{rate}")
 
-    return every.select("lang", "source", pick.alias("pick")).select("lang", "source", *(limit(r, x) for r, x in RATES.items()))
+    return every.select("lang", "source", *(limit(r, x) for r, x in RATES.items()))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -1,32 +1,38 @@
 """Near copies by the words themselves: two texts are linked where the Jaccard similarity of their word shingles is high.
 
-At similarity 0.8 two 64-bit SimHash fingerprints differ in about ten bits and in up to seventeen, beyond what chains
-of segments can select by. Candidates therefore share a band of ``ROWS`` least hashes: a pair at 0.8 has none of the
-``BANDS`` in common once in twenty million. Each candidate is then checked against the whole shingle sets.
+Candidates of a link share a band of ``ROWS`` least hashes: a pair at 0.8 has none of the ``BANDS`` in common once in
+twenty million. A bucket's members are held against its most central one first, which settles nearly all of a group
+of copies in a number of pairs that grows with its members. Of the buckets that are not one component then, rare
+shingles come before common ones, and two similar texts must share one of the rarest fifth of theirs (a prefix filter):
+texts that differ from all others in that many shingles meet nobody. Before sets are compared, a sketch of parities
+gives a lower bound of how many shingles differ. Nothing is left out by any of this.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected
-from .common import Words, drop_ids, materialize, per_slice, tasks
+from .common import Words, materialize, one_of_each, per_slice
 from .xxh import xxh64
 
-#: Words in a shingle; the similarity of a link as a fraction; bands and least hashes in each.
-SHINGLE, SIMILAR, BANDS, ROWS = 5, (4, 5), 32, 4
-#: Members of a band's bucket compared pair by pair at once; larger ones are first linked to their least member.
-PAIRWISE = 64
+#: The similarity of a link as a fraction; bands and least hashes in each; words of 64 bits in a sketch.
+SIMILAR, BANDS, ROWS, SKETCH = (4, 5), 32, 4, 8
 
 _DRAW = np.random.default_rng(41)
 _FLIP = _DRAW.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 _TIMES = _DRAW.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def sets_of(texts: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def node_of() -> Column:
+    """A row is known by its id and a hash of its text; null ids come last."""
+    return F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")).alias("node")
+
+
+def sets_of(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text in one array, and how many each has: one for texts of fewer words, whichever they are."""
     w = Words(texts, lower=True)
     n = np.where(w.count > 0, np.maximum(w.count - shingle + 1, 1), 0)
@@ -39,7 +45,7 @@ def sets_of(texts: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.nd
     at = np.concatenate([np.repeat(np.arange(len(texts)), n), bare])
     order = np.lexsort((h, at))
     h, at = h[order], at[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1])])
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1])]) if len(h) else np.zeros(0, bool)
     return h[new], np.bincount(at[new], minlength=len(texts))
 
 
@@ -55,61 +61,117 @@ def bands_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _banded(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-    hashes, sizes = sets_of(texts)
-    keys = bands_of(hashes, sizes).view(np.int64)
-    ids = part.column(0).take(pa.array(np.repeat(np.arange(len(texts)), BANDS)))
-    return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), ids, pa.array(np.repeat(sizes, BANDS).astype(np.int64))], ["key", "doc_id", "n"])
+def sketches_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parity of how many shingles fall on each bit. Two texts' sketches differ in no more bits than their sets do in shingles."""
+    bit = (hashes >> np.uint64(40)) % np.uint64(64 * SKETCH)
+    begin = np.cumsum(sizes) - sizes
+    one = np.uint64(1) << (bit % np.uint64(64))
+    return np.stack([np.bitwise_xor.reduceat(np.where(bit // np.uint64(64) == k, one, np.uint64(0)), begin) for k in range(SKETCH)], axis=1)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """The rows of a table of unsigned longs as lists."""
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64).ravel()))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(node_of(), "text").select("node.id", "node.mark", "text")
+
+
+def _noded(found: DataFrame) -> DataFrame:
+    return found.select(F.struct("id", "mark").alias("node"), *found.columns[2:])
+
+
+def signed(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(node, n, fp, keys)`` of each row, stored: how many shingles, the fingerprint, the key of each band."""
+    from .simhash import fingerprints_of
+
+    def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        hashes, sizes = sets_of(texts, shingle)
+        fp = pa.array(fingerprints_of(texts, shingle).view(np.int64))
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), fp, _lists(bands_of(hashes, sizes))], ["id", "mark", "n", "fp", "keys"])
+
+    return materialize(_noded(_rows(docs).mapInArrow(per_slice(run), "id long, mark long, n long, fp long, keys array<long>")), "signatures")
+
+
+def sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``(node, n, s, sketch)`` of the rows in ``nodes(node)``, stored."""
+
+    def run(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        hashes, sizes = sets_of(texts, shingle)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        cols = [part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))), _lists(sketches_of(hashes, sizes))]
+        return pa.RecordBatch.from_arrays(cols, ["id", "mark", "n", "s", "sketch"])
+
+    kept = docs.select(node_of(), "text").join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return materialize(_noded(kept.select("node.id", "node.mark", "text").mapInArrow(per_slice(run), "id long, mark long, n long, s array<long>, sketch array<long>")), "shingles")
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """``(key, node, n, size)`` of the bands that several nodes share, stored. Keys are counted before any row is moved to its key."""
+    banded = rows.select("node", "n", F.explode("keys").alias("key"))
+    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    return materialize(banded.join(shared, "key"), "buckets")
+
 
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of each member with its bucket's most central one: that which meets the most others in all its buckets."""
+    score = members.groupBy("node").agg(F.sum("size").alias("score"))
+    ranked = members.select("key", "node").join(score, "node")
+    centre = ranked.groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("node.id"), -F.col("node.mark"))).alias("v"))
+    return members.select("key", F.col("node").alias("u")).join(centre, "key").where("u <> v").select("u", "v")
 
-def _whole(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-    hashes, sizes = sets_of(texts)
-    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-    return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64)))], ["doc_id", "s"])
 
+def _rare_pairs(texts: DataFrame, roots: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs of texts in different components that share a shingle among the rarest of both, as similar texts must.
 
-def _pairs(members: DataFrame, *apart) -> DataFrame:
-    """Pairs ``(u, v)`` of a bucket's members whose sizes allow the similarity."""
-    a = members.select("key", F.col("doc_id").alias("u"), F.col("n").alias("nu"), *(F.col(c).alias("_" + c) for c in apart))
-    b = members.select("key", F.col("doc_id").alias("v"), F.col("n").alias("nv"), *apart)
-    met = a.join(b, "key").where("u < v").where(F.least("nu", "nv") * SIMILAR[1] >= F.greatest("nu", "nv") * SIMILAR[0])
-    for c in apart:
-        met = met.where(F.col("_" + c) != F.col(c))
-    return met.select("u", "v").distinct()
+    Of n shingles so many may be missing from the other text, and one more is looked at. Shingles that one text alone
+    has come first; they take up places but meet nobody."""
+    part, whole = similar
+    owned = texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "s")
+    tokens = owned.select("node", F.explode("s").alias("h"))
+    common = materialize(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    ranked = tokens.join(common, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))  # as long as a text at most
+    looked_at = F.col("n") - F.ceil(F.col("n") * part / whole) + 1 - (F.col("n") - F.size("x"))
+    rare = owned.select("node", "root", "n").join(ranked, "node").select("node", "root", "n", F.explode(F.slice("x", 1, F.greatest(F.lit(0), looked_at.cast("int")))).alias("t"))
+    posted = materialize(rare.select(F.col("t.h").alias("h"), "node", "root", "n"), "postings")
+    several = posted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
+    posted = posted.join(several, "h", "left_semi")
+    a, b = (posted.select("h", *(F.col(c).alias(c + x) for c in ("node", "root", "n"))) for x in "uv")
+    near = (F.col("nodeu") < F.col("nodev")) & (F.col("rootu") != F.col("rootv")) & (F.least("nu", "nv") * whole >= F.greatest("nu", "nv") * part)
+    return a.join(b, "h").where(near).select(F.col("nodeu").alias("u"), F.col("nodev").alias("v"))
 
 
-def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
-    pairs = materialize(pairs, "candidates")
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = materialize(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(per_slice(_whole), "doc_id long, s array<long>"), "shingles")
-    a, b = (sets.select(F.col("doc_id").alias(x), F.col("s").alias("s" + x)) for x in "uv")
+def _verified(pairs: DataFrame, texts: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough, stored; sketches are compared before any set is sent."""
+    part, whole = similar
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    a, b = (texts.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("k" + x)) for x in "uv")
+    bits = F.aggregate(F.zip_with("ku", "kv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # Jaccard similarity is (total - different) / (total + different).
+    few = lambda different: different * (part + whole) <= (F.col("nu") + F.col("nv")) * (whole - part)
+    likely = materialize(pairs.join(a, "u").join(b, "v").where(few(bits)).select("u", "v", "nu", "nv"), "likely")
+    a, b = (texts.select(F.col("node").alias(x), F.col("s").alias("s" + x)) for x in "uv")
     both = F.size(F.array_intersect("su", "sv"))
-    part, whole = SIMILAR  # both / (su + sv - both) >= part / whole
-    return pairs.join(a, "u").join(b, "v").where(both * (part + whole) >= (F.size("su") + F.size("sv")) * part).select("u", "v").distinct()
-
-
-def links(docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
-    """``docs(doc_id, text, ...)`` → links ``(u, v)`` that keep every connection between similar texts.
-
-    Members of a large bucket are held against its least one first; then all its pairs that are not connected yet."""
-    docs = docs.where("doc_id is not null")
-    banded = docs.select("doc_id", "text").mapInArrow(per_slice(_banded), "key long, doc_id long, n long").repartition(tasks(docs.sparkSession), "key")
-    heads = banded.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(banded.join(heads, "key"), "buckets")
-    large = members.where(F.col("size") > pairwise)
-    stars = large.where("least <> doc_id").select(F.col("least").alias("u"), F.col("doc_id").alias("v"))
-    found = materialize(_similar(_pairs(members.where(F.col("size") <= pairwise)).union(stars).distinct(), docs), "similar")
-    if large.isEmpty():
-        return found
-    known = connected(found).select(F.col("node").alias("doc_id"), "root")
-    open_ = large.join(known, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    several = open_.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    return found.union(materialize(_similar(_pairs(open_.join(several, "key", "left_semi"), "root"), docs), "similar"))
-
-
-def keep_one(docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
-    """``docs`` with the row of the least doc_id of each group of similar texts, all columns as they were.
-
-    Null and empty texts are alike. Rows with a null doc_id stay."""
-    return drop_ids(docs, connected(links(docs, pairwise)).select(F.col("node").alias("doc_id")))
+    return materialize(likely.join(a, "u").join(b, "v").where(few(F.col("nu") + F.col("nv") - 2 * both)).select("u", "v"), "similar")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, first: DataFrame, shingle: int, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """``rows`` of :func:`signed` and first candidates ``(u, v)`` → links that keep every connection between similar texts."""
+    first, members = materialize(first, "first"), buckets(rows)
+    texts = sets(docs, members.select("node").union(first.select("u")).union(first.select("v")), shingle)
+    found = _verified(first.union(stars(members)), texts, similar)
+    roots = connected(found).select("node", "root")
+    at = members.where("size > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = at.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    open_ = materialize(at.join(several, "key", "left_semi").select("node").distinct(), "open")
+    return found.union(_verified(_rare_pairs(texts.join(open_, "node", "left_semi"), roots, similar), texts, similar))
+
+
+def without_copies(docs: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``docs`` with the least node of each component; of rows that repeat a node one."""
+    dropped = connected(links).select("node")  # a component's least node is none of them
+    repeated = materialize(rows.groupBy("node").count().where("count > 1").select("node"), "repeated")
+    kept = docs.select(F.struct(*docs.columns).alias("row"), node_of()).join(dropped, "node", "left_anti")
+    return one_of_each(kept, "node", repeated).select("row.*")

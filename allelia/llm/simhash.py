@@ -1,9 +1,10 @@
 """SimHash near-duplicates, found by pigeonring chains of fingerprint segments.
 
-Of two fingerprints that differ in at most ``max_bits`` bits, laid out as a ring of ``segments`` segments, some
-chain of consecutive segments stays within the budget ``l * max_bits / segments`` for each of its lengths l (Qin
-and Xiao, VLDB 2018). The leading segments whose budget is below one bit must be equal: they are the join key.
-The longer chains are tested before the whole Hamming distance is.
+Of two fingerprints that differ in at most ``max_bits`` bits, laid out as a ring of m segments, some chain of
+consecutive segments stays within the budget ``l * max_bits / m`` for each of its lengths l (Qin and Xiao, VLDB 2018).
+The leading segments whose budget is below one bit must be equal: they are the key of a bucket. Within a bucket the
+longer chains are tested before the whole Hamming distance is. In a bucket of many members the bits that are not
+fixed yet are a ring again, by the same rule, until buckets are small or no more bits are free than may differ.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected
-from .common import Words, drop_ids, materialize, per_slice, tasks
+from . import shingles
+from .common import Words, materialize, per_slice, tasks
 from .xxh import xxh64
 
-#: Words in a shingle, differing bits of a link, segments of the ring.
-SHINGLE, MAX_BITS, SEGMENTS = 3, 2, 5
-#: Members of a key's bucket compared pair by pair; larger buckets are linked through shared neighbours, exactly.
+#: Words in a shingle, differing bits of a link.
+SHINGLE, MAX_BITS = 3, 2
+#: Members of a bucket that are compared pair by pair; larger buckets are cut into rings of their own.
 PAIRWISE = 64
+_WHOLE = (1 << 64) - 1
 
 _LANES = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], dtype=np.uint64)
 
@@ -59,10 +62,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(per_slice(run), "doc_id long, fp long")
 
 
-def ring(segments: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment of 64 bits."""
-    cuts = [64 * i // segments for i in range(segments + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def ring_of(free: int, max_bits: int) -> list[int]:
+    """Masks of the ring's segments over the bits of ``free``: 2 * max_bits + 1 of them, or one for each bit."""
+    bits = [b for b in range(64) if free >> b & 1]
+    m = min(2 * max_bits + 1, len(bits))
+    cuts = [len(bits) * i // m for i in range(m + 1)]
+    return [sum(1 << b for b in bits[x:y]) for x, y in zip(cuts, cuts[1:])]
 
 
 def key_length(segments: int, max_bits: int) -> int:
@@ -70,107 +75,122 @@ def key_length(segments: int, max_bits: int) -> int:
     return max(n for n in range(1, segments + 1) if n * max_bits < segments)
 
 
-def chain_keys(fps: DataFrame, segments: int, max_bits: int) -> DataFrame:
-    """One row for each fingerprint and ring position: ``(at, key, fp, rep)``; the key holds the segments that must be equal."""
-    parts, lead = ring(segments), key_length(segments, max_bits)
-    rows = []
-    for i in range(segments):
-        mask = sum(((1 << w) - 1) << a for a, w in (parts[(i + k) % segments] for k in range(lead)))
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        rows.append(F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("key")))
-    return fps.select("fp", "rep", F.explode(F.array(*rows)).alias("k")).select("k.at", "k.key", "fp", "rep")
-
-
-def _linker(segments: int, max_bits: int, pairwise: int):
-    """``mapInArrow`` over rows sorted by (at, key): links within small buckets, and the members of large ones marked for the other way."""
-    parts, lead = ring(segments), key_length(segments, max_bits)
-    masks = [np.uint64(((1 << w) - 1) << a) for a, w in parts]
-    names = ["u", "v", "fp", "hot"]
-    schema = pa.schema([(n, pa.int64()) for n in names])
-
-    def emit(u, v, fp, hot):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, fp, np.full(len(u), hot))], schema=schema)
-
-    def work(at, key, fp, rep):
-        """Links of whole buckets."""
-        n = len(at)
-        new = np.concatenate([[True], (at[1:] != at[:-1]) | (key[1:] != key[:-1])])
-        begin = np.flatnonzero(new)
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+_BUCKET = "ring long, at int, free long, fixed long"
+
+
+def _dealer(max_bits: int):
+    """``mapInArrow``: each row ``(free, fp, rep)`` in the bucket of every position of the ring over its free bits."""
+
+    def run(batches):
+        for b in batches:
+            free, fp, rep = (np.asarray(c, dtype=np.int64) for c in b.columns)
+            for mask in np.unique(free).tolist():
+                rows = free == mask
+                u64, parts = fp[rows].view(np.uint64), ring_of(mask & _WHOLE, max_bits)
+                lead = key_length(len(parts), max_bits)
+                for at in range(len(parts)):
+                    left = (mask & _WHOLE) & ~sum(parts[(at + k) % len(parts)] for k in range(lead))
+                    same = lambda x, n=len(u64): pa.array(np.full(n, x), pa.int64())
+                    fixed = (u64 & np.uint64(_WHOLE & ~left)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [same(mask), pa.array(np.full(len(u64), at, np.int32)), same(_signed(left)), pa.array(fixed), pa.array(fp[rows]), pa.array(rep[rows])], ["ring", "at", "free", "fixed", "fp", "rep"])
+
+    return run
+
+
+def deal(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``rows(free, fp, rep)`` → ``(ring, at, free, fixed, fp, rep)``: a bucket is one ring, position and value of all bits fixed so far."""
+    return rows.select("free", "fp", "rep").mapInArrow(_dealer(max_bits), f"{_BUCKET}, fp long, rep long")
+
+
+def _linker(max_bits: int, most: int):
+    """``mapInArrow`` over rows sorted by bucket, of ``most`` members at most: pairs within ``max_bits``, chains first."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def near(ring: int, at: int, x: np.ndarray) -> np.ndarray:
+        """Which differences have a chain from ``at`` on within its budgets, and then so few bits in all."""
+        parts = ring_of(ring & _WHOLE, max_bits)
+        total, ok = np.zeros(len(x), np.int64), np.ones(len(x), bool)
+        for k in range(key_length(len(parts), max_bits), len(parts)):
+            total += np.bitwise_count(x & np.uint64(parts[(at + k) % len(parts)]))
+            ok &= total <= (k + 1) * max_bits // len(parts)
+        ok[ok] = np.bitwise_count(x[ok]) <= max_bits
+        return ok
+
+    def work(cols):
+        ring, at, _, _, fp, rep = cols
+        n = len(fp)
+        begin = np.flatnonzero(_new(cols))
         size = np.diff(np.append(begin, n))
-        length = np.repeat(size, size)
         left = np.repeat(begin + size, size) - np.arange(n) - 1  # members after this one in its bucket
-        big = length > pairwise
-        if big.any():
-            yield emit(rep[big], rep[big], fp[big], 1)
-        idx = np.flatnonzero((left > 0) & ~big)
+        kind = ring * np.int64(64) + at
         u64 = fp.view(np.uint64)
-        for d in range(1, pairwise):
-            idx = idx[left[idx] >= d]
+        for d in range(1, most):
+            idx = np.flatnonzero(left >= d)
             if not len(idx):
                 break
-            x = u64[idx] ^ u64[idx + d]
-            ok, total = np.ones(len(idx), bool), np.zeros(len(idx), np.int64)
-            for k in range(lead, segments):
-                seg = np.array(masks)[(at[idx] + k) % segments]
-                total += np.bitwise_count(x & seg)
-                ok &= total <= (k + 1) * max_bits // segments
-            ok[ok] = np.bitwise_count(x[ok]) <= max_bits
-            i = idx[ok]
-            if len(i):
-                yield emit(rep[i], rep[i + d], fp[i], 0)
+            for k in np.unique(kind[idx]):
+                i = idx[kind[idx] == k]
+                i = i[near(int(ring[i[0]]), int(at[i[0]]), u64[i] ^ u64[i + d])]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[i + d])], schema=schema)
+
+    def _new(cols) -> np.ndarray:
+        changed = np.zeros(len(cols[0]) - 1, bool)
+        for c in cols[:4]:
+            changed |= c[1:] != c[:-1]
+        return np.concatenate([[True], changed])
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
+        held = None
         for b in batches:
-            cols = [np.asarray(b.column(i), dtype=np.int64) for i in range(4)]
-            if not len(cols[0]):
-                continue
-            at, key = cols[0], cols[1]
-            new = np.flatnonzero((at[1:] != at[:-1]) | (key[1:] != key[:-1])) + 1
-            starts_new = not held or (held[-1][0][-1], held[-1][1][-1]) != (at[0], key[0])
-            cut = int(new[-1]) if len(new) else (0 if starts_new else None)
-            if cut is None:  # the whole batch goes on with the held bucket
-                held.append(cols)
-                if sum(len(h[0]) for h in held) > 1 << 20:  # such a bucket is large anyway: pass its members on
-                    done = [np.concatenate(x) for x in zip(*held)]
-                    tail = [x[-(pairwise + 1) :] for x in done]
-                    yield emit(done[3], done[3], done[2], 1)
-                    held = [tail]
+            if not b.num_rows:
                 continue
-            held.append([c[:cut] for c in cols])
-            done = [np.concatenate(x) for x in zip(*held)]
-            if len(done[0]):
-                yield from work(*done)
-            held = [[c[cut:] for c in cols]]
-        if held:
-            done = [np.concatenate(x) for x in zip(*held)]
-            if len(done[0]):
-                yield from work(*done)
+            cols = [np.asarray(c, dtype=np.int64) for c in b.columns]
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            last = int(np.flatnonzero(_new(cols))[-1])  # the last bucket may go on
+            if last:
+                yield from work([c[:last] for c in cols])
+            held = [c[last:] for c in cols]
+        if held is not None:
+            yield from work(held)
 
     return run
 
 
-def _ball_links(hot: DataFrame) -> DataFrame:
-    """Exact links of large buckets without pairs: two fingerprints differ in at most two bits if and only if both
-    lie within one bit of some common value, so all members around each value (65 at most) are linked to the least."""
-    flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64) * (b == 63)).cast("long")) for b in range(64)]
-    around = hot.select("fp", F.col("u").alias("rep")).distinct().select("rep", F.explode(F.array(*flips)).alias("centre"))
-    groups = around.groupBy("centre").agg(F.min("rep").alias("v"), F.collect_list("rep").alias("us")).where(F.size("us") > 1)
-    return groups.select(F.explode("us").alias("u"), "v").where("u <> v")
-
+def links(fps: DataFrame, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE) -> DataFrame:
+    """``fps(fp, rep)``, fingerprints distinct → links ``(u, v)`` of representatives that keep every connection.
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, pairwise: int = PAIRWISE) -> DataFrame:
-    """``fps(fp, rep)``, fingerprints distinct → links ``(u, v)`` of representatives that keep every connection:
-    all pairs from small buckets, shared neighbours from large ones."""
-    if max_bits != 2 or segments < 3:
-        raise ValueError("links are exact for max_bits 2 and at least 3 segments")
+    Exact for any ``max_bits`` from 1 to 31. Buckets are counted before they are dealt out: those of one member go,
+    those of up to ``pairwise`` are compared, and larger ones are cut further, each round as a stored table. Where no
+    more bits are free than may differ all members are near, and are linked to the least."""
+    if not 1 <= max_bits <= 31:
+        raise ValueError("max_bits must be from 1 to 31")
     spark = fps.sparkSession
-    keyed = chain_keys(fps, segments, max_bits).repartition(tasks(spark), "at", "key").sortWithinPartitions("at", "key")
-    found = materialize(keyed.mapInArrow(_linker(segments, max_bits, pairwise), "u long, v long, fp long, hot long"), "chains")
-    return found.where("hot = 0").select("u", "v").union(_ball_links(found.where("hot = 1")))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS, pairwise: int = PAIRWISE) -> DataFrame:
+    bucket = ["ring", "at", "free", "fixed"]
+    rows, found = fps.select(F.lit(-1).cast("long").alias("free"), "fp", "rep"), None
+    for _ in range(64):  # every round fixes a bit or more
+        dealt = materialize(deal(rows, max_bits), "chains")
+        sizes = materialize(dealt.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"), "sizes")
+        small = dealt.join(sizes.where(F.col("n") <= pairwise).select(*bucket), bucket).select(*dealt.columns)
+        sorted_ = small.repartition(tasks(spark), *bucket).sortWithinPartitions(*bucket, "fp")
+        pairs = sorted_.mapInArrow(_linker(max_bits, pairwise), "u long, v long")
+        large = materialize(dealt.join(sizes.where(F.col("n") > pairwise), bucket), "large")
+        all_near = F.bit_count("free") <= max_bits
+        pairs = pairs.union(large.where(all_near & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("u"), F.col("least").alias("v")))
+        pairs = materialize(pairs.distinct(), "near")
+        found = pairs if found is None else found.union(pairs)
+        rows = large.where(~all_near).select("free", "fp", "rep").distinct()
+        if rows.isEmpty():
+            return found
+    raise RuntimeError("buckets did not settle")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE) -> DataFrame:
     """``docs(doc_id, text, ...)`` → ``(doc_id, fingerprint, component_id)``, one row for each row of ``docs``.
 
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows share a component.
@@ -179,12 +199,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
     reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = connected(links(reps.where("rep is not null"), max_bits, segments, pairwise))
+    roots = connected(links(reps.where("rep is not null"), max_bits, pairwise))
     classes = reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with the row of the least doc_id of each near-duplicate group, all columns as they were."""
-    found = near_duplicates(docs, **params)
-    return drop_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
+#: The stage that keeps one text of each group: words in a shingle, and bits of fingerprints that are candidates.
+STAGE_SHINGLE, STAGE_BITS = 5, 3
+
+
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, max_bits: int = STAGE_BITS, similar: tuple[int, int] = shingles.SIMILAR) -> DataFrame:
+    """``docs`` with one row of each group of texts linked at a Jaccard similarity of ``similar`` or more over word
+    shingles, all columns as they were: the row of the least doc_id, of equal ids the one of the least text hash.
+
+    Fingerprints within ``max_bits`` bits, found by pigeonring chains, are the first candidates. 64 bits do not reach
+    a similarity of 0.8 (such pairs are ten bits apart on average, and up to seventeen), so :mod:`.shingles` adds the
+    others; each candidate is held against the whole shingle sets. Null and empty texts are alike. Rows with a null
+    doc_id come last in their group. Of rows that repeat id and text one stays; an empty table gives an empty result."""
+    rows = shingles.signed(docs, shingle)
+    classes = materialize(rows.groupBy("fp").agg(F.min("node").alias("least"), F.min(F.xxhash64("node")).alias("rep")), "classes")
+    near = links(classes.select("fp", "rep"), max_bits)
+    a, b = (classes.select(F.col("rep").alias(x), F.col("least").alias("_" + x)) for x in "uv")
+    across = near.join(a, "u").join(b, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    equal = rows.join(classes, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return shingles.without_copies(docs, rows, shingles.similar_links(docs, rows, equal.union(across), shingle, similar))

@@ -22,6 +22,8 @@ NGRAMS, BUCKETS, DIM, WINDOW, STEP = (3, 4, 5, 6), 1 << 17, 8, 32, 16
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…¡¿"
 #: The documented sample: labelled rows of each class, by least hash of doc_id.
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1000, 2000
+#: Characters beyond which a labelled text is not taken into the sample, so that its size is bounded in bytes too.
+SAMPLE_CHARS = 50_000
 EPOCHS, BATCH, RATE, SEED = 30, 32, 0.15, 7
 #: Every so manieth text of the sample is kept from training, to set the scale and offset of the logits.
 CALIBRATION = 5
@@ -195,13 +197,13 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, positive: int = SAMPLE_POSI
     Of several labels of a document the greater counts, of several texts the least.
 
     The sample is bounded and documented: about ``positive`` and ``negative`` rows, those with the least hash of
-    doc_id; their whole texts are used."""
+    doc_id; their whole texts are used. Labelled texts of more than ``SAMPLE_CHARS`` characters are not in it. All texts are scored whole."""
     rows = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
     share = F.when(F.col("toxic") == 1, positive / max(1, counts.get(1, 0))).otherwise(negative / max(1, counts.get(0, 0)))
     sample = rows.where(place <= share)  # about positive + negative ids: small enough to broadcast at any size
-    matched = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
+    matched = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null").where(F.char_length("text") <= SAMPLE_CHARS)
     found = matched.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit_calibrated([r["text"] for r in found], [r["toxic"] for r in found], counts.get(1, 0) / max(1, sum(counts.values())))

@@ -21,8 +21,8 @@ def fingerprint(text):
     return sum(1 << b for b, n in bits.items() if 2 * n > len(grams))
 
 
-def components(fps):
-    """fps: doc_id → fingerprint; links at two or fewer bits."""
+def components(fps, max_bits=2):
+    """fps: doc_id → fingerprint; links at ``max_bits`` or fewer bits."""
     root = {d: d for d in fps}
 
     def find(x):
@@ -33,7 +33,7 @@ def components(fps):
     ids = sorted(fps)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= 2:
+            if (fps[a] ^ fps[b]).bit_count() <= max_bits:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: find(d) for d in ids}

@@ -41,20 +41,20 @@ def test_simhash_table(spark, sf_dir):
     assert got == {d: (f"{fps[d]:016x}", want[d]) for d in texts}
 
 
-@pytest.mark.parametrize("pairwise", [2, 64])
-def test_links_keep_every_component(spark, pairwise):
+@pytest.mark.parametrize("max_bits,pairwise", [(1, 64), (2, 2), (2, 64), (3, 4), (5, 16)])
+def test_links_keep_every_component(spark, max_bits, pairwise):
     rnd = random.Random(3)
     seeds = [rnd.getrandbits(64) for _ in range(6)]
-    fps = {s for s in seeds}
+    fps = {s for s in seeds} | {seeds[0] ^ k for k in range(40)}  # the last differ in few bits, all of them near
     for s in seeds:
-        for _ in range(60):
-            s ^= 1 << rnd.randrange(64)
-            fps.add(s if rnd.random() < 0.7 else s ^ (1 << rnd.randrange(64)))
+        for _ in range(40):
+            for _ in range(rnd.randrange(1, max_bits + 2)):
+                s ^= 1 << rnd.randrange(64)
+            fps.add(s)
     rows = {i: f for i, f in enumerate(sorted(fps))}
     df = spark.createDataFrame([(f - (1 << 64) * (f >> 63), i) for i, f in rows.items()], "fp long, rep long")
-    got = {r.node: r.root for r in connected(simhash.links(df, pairwise=pairwise)).collect()}
-    want = {n: r for n, r in brute.components(rows).items()}
-    assert {n: got.get(n, n) for n in rows} == want
+    got = {r.node: r.root for r in connected(simhash.links(df, max_bits, pairwise)).collect()}
+    assert {n: got.get(n, n) for n in rows} == brute.components(rows, max_bits)
 
 
 def test_simhash_nasty_and_empty(spark):
@@ -123,7 +123,41 @@ def test_cuckoo_tag_hits_are_verified():
 
 def test_index_tables_follow_a_corpus(spark):
     docs = spark.createDataFrame([(i, f"text {i % 30}") for i in range(90)], "doc_id long, text string")
-    index = cuckoo.build_index(docs, 4)
+    live = cuckoo.live_rows(docs)
+    index = cuckoo.build_index(live, 4)
     assert index.agg(F.sum("keys")).first()[0] == 30
-    after = cuckoo.update_index(index, spark.createDataFrame([(500, "new"), (501, "text 3")], "doc_id long, text string"), docs.where("doc_id < 5"), 4)
-    assert after.agg(F.sum("keys")).first()[0] == 27
+
+    def held(index):
+        return {k.hex(): p for r in index.collect() for k, p in cuckoo.CuckooIndex.from_bytes(bytes(r.blob)).items()}
+
+    text = lambda k: hashlib.sha256(f"text {k}".encode()).hexdigest()
+    assert held(index)[text(7)] == (67, 3, 1)
+    more = spark.createDataFrame([(500, "new"), (501, "text 3")], "doc_id long, text string")
+    gone = docs.where("doc_id < 5 or doc_id = 67 or doc_id % 30 = 9").union(spark.createDataFrame([(999, "text 8"), (1, "never")], docs.schema))
+    after, live = cuckoo.update_index(index, live, more, gone, 4)
+    left = held(after)
+    assert after.agg(F.sum("keys")).first()[0] == 30 == len(left)  # 30, less the one that lost its last row, and "new"
+    assert left[text(7)] == (37, 2, 1) and left[text(3)] == (501, 3, 1) and left[text(0)] == (60, 2, 1) and left[text(8)] == (68, 3, 1) and text(9) not in left
+    again, _ = cuckoo.update_index(after, live, docs.limit(0), more, 4)
+    assert held(again)[text(3)] == (63, 2, 1) and len(held(again)) == 29
+
+
+ROWS = [(5, "A dup"), (9, "A dup"), (5, "B unique text"), (None, "A dup"), (7, "C same"), (7, "C same"), (None, "D"), (None, "D"), (8, None), (8, "")]
+
+
+@pytest.mark.parametrize("digest", [cuckoo.sha256, lambda t: F.lpad((F.length(t) % 3).cast("string"), 64, "0"), lambda t: F.lit("0" * 64)])
+def test_exact_rows_are_decided_one_by_one(spark, digest):
+    """Repeated and null ids; and digests that several texts share, which their texts decide."""
+    df = frame(spark, ROWS)
+    got = sorted(((r.doc_id, r.text or "") for r in cuckoo.keep_last(df, digest=digest).collect()), key=str)
+    assert got == sorted([(9, "A dup"), (5, "B unique text"), (7, "C same"), (None, "D"), (8, "")], key=str)
+    found = cuckoo.exact_duplicates(df, digest=digest).collect()
+    want = {"A dup": (9, 3), "B unique text": (5, 1), "C same": (7, 2), "D": (None, 2), "": (8, 2)}
+    names = {hashlib.sha256(t.encode()).hexdigest(): t for t in want}
+    assert len(found) == len(ROWS) and all((r.keep_id, r.group_size) == want[names[r.text_sha256]] and r.kept == (r.doc_id == r.keep_id) for r in found)
+    assert cuckoo.keep_last(df.limit(0)).count() == 0 and cuckoo.keep_last(df).columns == df.columns
+
+
+def test_near_rows_are_decided_one_by_one(spark):
+    got = simhash.keep_one(frame(spark, ROWS))
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted([(5, "A dup"), (5, "B unique text"), (7, "C same"), (None, "D"), (8, "")], key=str)

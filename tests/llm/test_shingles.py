@@ -2,11 +2,10 @@ import random
 
 import brute
 import numpy as np
-import pytest
 from test_dedup import NASTY, frame
 
 import corpus_pipeline
-from allelia.llm import shingles
+from allelia.llm import shingles, simhash
 
 
 def shingle_set(text):
@@ -36,16 +35,13 @@ def changed(words, rnd, part):
     return [f"new{rnd.randrange(10**6)}" if rnd.random() < part else w for w in words]
 
 
-@pytest.mark.parametrize("pairwise", [2, 64])
-def test_stage_drops_every_copy_at_four_fifths(spark, monkeypatch, pairwise):
+def test_stage_drops_every_copy_at_four_fifths(spark):
     rnd, texts = random.Random(7), {}
     for _ in range(12):
         base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(150, 600))]
         for _ in range(8):
             texts[len(texts)] = " ".join(changed(base, rnd, rnd.choice([0.005, 0.01, 0.02, 0.04])))
     docs = frame(spark, list(texts.items()))
-    monkeypatch.setattr(shingles, "PAIRWISE", pairwise)
-    assert {r.doc_id for r in shingles.keep_one(docs, pairwise).collect()} == firsts(texts)
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == firsts(texts) and len(firsts(texts)) < 60
 
 
@@ -56,9 +52,34 @@ def test_stage_on_the_tables(spark):
 
 
 def test_shingles_nasty_and_empty(spark):
-    hashes, sizes = shingles.sets_of([t or "" for _, t in NASTY])
+    hashes, sizes = shingles.sets_of([t or "" for _, t in NASTY], 5)
     assert sizes.tolist() == [len(shingle_set(t)) for _, t in NASTY] and len(hashes) == sizes.sum()
     assert np.array_equal(shingles.bands_of(hashes, sizes)[0], shingles.bands_of(hashes, sizes)[2])
-    kept = shingles.keep_one(frame(spark, [*NASTY, (None, "one")]))
-    assert {r.doc_id for r in kept.collect()} == {None, 1, 4, 6, 7, 9, 10, 11} and "digest" in kept.columns
-    assert shingles.keep_one(frame(spark, [])).count() == 0
+    kept = simhash.keep_one(frame(spark, [*NASTY, (None, "one")]))
+    assert {r.doc_id for r in kept.collect()} == {1, 4, 6, 7, 9, 10, 11} and "digest" in kept.columns
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
+def test_one_large_group_of_copies_of_copies(spark):
+    """A tree of changes: neighbours are alike, most pairs are not, and some stand apart in the same buckets."""
+    rnd, texts = random.Random(9), {0: [f"w{k}" for k in range(150)]}
+    for k in range(1, 150):
+        parent = texts[rnd.randrange(k)]
+        words = list(parent)
+        for _ in range(rnd.choice([1, 1, 2, 6])):
+            words[rnd.randrange(150)] = f"new{rnd.randrange(10**6)}"
+        texts[k] = words
+    texts = {k: " ".join(w) for k, w in texts.items()}
+    want = firsts(texts)
+    assert 5 < len(want) < 100 and {r.doc_id for r in simhash.keep_one(frame(spark, list(texts.items()))).collect()} == want
+
+
+def test_sketches_never_exceed_the_difference():
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(0, 400))) for _ in range(40)]
+    hashes, sizes = shingles.sets_of(texts, 5)
+    sets = [set(x.tolist()) for x in np.split(hashes, np.cumsum(sizes)[:-1])]
+    sketch = shingles.sketches_of(hashes, sizes)
+    for i in range(40):
+        for j in range(i):
+            assert np.bitwise_count(sketch[i] ^ sketch[j]).sum() <= len(sets[i] ^ sets[j])
