@@ -33,7 +33,7 @@ def scan(items: Column, first: Column, step: Callable[[Column, Column], Column],
         blocks = F.transform(cuts, lambda k: F.slice(xs, k * BLOCK + 1, BLOCK))
 
         def joined(bs: Column) -> Column:
-            totals = F.transform(bs, lambda b: F.aggregate(b, first, step))
+            totals = F.transform(bs, lambda b: F.aggregate(b, first, lambda a, x: step(a, x)))
             return F.flatten(F.zip_with(bs, one(totals, first), one))
 
         return F.when(F.size(xs) > BLOCK, let(blocks, joined)).otherwise(one(xs, first))
