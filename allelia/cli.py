@@ -71,7 +71,7 @@ def extract(spark, a, p):
     sinks.write_tsv(sinks.edge_file(parity.parity_edges(rows, weighted=p.weighted), sites), f"{a.out}.parity_edges.tsv", ["snp_i", "snp_j"], a.force, True)
     sinks.write_tsv(sites.drop("snp_idx"), f"{a.out}.snps.tsv", ["chrom", "pos1"], a.force)
     sinks.write_tsv(reads, f"{a.out}.reads.tsv", ["read_idx"], a.force)
-    sinks.write_tsv(counts, f"{a.out}.summary.tsv", None, a.force)
+    sinks.write_tsv(sinks.metric_rows(counts), f"{a.out}.summary.tsv", None, a.force)
     if a.npz:
         npz.write(rows, sites, reads, f"{a.out}.npz")
 
@@ -82,7 +82,7 @@ def backbone(spark, a, p):
     matrix = materialize(parity.read_site_matrix(obs, p.weighted), "matrix")
     sinks.write_tsv(tau.join(sites.select("snp_idx", "snp_id"), "snp_idx").select("snp_id", "delta"), f"{a.out}.snp_phases.tsv", ["snp_id"], a.force)
     sinks.write_tsv(blocks.read_labels(matrix, tau).select("read_id", "sigma"), f"{a.out}.read_haplotags.tsv", ["read_id"], a.force)
-    sinks.write_tsv(blocks.read_objective(matrix, tau), f"{a.out}.summary.tsv", None, a.force)
+    sinks.write_tsv(sinks.metric_rows(blocks.read_objective(matrix, tau)), f"{a.out}.summary.tsv", None, a.force)
 
 
 def solve(spark, a, p):
@@ -91,8 +91,13 @@ def solve(spark, a, p):
     found = phasing.phase(obs, sites, p, held, a.validation_weight)
     sinks.write_tsv(phasing.named_phases(found), f"{a.out}/snp_phases.tsv", ["snp_id"], a.force)
     sinks.write_tsv(found.haplotags, f"{a.out}/haplotags.tsv", ["read_id"], a.force)
-    sinks.write_tsv(found.summary(), f"{a.out}/summary.tsv", None, a.force)
+    summary = materialize(found.summary(), "summary")
+    sinks.write_tsv(sinks.metric_rows(summary), f"{a.out}/summary.tsv", None, a.force)
+    sinks.write_tsv(summary, f"{a.out}/config_metrics.tsv", None, a.force)
+    print("\n".join(f"{k}\t{v}" for k, v in summary.first().asDict().items()))
     if a.debug:
+        sinks.write_tsv(sinks.edge_rows(found.classes, found.sites), f"{a.out}/debug/edges.tsv", ["snp_i", "snp_j"], a.force)
+        sinks.write_tsv(sinks.soft_edge_rows(found.classes, found.blocks), f"{a.out}/debug/soft_edges.tsv", ["snp_i", "snp_j"], a.force)
         for name in ("edges", "classes", "margins", "blocks", "hyper", "soft", "coupling", "samples"):
             getattr(found, name).write.mode("overwrite" if a.force else "errorifexists").parquet(f"{a.out}/debug/{name}")
 
@@ -104,7 +109,7 @@ def export(spark, a, p):
         sets = read_components(obs, sites).join(sites.select("snp_idx", "snp_id"), "snp_idx").select("snp_id", F.col("ps").alias("_ps"))
         ps = ps.join(sets, "snp_id", "left").select("snp_id", "delta", F.coalesce("ps", "_ps").alias("ps"))
     head, lines = vcf.phased_lines(spark, a.vcf, ps, parse_region(a.region), a.sample, a.ps_start)
-    sinks.write_vcf(spark, head, lines, a.out, a.force)
+    sinks.write_vcf(head, lines, a.out if a.out.endswith(".gz") else f"{a.out}.gz", a.force)
 
 
 def benchmark(spark, a, p):
@@ -139,7 +144,7 @@ def hic_apply(spark, a, p):
     done = materialize(done, "oriented")
     sinks.write_tsv(done, f"{a.out}/snp_phases.tsv", ["snp_id"], a.force)
     head, lines = vcf.phased_lines(spark, a.vcf, done, parse_region(a.region), a.sample, 1)
-    sinks.write_vcf(spark, head, lines, f"{a.out}/phased.vcf", a.force)
+    sinks.write_vcf(head, lines, f"{a.out}/phased.vcf.gz", a.force)
 
 
 def hic_qc(spark, a, p):

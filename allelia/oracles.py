@@ -73,6 +73,20 @@ def closure(pairs: str, nodes: str) -> str:
       roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a)"""
 
 
+def forest(ranked: str) -> str:
+    """ranked(u, v, sign, r), r from 1 in the order that edges are preferred → kept(u, v, sign) of the one forest, and
+    walk(a, b, s): the sign of the way from a to b in it.
+
+    An edge is in the forest if no other way between its ends has only better edges: ways by their worst edge."""
+    return f"""link AS (SELECT u AS a, v AS b, r FROM {ranked} UNION ALL SELECT v, u, r FROM {ranked}),
+      ways(a, b, r) USING KEY (a, b) AS (SELECT a, b, min(r) FROM link GROUP BY a, b UNION
+        SELECT n.a, n.b, n.r FROM (SELECT w.a, l.b, min(greatest(w.r, l.r)) AS r FROM ways w JOIN link l ON l.a = w.b WHERE w.a <> l.b GROUP BY w.a, l.b) n
+        LEFT JOIN recurring.ways o ON o.a = n.a AND o.b = n.b WHERE o.r IS NULL OR n.r < o.r),
+      kept AS (SELECT k.* FROM {ranked} k JOIN ways w ON w.a = k.u AND w.b = k.v WHERE k.r <= w.r),
+      step AS (SELECT u AS a, v AS b, sign FROM kept UNION ALL SELECT v, u, sign FROM kept),
+      walk(a, b, s) AS (SELECT DISTINCT a, a, 1 FROM step UNION SELECT w.a, t.b, w.s * t.sign FROM walk w JOIN step t ON t.a = w.b)"""
+
+
 def projected() -> str:
     return f"""{obs()}, {sites()}, matrix AS (SELECT read_id, snp_idx, sum(b)::DOUBLE AS v FROM obs GROUP BY ALL),
       proj AS (SELECT read_id, block, sum(v * tau) AS v FROM matrix JOIN sites USING (snp_idx) GROUP BY ALL HAVING sum(v * tau) <> 0)"""
@@ -167,6 +181,20 @@ def _all() -> dict[str, str]:
         "edge_class": f"WITH {classes()} {CLASS_OUT}",
         "edge_class_confidence": f"WITH {classes('sparse', Hard(mode='confidence', max_distance=10**9), Soft(mode='none'))} {CLASS_OUT}",
         "hard_components": f"WITH RECURSIVE {edge_hard}, {closure('hard', 'nodes')} SELECT node, root FROM roots",
+        "read_components": f"""WITH RECURSIVE {obs()}, pair AS (SELECT DISTINCT snp_idx AS u, min(snp_idx) OVER (PARTITION BY read_id) AS v FROM obs),
+            link AS (SELECT u, v FROM pair UNION SELECT v, u FROM pair),
+            least(node, root) USING KEY (node) AS (SELECT u, min(least(u, v)) FROM link GROUP BY u UNION
+              SELECT n.node, n.root FROM (SELECT l.v AS node, min(c.root) AS root FROM least c JOIN link l ON l.u = c.node GROUP BY l.v) n JOIN recurring.least o ON o.node = n.node WHERE n.root < o.root)
+            SELECT node AS snp_idx, min((root + 1) * 1000) OVER (PARTITION BY root) AS ps FROM least""",
+        "backbone_forest": f"""WITH RECURSIVE {obs()}, {sites()}, pairs AS (SELECT read_id, snp_idx AS i, lead(snp_idx) OVER w AS j, b * lead(b) OVER w AS s, min(l_linenumber) OVER (PARTITION BY read_id) AS seen FROM obs WINDOW w AS (PARTITION BY read_id ORDER BY snp_idx)),
+            summed AS (SELECT i AS u, j AS v, sum(s) AS score, min(seen) AS seen FROM pairs WHERE j IS NOT NULL GROUP BY i, j HAVING sum(s) <> 0),
+            ranked AS (SELECT u, v, CAST(sign(score) AS INT) AS sign, row_number() OVER (ORDER BY abs(score) DESC, seen, u, v) AS r FROM summed), {forest('ranked')}
+            SELECT snp_idx, CAST(coalesce(s, 1) AS BIGINT) AS tau, coalesce(a, snp_idx) AS root FROM sites LEFT JOIN (SELECT b, a, s FROM walk QUALIFY a = min(a) OVER (PARTITION BY b)) ON b = snp_idx""",
+        "phaselet_forest": f"""WITH RECURSIVE {classes()}, ranked AS (SELECT i AS u, j AS v, 1 AS sign, row_number() OVER (ORDER BY abs(score) DESC, i, j) AS r FROM classes WHERE edge_class = 'hard'), {forest('ranked')}
+            SELECT u AS i, v AS j, CASE WHEN (u, v) IN (SELECT (u, v) FROM kept) THEN 'hard_retained' ELSE 'hard_cycle' END AS status FROM ranked""",
+        "orient_components": f"""WITH RECURSIVE {CONTACTS}, ranked AS (SELECT ci AS u, cj AS v, CASE WHEN score >= 0 THEN 1 ELSE -1 END AS sign, row_number() OVER (ORDER BY abs_score DESC, ci, cj) AS r FROM cedges WHERE {KEEP}), {forest('ranked')},
+            signed AS (SELECT b AS component, a AS root, s FROM walk QUALIFY a = min(a) OVER (PARTITION BY b))
+            SELECT component, CAST(s AS BIGINT) AS orientation, first_value(component) OVER (PARTITION BY root ORDER BY coalesce(try_cast(component AS BIGINT), 1000000000000000000), component) AS hic_ps FROM signed""",
         "phaselet_table": f"""WITH RECURSIVE {relaxed}, {closure('hard', 'nodes')}
             SELECT row_number() OVER (ORDER BY root) - 1 AS block, min((node + 1) * 1000) AS start, max((node + 1) * 1000) AS "end", count(*) AS n_sites, 'chr1' AS chrom FROM roots GROUP BY root""",
         "consistency_margin": f"WITH {obs()}, {sites()}, {margin()} SELECT snp_idx, {r6('margin')} AS margin FROM margins",

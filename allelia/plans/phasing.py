@@ -123,10 +123,10 @@ def phase_files(spark, bam: str, vcf: str, region: str, sample: str | None = Non
     found = phase(rows, sites, p)
     if out:
         head, lines = vcfs.phased_lines(spark, vcf, named_phases(found), parse_region(region), sample, 1)
-        sinks.write_vcf(spark, head, lines, f"{out}/phased.vcf", force)
+        sinks.write_vcf(head, lines, f"{out}/phased.vcf.gz", force)
         sinks.write_tsv(named_phases(found), f"{out}/snp_phases.tsv", ["snp_id"], force)
         sinks.write_tsv(found.haplotags, f"{out}/haplotags.tsv", ["read_id"], force)
-        sinks.write_tsv(found.summary(), f"{out}/summary.tsv", None, force)
+        sinks.write_tsv(sinks.metric_rows(found.summary()), f"{out}/summary.tsv", None, force)
     return found
 
 

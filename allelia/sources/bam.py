@@ -8,6 +8,7 @@ one it is read by one task. Files are opened by path, so they must be where ever
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -200,3 +201,35 @@ def alignments(spark, path: str, region: str | None = None, split_bytes: int = 6
     reader = spark.read.format("bam").option("splitbytes", split_bytes)
     df = (reader.option("region", region) if region else reader).load(path)
     return df.withColumn("qual", F.when(F.col("qual").isNotNull(), F.transform(F.sequence(F.lit(1), F.length("qual")), lambda i: F.conv(F.hex(F.substring(F.col("qual"), i, F.lit(1))), 16, 10).cast("int"))))
+
+
+def encoded(rows, names: list[str]):
+    """``rows(ordinal, name, flag, chrom, start0, mapq, cigar, seq, qual binary)`` as ``(ordinal, data, chrom, start, end)``: the records of a BAM file."""
+    place = {x: k for k, x in enumerate(names)}
+
+    def run(batches):
+        for b in batches:
+            data, ends = [], []
+            for name, flag, chrom, start, mapq, cigar, seq, qual in zip(*(b.column(k).to_pylist() for k in range(1, 9))):
+                ops = [(int(n), _CIGAR.index(c)) for n, c in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)]
+                codes = [_BASES.index(x) for x in seq] + [0] * (len(seq) % 2)
+                body = struct.pack("<iiBBHHHiiii", place.get(chrom, -1), start, len(name) + 1, mapq, 0, len(ops), flag, len(seq), -1, -1, 0) + name.encode() + b"\0"
+                body += struct.pack(f"<{len(ops)}I", *(n << 4 | c for n, c in ops)) + bytes(x << 4 | y for x, y in zip(codes[::2], codes[1::2])) + (qual if qual is not None else b"\xff" * len(seq))
+                data.append(struct.pack("<i", len(body)) + body)
+                ends.append(start + max(1, sum(n for n, c in ops if _CIGAR[c] in "MDN=X")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), b.column(3), b.column(4), pa.array(ends, pa.int64())], ["ordinal", "data", "chrom", "start", "end"])
+
+    kept = rows.selectExpr("cast(ordinal as long) ordinal", "name", "cast(flag as int) flag", "chrom", "cast(start0 as long) start0", "cast(mapq as int) mapq", "cigar", "seq", "qual")
+    return kept.mapInArrow(run, "ordinal long, data binary, chrom string, start long, end long")
+
+
+def write(rows, path: str, references: list[tuple[str, int]], force: bool = False) -> int:
+    """A BAM file of alignments sorted by reference and position, with a ``.bai`` index beside it; gives the number of records."""
+    from . import bgzf
+
+    text = b"@HD\tVN:1.6\tSO:coordinate\n"
+    head = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(references))
+    for name, size in references:
+        head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
+    names = [x for x, _ in references]
+    return bgzf.write(head, encoded(rows, names), path, "bai", names, force)

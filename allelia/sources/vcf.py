@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.evidence import site_id
 from ..operators.observe import dense_index
+from . import bgzf
 
 HEADER_LIMIT = 100_000
 
@@ -36,11 +37,14 @@ def choose_sample(lines: list[str], requested: str | None = None) -> str:
 def records(spark: SparkSession, path: str, sample: str | None = None, region: tuple[str, int, int] | None = None) -> DataFrame:
     """``(ordinal, chrom, pos, id, ref, alt, qual, filter, info, format, call, gt, ps)`` of one sample.
 
-    ``region`` is 1-based and inclusive. ``gt`` and ``ps`` are null where the record has none."""
+    ``region`` is 1-based and inclusive; a tabix index beside a file that executors can open limits what is read, else
+    all of it is scanned. ``gt`` and ``ps`` are null where the record has none."""
     lines = header(spark, path)
     column = 9 + sample_names(lines).index(choose_sample(lines, sample))
     f = F.split("value", "\t")
-    text = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(F.monotonically_increasing_id().alias("ordinal"), f.alias("f"))
+    ranges = bgzf.tabix_ranges(path, region[0], region[1] - 1, region[2]) if region else None
+    lines_ = spark.read.text(path).withColumn("ordinal", F.monotonically_increasing_id()) if ranges is None else bgzf.lines_between(spark, path, ranges)
+    text = lines_.where(~F.col("value").startswith("#") & (F.length("value") > 0)).select("ordinal", f.alias("f"))
     names = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format"]
     r = text.select("ordinal", *(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)), F.get("f", F.lit(column)).alias("call")).withColumn("pos", F.col("pos").cast("long"))
     if region:
@@ -75,7 +79,7 @@ def het_sites(spark: SparkSession, path: str, region: tuple[str, int, int], samp
 
 
 def phased_lines(spark: SparkSession, path: str, phases: DataFrame, region: tuple[str, int, int], sample: str | None = None, default_ps: int | None = None) -> tuple[list[str], DataFrame]:
-    """(header, ``(ordinal, line, written)``): the records of a region with the phases of ``phases(snp_id, delta, ps)``.
+    """(header, ``(ordinal, line, written, chrom, start, end)``): the records of a region with the phases of ``phases(snp_id, delta, ps)``.
 
     Only the chosen sample stays. Records that are no single-base site or have no phase are marked unwritten. A
     missing phase set takes ``default_ps``, else the region's start."""
@@ -96,4 +100,4 @@ def phased_lines(spark: SparkSession, path: str, phases: DataFrame, region: tupl
     format_ = F.concat_ws(":", F.lit("GT"), F.transform(others, lambda x: x["k"]), F.lit("PS"))
     call = F.concat_ws(":", gt, F.transform(others, lambda x: x["v"]), ps)
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter", "info", format_, call)
-    return head, j.select("ordinal", F.when(F.col("written"), line).alias("line"), "written")
+    return head, j.select("ordinal", F.when(F.col("written"), line).alias("line"), "written", "chrom", (F.col("pos") - 1).alias("start"), (F.col("pos") - 1 + F.length("ref")).alias("end"))

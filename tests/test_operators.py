@@ -12,7 +12,7 @@ from allelia.functions import arrays, evidence
 from allelia.operators import blocks, collapse, contacts, coupling, evaluate, graph, observe, parity, risk, select, solve
 from allelia.params import Collapse, Contact, Hard, Observing, Params, Soft, Solver
 from allelia.plans import phasing
-from allelia.sources import bam, sinks, tsv, vcf
+from allelia.sources import bam, bgzf, sinks, tsv, vcf
 
 
 def obs(spark, rows):
@@ -353,7 +353,7 @@ def test_bam_source(spark, tmp_path):
 
 
 def test_vcf_source_and_export(spark, tmp_path):
-    path, out = str(tmp_path / "x.vcf"), str(tmp_path / "out.vcf")
+    path, out = str(tmp_path / "x.vcf"), str(tmp_path / "out.vcf.gz")
     files.write_vcf(path, ["S1", "S2"], [
         ("chr1", 10, "A", "C", "ZZ=a;b", "GT", ["0/0", "0/1"]), ("chr1", 20, "g", "T", ".", "GT:DP", ["0/1", "1|0:7"]), ("chr1", 25, "AT", "A", ".", "GT", ["0/1", "0/1"]),
         ("chr1", 30, "A", "C,G", ".", "GT", ["0/1", "1/2"]), ("chr1", 40, "A", "C", ".", "GT", ["./.", "./1"]), ("chr2", 10, "A", "C", ".", "GT", ["0/1", "0/1"])])
@@ -365,12 +365,42 @@ def test_vcf_source_and_export(spark, tmp_path):
     p = spark.createDataFrame([("chr1:10:A>C", 1, None), ("chr1:20:g>T", -1, None)], "snp_id string, delta int, ps long")
     head, lines = vcf.phased_lines(spark, path, p, ("chr1", 1, 1000), "S2", 1)
     assert lines.where("written").count() == 2 and lines.where("NOT written").count() == 3
-    sinks.write_vcf(spark, head, lines, out)
+    assert sinks.write_vcf(head, lines, out) == (2, 3)
     back = vcf.records(spark, out).orderBy("ordinal").collect()
     assert [(r.pos, r.gt, r.ps, r["info"]) for r in back] == [(10, "0|1", "1", "ZZ=a;b"), (20, "1|0", "1", ".")]
     assert back[1].call == "1|0:7:1" and vcf.sample_names(vcf.header(spark, out)) == ["S2"]
-    with pytest.raises(Exception, match="exists"):
-        sinks.write_vcf(spark, head, lines, out)
+    with pytest.raises(FileExistsError):
+        sinks.write_vcf(head, lines, out)
+    assert [r.pos for r in vcf.records(spark, out, None, ("chr1", 15, 25)).collect()] == [20]
+
+
+def test_indexed_vcf_gives_the_same_rows_as_a_scan(spark, tmp_path):
+    """Over several blocks and references, and with a line longer than a block."""
+    path = str(tmp_path / "big.vcf.gz")
+    rnd = random.Random(2)
+    rows = [(k, f"chr{1 + k // 4000}", 1 + (k % 4000) * 37, "x" * (200_000 if k == 2500 else rnd.randrange(5, 80))) for k in range(8000)]
+    df = spark.createDataFrame(rows, "ordinal long, chrom string, pos long, info string")
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), F.lit("A"), F.lit("C"), F.lit("."), F.lit("PASS"), "info", F.lit("GT"), F.lit("0|1"))
+    head = "##fileformat=VCFv4.2\n" + "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "S"]) + "\n"
+    n = bgzf.write(head.encode(), df.repartition(5).select("ordinal", F.concat(line, F.lit("\n")).cast("binary").alias("data"), "chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end")), path, "tbi")
+    assert n == 8000 and vcf.records(spark, path).count() == 8000
+    for chrom, a, b in (("chr1", 1, 10**9), ("chr1", 92_000, 93_000), ("chr2", 38, 38), ("chr2", 147_964, 10**6), ("chr2", 10**6, 10**7), ("chr3", 1, 5)):
+        got = [(r.pos, r["info"]) for r in vcf.records(spark, path, None, (chrom, a, b)).orderBy("ordinal").collect()]
+        assert got == [(p, i) for _, c, p, i in rows if c == chrom and a <= p <= b], (chrom, a, b)
+    ranges = bgzf.tabix_ranges(path, "chr1", 0, 10**8, split=20_000)
+    assert len(ranges) > 3 and bgzf.lines_between(spark, path, ranges).where("value like 'chr1%'").count() == 4000
+
+
+def test_bam_sink_reads_back_by_region(spark, tmp_path):
+    path = str(tmp_path / "own.bam")
+    rows = [(k, f"r{k}", 16 * (k % 2), "chr2", k * 50, 30, "5M1D5M", "ACGTACGTAC", bytes([20 + k % 10] * 10) if k % 7 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "ordinal long, name string, flag int, chrom string, start0 long, mapq int, cigar string, seq string, qual binary")
+    assert bam.write(df.repartition(3), path, [("chr1", 10), ("chr2", 10**6)]) == 3000
+    for region, split in (("chr2:1-200,000", 1 << 12), ("chr2:40,001-40,100", 64 << 20)):
+        a, b = (int(x.replace(",", "")) for x in region[5:].split("-"))
+        got = bam.alignments(spark, path, region, split).orderBy("start0").collect()
+        want = [r for r in rows if r[4] < b and r[4] + 11 > a - 1]
+        assert [(r.name, r.flag, r.start0, r.cigar, r.seq, r.qual and bytes(r.qual)) for r in got] == [(r[1], r[2], r[4], r[6], r[7], r[8]) for r in want]
 
 
 def test_tables_round_trip(spark, tmp_path):
@@ -419,9 +449,9 @@ def test_reads_to_phases(spark, tmp_path):
     assert {x.status for x in phasing.edge_statuses(r).collect()} == {"soft_bridge", "hard_retained"}
     stats = risk.risk_stats(r.classes, phasing.edge_statuses(r)).first()
     assert stats.mean_retained_risk == pytest.approx(0.23653688, abs=1e-7) and stats.max_soft_risk == pytest.approx(0.41640626, abs=1e-7)
-    back = vcf.records(spark, f"{out}/phased.vcf").orderBy("pos").collect()
+    back = vcf.records(spark, f"{out}/phased.vcf.gz").orderBy("pos").collect()
     assert [x.gt for x in back] in (["0|1", "0|1", "1|0", "1|0"], ["1|0", "1|0", "0|1", "0|1"]) and {x.ps for x in back} == {"10"}
-    m = phasing.benchmark(spark, variants, f"{out}/phased.vcf", [f"own:{out}/phased.vcf"]).first()
+    m = phasing.benchmark(spark, variants, f"{out}/phased.vcf.gz", [f"own:{out}/phased.vcf.gz"]).first()
     assert (m.SE_percent, m.HE_percent, m.phased_snps, m.input_het_snps, m.phasing_completeness_percent, m.SNP_completeness_percent) == (0, 0, 4, 4, 100, 100)
     r.views()
     assert spark.sql("SELECT count(*) FROM phasing_obs").first()[0] == 10

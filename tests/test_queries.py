@@ -1,15 +1,18 @@
 """Each query against its SQL, as the driver does it: columns by name, rows in any order."""
 
+import hashlib
+
 import duckdb
 import pytest
 
-from allelia.oracles import ORACLE_SQL
-from allelia.queries import QUERIES
+from allelia import file_oracles, file_queries, oracles, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | file_queries.QUERIES, oracles.ORACLE_SQL | file_oracles.ORACLE_SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: Queries without rows on the smallest tables.
-EMPTY_HERE = {"retained_edges", "soft_coupling"}
+EMPTY_HERE = {"retained_edges", "soft_coupling", "debug_soft_edges", "orient_components"}
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +39,12 @@ def test_query(spark, db, sf_dir, name):
         assert a == pytest.approx(b, abs=2e-6), (a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_rows_only(spark, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
-    assert df.columns and df.count() >= 0
+def test_queries_without_sql():
+    """BLAKE2b and the solver: held against hashlib and exact optima in tests/test_operators.py."""
+    assert set(QUERIES) - set(ORACLE_SQL) == {"holdout_split", "solver"}
+
+
+def test_holdout_split_by_hash(spark, sf_dir):
+    place = lambda n: int.from_bytes(hashlib.blake2b(f"validation:{n}".encode(), digest_size=8).digest(), "little") / 2.0**64
+    got = QUERIES["holdout_split"](spark, sf_dir).collect()
+    assert len(got) == 1500 and all(r.validation == (place(r.read_id) < 0.2) for r in got)
