@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,9 +24,27 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root[app]
 
 
+_left_behind: dict[str, tuple] = {}
+
+
 def folder(spark: SparkSession) -> str:
-    """Where this application's tables are."""
-    return f"{shared_root(spark)}/allelia-{spark.sparkContext.applicationId}"
+    """Where this application's tables are; they are deleted when the driver's process ends."""
+    path = f"{shared_root(spark)}/allelia-{spark.sparkContext.applicationId}"
+    if path not in _left_behind:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        _left_behind[path] = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+    return path
+
+
+@atexit.register
+def _clean_up() -> None:
+    from py4j.protocol import Py4JError, Py4JNetworkError
+
+    for system, where in _left_behind.values():
+        try:
+            system.delete(where, True)
+        except (Py4JError, Py4JNetworkError, OSError):
+            return  # the JVM is gone
 
 
 def purge(spark: SparkSession) -> None:

@@ -71,6 +71,30 @@ def test_small_helpers(spark):
         spark.read.parquet(path).count()
 
 
+def test_tables_go_with_the_process_and_need_a_shared_folder(tmp_path):
+    from conftest import ROOT
+
+    code = f"""
+from pyspark.sql import SparkSession
+from allelia.plans import tables
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+df, path = tables.stored(spark.range(3), "t")
+assert df.count() == 3 and "{tmp_path}/shared/allelia-" in path
+class Far:
+    master = "spark://host:7077"
+class Session:
+    sparkContext = Far()
+    class conf:
+        get = staticmethod(lambda key, default=None: None)
+try:
+    tables.shared_root(Session())
+except RuntimeError:
+    print("refused")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120, capture_output=True, text=True)
+    assert "refused" in done.stdout and not [x for x in (tmp_path / "shared").iterdir() if x.name.startswith("allelia-")]
+
+
 def test_the_rest_stands_without_the_training_part(sf_dir):
     code = """
 import sys
