@@ -23,6 +23,8 @@ from .vocab import ByteBpe
 SEQUENCE, END_ID = 2048, 0
 #: Most lengths in a pattern, patterns tried in all, and steps of the fit.
 PATTERN_SIZE, PATTERNS, FIT_STEPS = 4, 20_000, 400
+#: Parts of the fitted patterns, by what they leave empty, up to which a plan is tried.
+WASTE_LEVELS = (0.25, 0.5, 0.75, 1.0)
 
 
 def pieces(docs: DataFrame, vocab_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -125,24 +127,34 @@ def best_fit_decreasing(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]
 
 
 def plan_patterns(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, times) that use each length exactly as often as ``counts`` says."""
+    """(lengths, times) that use each length exactly as often as ``counts`` says.
+
+    The fitted repeat counts are rounded down and taken in order of what their patterns leave empty, up to a limit; the
+    rest is packed best-fit. Of the limits tried the one that needs the fewest sequences counts, the largest of equals,
+    so that a histogram whose lengths do not add up exactly is packed by patterns too."""
     left = counts.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    if left[-1]:
-        out.append(((len(left) - 1,), int(left[-1])))
-        left[-1] = 0
+    whole: list[tuple[tuple[int, ...], int]] = [((len(left) - 1,), int(left[-1]))] if left[-1] else []
+    left[-1] = 0
     columns = enumerate_patterns(left, PATTERN_SIZE, PATTERNS)
-    fitted = nnls(columns, left.astype(float), FIT_STEPS)
-    waste = np.array([len(left) - 1 - sum(p) for p in columns], dtype=float)
-    for k in np.lexsort((-fitted, waste)).tolist():
-        need = np.bincount(columns[k])
-        used = np.flatnonzero(need)
-        times = int(min(np.floor(fitted[k]), (left[used] // need[used]).min()))
-        if times > 0 and waste[k] == 0:
-            left[used] -= need[used] * times
-            out.append((columns[k], times))
-    out += best_fit_decreasing(left)
-    return out
+    fitted = np.floor(nnls(columns, left.astype(float), FIT_STEPS)).astype(np.int64)
+    waste = np.array([len(left) - 1 - sum(p) for p in columns], dtype=np.int64)
+    order = [k for k in np.lexsort((-fitted, waste)).tolist() if fitted[k] > 0]
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for limit in sorted({0, *np.quantile(waste[order], WASTE_LEVELS).astype(int).tolist()}, reverse=True) if order else [0]:
+        rest, out = left.copy(), list(whole)
+        for k in order:
+            if waste[k] > limit:
+                break
+            need = np.bincount(columns[k])
+            used = np.flatnonzero(need)
+            times = int(min(fitted[k], (rest[used] // need[used]).min()))
+            if times > 0:
+                rest[used] -= need[used] * times
+                out.append((columns[k], times))
+        out += best_fit_decreasing(rest)
+        if best is None or sum(n for _, n in out) < sum(n for _, n in best):
+            best = out
+    return best
 
 
 @dataclass

@@ -79,6 +79,14 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """``docs`` → ``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)``, without any limit."""
+    return measured(docs).select("doc_id", *BASE, "base_failed")
+
+
 def limits(rows: DataFrame) -> DataFrame:
     """``(lang, source, limit_<rate>...)`` of each language and source in ``rows``, from the rows that pass the base rules."""
     passed = rows.where("not base_failed")
@@ -114,5 +122,4 @@ def judge(docs: DataFrame) -> DataFrame:
     within = F.lit(True)
     for r in RATES:
         within = within & F.coalesce(F.col(r) <= F.col(f"limit_{r}"), F.lit(True))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return both.select("doc_id", *names, "base_failed", (~F.col("base_failed") & within).alias("kept"))
+    return both.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & within).alias("kept"))

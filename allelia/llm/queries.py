@@ -68,6 +68,16 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 counts of each text, for SQL; its limits follow from sketches, which SQL does not have."""
+    return quality.counts(table(spark, sf_dir, "documents"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op5, for SQL; its tests of randomness are held against plain loops."""
+    return secrets.base_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,11 +91,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_bpe_round_trip,
         op10_exact_dedup,
+        quality_counts,
+        secret_base_spans,
     )
 }
 
+
+def _spans_sql() -> str:
+    """Base spans in SQL: of each pattern the gaps between matches and the matches, added up, and matches of enough characters."""
+    parts = []
+    for at, (kind, pattern, group, least) in enumerate(secrets.BASE):
+        p = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {at} AS kind, '{kind}' AS name, start, start + size AS "end" FROM (
+            SELECT doc_id, g, size, sum(length(gap) + coalesce(size, 0)) OVER (PARTITION BY doc_id ORDER BY n) - size AS start, own FROM (
+                SELECT doc_id, n, gaps[n] AS gap, length(alls[n]) AS size, length(owns[n]) AS own, n AS g FROM (
+                    SELECT *, unnest(range(1, len(gaps) + 1)) AS n FROM (
+                        SELECT doc_id, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS alls, regexp_extract_all(t, '{p}', {group}) AS owns FROM d)))) WHERE own >= {least}""")
+    every = " UNION ALL ".join(parts)
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({every}),
+        said AS (SELECT doc_id, string_agg(name || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT), ',' ORDER BY start, kind) AS spans FROM found GROUP BY doc_id)
+        SELECT doc_id, coalesce(spans, '') AS spans FROM d LEFT JOIN said USING (doc_id)"""
+
+
+
 #: Queries that SQL can express; the others are held against plain versions in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "quality_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        grams AS (SELECT doc_id, p, w[p : p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
+        again AS (SELECT doc_id, p FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        repeated AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM again, range(3) r(o) GROUP BY doc_id),
+        lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        counted AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+            len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+    """,
+    "secret_base_spans": _spans_sql(),
     "op6_chat_formatting": r"""
         WITH turns AS (
             SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations

@@ -216,6 +216,11 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def base_report(docs: DataFrame) -> DataFrame:
+    """``docs`` → ``(doc_id, spans)``: the base spans alone."""
+    return docs.select("doc_id", joined(base_spans(whole_text())).alias("spans"))
+
+
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by MASK."""
     raw, zero = text.cast("binary"), F.lit(0).cast("long")

@@ -1,11 +1,12 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -90,9 +91,48 @@ def test_plans_use_each_length_once():
         assert best is None or len(seen) <= best * 1.02 + 1
 
 
+def test_patterns_that_leave_room():
+    """Lengths that never add up exactly are packed by patterns too, in no more sequences than best-fit needs."""
+    counts = np.zeros(101, np.int64)
+    for n, k in ((61, 400), (37, 250), (31, 700), (29, 90)):
+        counts[n] = k
+    found = packing.plan_patterns(counts)
+    used = np.zeros(101, np.int64)
+    for lengths, times in found:
+        np.add.at(used, list(lengths), times)
+    assert (used == counts).all() and sum(n for _, n in found) <= sum(n for _, n in packing.best_fit_decreasing(counts))
+
+
+@pytest.mark.parametrize("text", ["x" + " " * 10**6 + "y", "\n" * 10**6, "a" * 10**6, " " * 99_999 + "y", "\u3000" * 150_000 + "z"])
+def test_long_runs_are_the_library_s(text):
+    byte, word = ByteBpe.load(BYTE), bpe.WordBpe.load(WORD)
+    assert byte.encode(text).tolist() == byte.library.encode(text, add_special_tokens=False).ids
+    assert word.encode(text)[0] == np.array(word.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 # ---- 9 ----
 
 
+def test_bpe_of_every_script():
+    """Random texts over parts of Unicode, all cut at forced boundaries."""
+    word, rnd = bpe.WordBpe.load(WORD), random.Random(3)
+    pools = [[c for c in range(0x110000) if not 0xD800 <= c < 0xE000], range(0x370, 0x530), [*range(0x300, 0x370), 0x61, 0x65, 0x41], [*range(0x4E00, 0x4F00), 0x20], [*range(0x1F300, 0x1F400), 0x200D, 0xFE0F, 0x31],
+             [*range(0x1C, 0x21), 0x85, 0xA0, 0x2028, 0x3000, 0x200B, 0x61, 0x2019], [*range(0xAC00, 0xAD00), *range(0x1100, 0x1200)], [0x130, 0x131, 0x49, 0x69, 0x307, 0x3A3, 0x3C3, 0x1E9E]]
+    for k in range(1600):
+        text = "".join(chr(rnd.choice(pools[k % len(pools)])) if rnd.random() < 0.8 else rnd.choice(" a1'<|>s\n") for _ in range(rnd.randrange(0, 40))) + "<|endoftext|>" * (k % 50 == 0)
+        ids, said = word.encode(text)
+        want = word.library.encode(text, add_special_tokens=False)
+        assert ids == np.array(want.ids, "<u4").tobytes() and said.decode() == word.library.decode(want.ids, skip_special_tokens=False), repr(text)
+
+
+def test_byte_bpe_takes_every_character_one_way():
+    """The faster encoder's classes are the library's: a sample of characters (all 1,112,064 agree, in two minutes)."""
+    byte = ByteBpe.load(BYTE)
+    points = [c for c in range(0, 0x110000, 37) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}a 1{chr(c)}1 !{chr(c)}! {chr(c)}  {chr(c)}{chr(c)} " for c in points]
+    assert byte.fast.encode_batch(texts, allowed_special=byte.added, disallowed_special=()) == [e.ids for e in byte.library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_is_the_library_s(spark, sf_dir):
     library = Tokenizer.from_file(WORD)
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()] + odd_texts(300) + ["", "a" * 3000, "ab" * 2000 + " é" * 500, "don't WE'LL 'S x1y 12"]
@@ -139,6 +179,57 @@ def test_language_filters_contain_what_they_hold():
     assert f.predict(["the dog", "die katze", "", "12 !"])[0] == ["en", "de", "und", "und"]
 
 
+def test_language_scores_by_plain_sets(spark):
+    """Every document's prediction from sets of n-grams, which the filters stand for up to their false positives."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    filters = langid.fit_filters(docs.where("doc_id % 3 <> 1"))
+    sample = [(r.lang, r.text) for r in langid._sample(docs.where("doc_id % 3 <> 1 and lang is not null"), langid.SAMPLE_DOCS)[1].collect()]
+
+    def grams(text, n):
+        b = langid.letters(text or "")
+        return [b[i : i + n] for i in range(len(b) - n + 1)]
+
+    share = {}
+    for lang in filters.languages:
+        for n in langid.SIZES:
+            c = Counter(g for x, t in sample if x == lang for g in grams(t, n))
+            share |= {(lang, g): k / sum(c.values()) for g, k in c.items()}
+    best = defaultdict(float)
+    for (_, g), x in share.items():
+        best[g] = max(best[g], x)
+    inside = {(lang, g) for (lang, g), x in share.items() if x >= langid.LEAST_SHARE and x >= langid.LEAST_RATIO * best[g]}
+    unlike = 0
+    rows = docs.collect()
+    got = {r.doc_id: r for r in langid.identify(docs, filters).collect()}
+    for r in rows:
+        every = [g for n in langid.SIZES for g in grams(r.text, n)]
+        if not every:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        known = np.array([sum((lang, g) in inside for g in every) / len(every) for lang in filters.languages])
+        unlike += filters.languages[int(known.argmax())] != got[r.doc_id].lang_pred
+        assert got[r.doc_id].known == pytest.approx(known.max(), abs=0.01)
+    assert unlike <= 2 and len(rows) > 900
+
+
+def test_language_filters_of_many_languages():
+    """More than one mask word: 150 languages of three made-up words each."""
+    words = lambda k: " ".join("".join(random.Random(f"{k} {j}").choices("abcdefghijklmnopqrstuvwxyz", k=9)) for j in range(3))
+    names = [f"l{k:03}" for k in range(150)]
+    f = langid.LanguageFilters.fit([words(k) for k in range(150)], names)
+    assert len(f.tables) == 3 and f.predict([words(k) for k in range(150)])[0] == names
+    with pytest.raises(ValueError):
+        langid.LanguageFilters.fit(["a"] * 600, [str(k) for k in range(600)])
+
+
+def test_stage_rejects_other_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    f = langid.fit_filters(docs)
+    odd = ["Szybki brązowy lis przeskakuje nad leniwym psem i wraca do domu", "Hızlı kahverengi tilki tembel köpeğin üzerinden atlar ve evine geri döner", "xq zvk jjw qpz kkl wvx zzq pqk", "12 34", None, ""]
+    assert langid.keep_known(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), f).count() == 0
+    assert langid.keep_known(docs.where("lang is not null"), f).count() == docs.where("lang is not null").count()
+
+
 def test_language_nasty(spark):
     labelled = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "fr"), (4, "x", None)], "doc_id long, text string, lang string")
     f = langid.fit_filters(labelled)
@@ -169,6 +260,33 @@ def test_toxicity_shares_ngrams_and_degenerate_labels():
     assert toxicity.fit(["", ""], [0, 1]).scores(["x"])[0] < 1e-6
 
 
+def test_toxicity_scores_by_plain_loops():
+    """A model's scores from its weights: words, windows, n-grams and hashes one by one."""
+    rnd = np.random.default_rng(5)
+    model = toxicity.Model(rnd.normal(0, 1, toxicity.BUCKETS), -0.3)
+
+    def bucket(gram):
+        h, m = len(gram), (1 << 32) - 1
+        for c in gram:
+            h = ((h ^ ord(c)) * 0x01000193) & m
+            h ^= h >> 15
+        h = (h * 0x85EBCA6B) & m
+        return (h ^ (h >> 13)) & (toxicity.BUCKETS - 1)
+
+    def score(text):
+        words = list(dict.fromkeys(w.strip(toxicity.EDGES) or w for w in text.lower().split()))
+        best = None
+        for a in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
+            grams = [bucket(g) for w in words[a : a + toxicity.WINDOW] for n in toxicity.NGRAMS for g in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n))]
+            if words:
+                x = sum(model.weight[b] for b in grams) / max(1, len(grams))
+                best = x if best is None else max(best, x)
+        return 1 / (1 + np.exp(-((best or 0.0) + model.bias)))
+
+    texts = odd_texts(60, 8) + ["", "a", "word " * 300, " ".join(f"w{k}" for k in range(49)), "é (Ñandú)! «oui»"]
+    assert model.scores(texts) == pytest.approx([score(t) for t in texts], abs=1e-9)
+
+
 def test_toxicity_nasty(spark):
     labels = spark.createDataFrame([(1, 1, 1), (4, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit_labelled(frame(spark), labels)
@@ -197,6 +315,33 @@ def test_quality_keeps_clean_texts(spark):
     assert np.mean([k for q, k in got if q == 1]) > 0.98 and np.mean([k for q, k in got if q == 0]) < 0.1
 
 
+def test_quality_limits_decide_every_row(spark):
+    """kept is base rules and limits; limits are those of exact quantiles up to the sketch's rank error."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.measured(docs).toPandas()
+    found = quality.limits(quality.measured(docs)).toPandas().set_index(["lang", "source"])
+    passed = rows[~rows.base_failed]
+    assert len(found) == passed.groupby(["lang", "source"]).ngroups > 50
+
+    def drawn(rate, lang, source, at):
+        """The quantile of a group, drawn towards its language's and that towards all's, each by 300 rows."""
+        value = np.quantile(passed[rate], at, method="inverted_cdf")
+        for own in (passed[passed.lang == lang], passed[(passed.lang == lang) & (passed.source == source)]):
+            value = (len(own) * np.quantile(own[rate], at, method="inverted_cdf") + 300 * value) / (len(own) + 300)
+        return value
+
+    e = 0.03  # ranks that the sketch may be off
+    for (lang, source), limit in found.iterrows():
+        for rate, least in quality.RATES.items():
+            low, high = ([drawn(rate, lang, source, min(max(q + d, 0), 1)) for d in (-e, e)] for q in (0.25, 0.75))
+            bound = [h + max(6 * (h - l), least) for h, l in ((high[0], low[1]), (high[1], low[0]))]
+            assert bound[0] - 1e-9 <= limit[f"limit_{rate}"] <= bound[1] + 1e-9
+    got = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+    for r in rows.itertuples():
+        limit = found.loc[(r.lang, r.source)] if (r.lang, r.source) in found.index else None
+        assert got[r.doc_id] == (not r.base_failed and all(getattr(r, x) <= limit[f"limit_{x}"] for x in quality.RATES))
+
+
 def test_quality_nasty(spark):
     docs = frame(spark).withColumn("lang", F.when(F.col("doc_id") > 4, "en")).withColumn("source", F.lit(None).cast("string"))
     got = quality.judge(docs).collect()
