@@ -76,6 +76,12 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
 
+def merged(decisions: DataFrame) -> DataFrame:
+    """A table that grows with the corpus, to be joined to its texts by merging at every size: what a small one costs
+    then says what a large one will."""
+    return decisions.hint("merge")
+
+
 def one_of_each(kept: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
     """``kept(row, key, ...)`` with one row of each key in the stored table ``repeated(key)``, the least, and all rows of other keys."""
     if repeated.isEmpty():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, one_of_each
+from .common import materialize, merged, one_of_each
 
 SLOTS, MOVES = 4, 200
 #: Rows of a bucket of the index, on average, and parts that a digest's rows are summed in before they meet.
@@ -202,24 +202,26 @@ def update_index(index: DataFrame, live: DataFrame, added: DataFrame, removed: D
     return index.groupBy("bucket").cogroup(news.groupBy("bucket")).applyInArrow(run, _INDEX), after
 
 
-def _decided(docs: DataFrame, digest: Callable[[Column], Column], bucket_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(groups by digest, groups by digest and text): what the index finds equal, and is; the second for digests that several texts have."""
+def _decided(docs: DataFrame, digest: Callable[[Column], Column], bucket_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(groups by digest, groups by digest and text): what the index finds equal, and is; the second, for digests that
+    several texts have, is None where there are none."""
     rows = materialize(docs.select("doc_id", digest(content()).alias("digest")), "digests")
     found = materialize(groups(rows, max(1, -(-rows.count() // bucket_rows))), "groups")
     # Of each digest the least and the greatest text, which are one; partly done before the exchange.
-    texts = docs.select("doc_id", digest(content()).alias("digest"), content().alias("text")).join(found.select("digest"), "digest", "left_semi")
+    texts = docs.select("doc_id", digest(content()).alias("digest"), content().alias("text")).join(merged(found.select("digest")), "digest", "left_semi")
     several = materialize(texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest"), "several")
+    if several.isEmpty():
+        return found, None
     by_id = texts.join(several, "digest", "left_semi").groupBy("digest", "text", "doc_id").agg(F.count("*").alias("n"))
     by_text = by_id.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "n")).alias("most"), F.sum("n").alias("group_size"))
     by_text = by_text.select("digest", F.col("text").alias("same"), F.col("most.doc_id").alias("keep_id"), "group_size", F.col("most.n").alias("times"))
-    return found.join(several, "digest", "left_anti"), by_text
+    return found.join(several, "digest", "left_anti"), materialize(by_text, "by_text")
 
 
-def _with_groups(rows: DataFrame, found: DataFrame, by_text: DataFrame) -> DataFrame:
+def _with_groups(rows: DataFrame, found: DataFrame, by_text: DataFrame | None) -> DataFrame:
     """``rows(digest, text, ...)`` with ``keep_id``, ``group_size`` and ``times``; null where a text is alone."""
-    by_text = materialize(by_text, "by_text")
-    plain = rows.join(found, "digest", "left")
-    if by_text.isEmpty():
+    plain = rows.join(merged(found), "digest", "left")
+    if by_text is None:
         return plain
     odd = by_text.select("digest").distinct()
     clash = rows.join(odd, "digest", "left_semi").join(by_text.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.col("text") == F.col("same")), "left")
@@ -235,8 +237,8 @@ def exact_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, digest: Ca
     ``digest`` may be any key of 16 hex digits or more: what it calls equal is held against the texts.
     """
     found, by_text = _decided(docs, digest, bucket_rows)
-    rows = docs.select("doc_id", digest(content()).alias("digest"), content().alias("text"))
-    joined = _with_groups(rows.select("doc_id", "digest", "text", sha256(F.col("text")).alias("text_sha256")), found, by_text)
+    rows = docs.select("doc_id", digest(content()).alias("digest"), *([content().alias("text")] if by_text is not None else []), sha256(content()).alias("text_sha256"))
+    joined = _with_groups(rows, found, by_text)
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
@@ -247,12 +249,10 @@ def keep_last(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, digest: Callable[
     Each row is decided by its own id and text: the largest doc_id stays, a null one only where the group has no
     other. Of rows that repeat both, the least by the other columns stays. An empty table gives an empty result."""
     found, by_text = _decided(docs, digest, bucket_rows)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", digest(content()).alias("digest"), content().alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", digest(content()).alias("digest"), *([content().alias("text")] if by_text is not None else []))
     kept = _with_groups(rows, found, by_text).where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    again = lambda df: df.where("times > 1").select("digest")
-    repeated = materialize(again(found).union(again(by_text)).distinct(), "repeated")
-    if by_text.isEmpty():
-        return one_of_each(kept, "digest", repeated).select("row.*")
+    if by_text is None:
+        return one_of_each(kept, "digest", found.where("times > 1").select("digest")).select("row.*")
     key = F.struct("digest", "text").alias("key")
     both = materialize(kept.where("times > 1").select(key).distinct(), "repeated")
     return one_of_each(kept.withColumn("key", key), "key", both).select("row.*")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected
-from .common import Words, materialize, one_of_each, per_slice
+from .common import Words, materialize, merged, one_of_each, per_slice
 from .xxh import xxh64
 
 #: The similarity of a link as a fraction; bands and least hashes in each; words of 64 bits in a sketch.
@@ -104,7 +104,7 @@ def sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
         cols = [part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))), _lists(sketches_of(hashes, sizes))]
         return pa.RecordBatch.from_arrays(cols, ["id", "mark", "n", "s", "sketch"])
 
-    kept = docs.select(node_of(), "text").join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
+    kept = docs.select(node_of(), "text").join(merged(nodes.distinct()), "node", "left_semi").dropDuplicates(["node"])
     return materialize(_noded(kept.select("node.id", "node.mark", "text").mapInArrow(per_slice(run), "id long, mark long, n long, s array<long>, sketch array<long>")), "shingles")
 
 
@@ -133,13 +133,17 @@ def _rare_pairs(texts: DataFrame, roots: DataFrame, similar: tuple[int, int]) ->
     tokens = owned.select("node", F.explode("s").alias("h"))
     common = materialize(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
     ranked = tokens.join(common, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))  # as long as a text at most
-    looked_at = F.col("n") - F.ceil(F.col("n") * part / whole) + 1 - (F.col("n") - F.size("x"))
-    rare = owned.select("node", "root", "n").join(ranked, "node").select("node", "root", "n", F.explode(F.slice("x", 1, F.greatest(F.lit(0), looked_at.cast("int")))).alias("t"))
-    posted = materialize(rare.select(F.col("t.h").alias("h"), "node", "root", "n"), "postings")
+    alone = F.col("n") - F.size("x")
+    looked_at = F.greatest(F.lit(0), (F.col("n") - F.ceil(F.col("n") * part / whole) + 1 - alone).cast("int"))
+    rare = owned.select("node", "root", "n").join(ranked, "node").select("node", "root", "n", alone.alias("alone"), F.transform(F.slice("x", 1, looked_at), lambda t: t["h"]).alias("rare"))
+    posted = materialize(rare.select("node", "root", "n", "alone", "rare", F.explode("rare").alias("h")), "postings")
     several = posted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
     posted = posted.join(several, "h", "left_semi")
-    a, b = (posted.select("h", *(F.col(c).alias(c + x) for c in ("node", "root", "n"))) for x in "uv")
+    a, b = (posted.select("h", *(F.col(c).alias(c + x) for c in ("node", "root", "n", "alone", "rare"))) for x in "uv")
     near = (F.col("nodeu") < F.col("nodev")) & (F.col("rootu") != F.col("rootv")) & (F.least("nu", "nv") * whole >= F.greatest("nu", "nv") * part)
+    # What no other text has differs: at most so many shingles in both may. A pair is made at the rarest shingle it shares.
+    near = near & ((F.col("aloneu") + F.col("alonev")) * (part + whole) <= (F.col("nu") + F.col("nv")) * (whole - part))
+    near = near & (F.col("h") == F.get(F.array_intersect("rareu", "rarev"), F.lit(0)))
     return a.join(b, "h").where(near).select(F.col("nodeu").alias("u"), F.col("nodev").alias("v"))
 
 
@@ -173,5 +177,5 @@ def without_copies(docs: DataFrame, rows: DataFrame, links: DataFrame) -> DataFr
     """``docs`` with the least node of each component; of rows that repeat a node one."""
     dropped = connected(links).select("node")  # a component's least node is none of them
     repeated = materialize(rows.groupBy("node").count().where("count > 1").select("node"), "repeated")
-    kept = docs.select(F.struct(*docs.columns).alias("row"), node_of()).join(dropped, "node", "left_anti")
+    kept = docs.select(F.struct(*docs.columns).alias("row"), node_of()).join(merged(dropped), "node", "left_anti")
     return one_of_each(kept, "node", repeated).select("row.*")
