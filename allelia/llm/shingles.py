@@ -127,7 +127,10 @@ def _rare_pairs(texts: DataFrame, roots: DataFrame, similar: tuple[int, int]) ->
     """Pairs of texts in different components that share a shingle among the rarest of both, as similar texts must.
 
     Of n shingles so many may be missing from the other text, and one more is looked at. Shingles that one text alone
-    has come first; they take up places but meet nobody."""
+    has come first; they take up places but meet nobody. What comes before the rarest shared shingle in either text is
+    not in the other, so what comes from there on must be as many as similar texts of these sizes share, in both. In
+    the smaller one it is then early: among as many of the first as its half of what may differ. Others meet early ones
+    only."""
     part, whole = similar
     owned = texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "s")
     tokens = owned.select("node", F.explode("s").alias("h"))
@@ -136,13 +139,18 @@ def _rare_pairs(texts: DataFrame, roots: DataFrame, similar: tuple[int, int]) ->
     alone = F.col("n") - F.size("x")
     looked_at = F.greatest(F.lit(0), (F.col("n") - F.ceil(F.col("n") * part / whole) + 1 - alone).cast("int"))
     rare = owned.select("node", "root", "n").join(ranked, "node").select("node", "root", "n", alone.alias("alone"), F.transform(F.slice("x", 1, looked_at), lambda t: t["h"]).alias("rare"))
-    posted = materialize(rare.select("node", "root", "n", "alone", "rare", F.explode("rare").alias("h")), "postings")
-    several = posted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
+    placed = rare.select("node", "root", "n", "rare", "alone", F.posexplode("rare").alias("at", "h"))
+    placed = placed.withColumn("place", F.col("alone") + F.col("at")).drop("alone", "at")
+    posted = materialize(placed.withColumn("early", F.col("place") * (part + whole) <= F.col("n") * (whole - part)), "postings")
+    several = posted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("early").alias("early")).where("a <> b and early").select("h")
     posted = posted.join(several, "h", "left_semi")
-    a, b = (posted.select("h", *(F.col(c).alias(c + x) for c in ("node", "root", "n", "alone", "rare"))) for x in "uv")
-    near = (F.col("nodeu") < F.col("nodev")) & (F.col("rootu") != F.col("rootv")) & (F.least("nu", "nv") * whole >= F.greatest("nu", "nv") * part)
-    # What no other text has differs: at most so many shingles in both may. A pair is made at the rarest shingle it shares.
-    near = near & ((F.col("aloneu") + F.col("alonev")) * (part + whole) <= (F.col("nu") + F.col("nv")) * (whole - part))
+    a, b = (posted.select("h", *(F.col(c).alias(c + x) for c in ("node", "root", "n", "place", "early", "rare"))) for x in "uv")
+    a = a.where("earlyu")
+    once = ~F.col("earlyv") | (F.col("nodeu") < F.col("nodev"))
+    near = once & (F.col("rootu") != F.col("rootv")) & (F.least("nu", "nv") * whole >= F.greatest("nu", "nv") * part)
+    left = F.least(F.col("nu") - F.col("placeu"), F.col("nv") - F.col("placev"))
+    near = near & (left * (part + whole) >= (F.col("nu") + F.col("nv")) * part)
+    # A pair is made at the rarest shingle it shares.
     near = near & (F.col("h") == F.get(F.array_intersect("rareu", "rarev"), F.lit(0)))
     return a.join(b, "h").where(near).select(F.col("nodeu").alias("u"), F.col("nodev").alias("v"))
 
