@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cuckoo, langid, packing, quality, secrets, simhash, substring, toxicity
+from . import bpe, chat, cuckoo, divergence, langid, negatives, packing, quality, secrets, shards, simhash, substring, toxicity
 from .common import table
 
 
@@ -68,6 +68,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jump consistent hashing of all documents to 16 shards, and to 17."""
+    return shards.report(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How all sources of a language differ in the terms of at least 30 of its documents."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector among all others."""
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4 counts of each text, for SQL; its limits follow from sketches, which SQL does not have."""
     return quality.counts(table(spark, sf_dir, "documents"))
@@ -91,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_bpe_round_trip,
         op10_exact_dedup,
+        op11_sharding,
+        op12_source_divergence,
+        op13_hard_negatives,
         quality_counts,
         secret_base_spans,
     )
@@ -155,4 +173,52 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_sharding": """
+        WITH RECURSIVE jumps(n, doc_id, k, b, j) AS (
+            SELECT n, doc_id, CASE WHEN coalesce(doc_id, 0) < 0 THEN 18446744073709551616::HUGEINT + doc_id ELSE coalesce(doc_id, 0)::HUGEINT END, -1::BIGINT, 0::BIGINT
+            FROM (SELECT DISTINCT doc_id FROM documents), (VALUES (16), (17)) v(n)
+            UNION ALL
+            SELECT n, doc_id, next, j, CAST(floor((j + 1)::DOUBLE * (2147483648::DOUBLE / (next // 8589934592 + 1)::DOUBLE)) AS BIGINT)
+            FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS next FROM jumps WHERE j < n)),
+        shards AS (SELECT n, doc_id, max(b) AS shard FROM jumps WHERE j >= n GROUP BY n, doc_id),
+        crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS per_byte FROM range(256) v(i)),
+        d AS (
+            SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(4294967295, list_reduce(
+                list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+                lambda c, b: xor(c // 256, per_byte[xor(c, b) % 256 + 1]), 4294967295)) AS crc32 FROM documents, crc)
+        SELECT d.doc_id, size, crc32 AS text_crc32, 'key' AS law, CAST(a.shard AS INTEGER) AS shard,
+            row_number() OVER (PARTITION BY a.shard ORDER BY d.doc_id NULLS FIRST, size, crc32) - 1 AS slot, CAST(g.shard AS INTEGER) AS grown_shard
+        FROM d JOIN shards a ON a.n = 16 AND a.doc_id IS NOT DISTINCT FROM d.doc_id JOIN shards g ON g.n = 17 AND g.doc_id IS NOT DISTINCT FROM d.doc_id
+    """,
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+        found AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM d),
+        terms AS (SELECT i, lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM found),
+        kept AS (SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        counted AS (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        p AS (SELECT *, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM grid),
+        totals AS (SELECT lang, term, sum(n) AS n FROM grid GROUP BY lang, term),
+        q AS (SELECT *, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM totals),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        above AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST(p - q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+        UNION ALL SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM above QUALIFY rank <= 50
+    """,
+    "op13_hard_negatives": """
+        WITH e AS (
+            SELECT row_number() OVER () AS num, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.num AS a, a.vec_id AS anchor_id, b.num AS b, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.num <> b.num),
+        positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.vec_id, n.b) AS INTEGER) AS rank,
+            n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY rank <= 3
+    """,
 }
