@@ -8,8 +8,9 @@ on the terms that both have; the terms that one or none of them has follow from
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,9 @@ from .xxh import xxh64
 #: Documents of its language that a kept term is in, counts that each term is given beforehand, scale of shares, ranks of terms.
 LEAST_DOCS, SMOOTH, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Rows of the sketch and cells in each; the bits that the driver gets take ``DEPTH * WIDTH / 8`` bytes.
-DEPTH, WIDTH = 4, 1 << 25
-#: Distinct terms that a task holds before it hands on what it has counted; bytes of a text that are split at once.
-HELD, SPLIT_BYTES = 200_000, 2 << 20
+DEPTH, WIDTH = 2, 1 << 25
+#: Distinct terms, and terms of single texts, that a task holds before it hands on what it has counted; bytes that are split at once.
+HELD, HELD_OF_TEXTS, SPLIT_BYTES = 200_000, 2_000_000, 2 << 20
 #: Bits of the sketch that one row carries.
 _BLOCK = 1 << 16
 
@@ -103,7 +104,7 @@ def sketch(docs: DataFrame, least: int = LEAST_DOCS, width: int = WIDTH) -> byte
     or more; of ``DEPTH * width / 8`` bytes at any size of the corpus. ``width`` is a multiple of 65536. A wider sketch costs
     no more to add up, as only cells that were met are shuffled; it should have about as many cells in a row as terms."""
     cells = docs.select("lang", "source", "text").mapInArrow(_sketcher(width), "cell long, n long")
-    reached = cells.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    reached = cells.repartition("cell").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         bits = np.zeros(_BLOCK, bool)
@@ -121,37 +122,54 @@ def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _counter(bits, width: int):
-    """``mapInArrow`` over ``(lang, source, text)``: occurrences and documents of the terms whose cells are all set."""
-
-    def handed(seen: dict[tuple[str, str], tuple[Counter, Counter]], able: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (count, docs) in seen.items():
-            terms = list(count)
+class _Held:
+    """The terms of some texts as numbers: of each language, term and group of its own, and what each text adds."""
+
+    def __init__(self):
+        self.number: dict[str, dict[bytes, int]] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.parts: dict[str, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        self.entries = self.terms = 0
+
+    def add(self, lang: str, source: str, text: str) -> None:
+        number = self.number.setdefault(lang, defaultdict(count().__next__))
+        group = self.groups.setdefault((lang, source), len(self.groups))
+        self.terms -= len(number)
+        ids = [np.fromiter(map(number.__getitem__, run), np.int64, len(run)) for run in terms_of(text)]
+        self.terms += len(number)
+        if ids:
+            own, n = np.unique(np.concatenate(ids), return_counts=True)
+            self.parts.setdefault(lang, []).append((group, own, n))
+            self.entries += len(own)
+
+    def counted(self, able: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+        names = [source for _, source in self.groups]
+        for lang, parts in self.parts.items():
+            terms = list(self.number[lang])
             if not terms:
                 continue
-            kept = np.flatnonzero(_set(able, cells_of(lang, terms, width)).all(axis=1))
-            mine = [terms[i] for i in kept.tolist()]
-            if mine:
-                columns = [pa.array([lang] * len(mine)), pa.array([source] * len(mine)), pa.array([t.decode() for t in mine]), pa.array([count[t] for t in mine], pa.int64()), pa.array([docs[t] for t in mine], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count", "docs"])
+            kept = _set(able, cells_of(lang, terms, width)).all(axis=1)
+            own, n = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+            group = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+            group, own, n = group[kept[own]], own[kept[own]], n[kept[own]]
+            key, where = np.unique(group * len(terms) + own, return_inverse=True)
+            said = pa.array([t.decode() for t in terms]).take(pa.array(key % len(terms)))
+            source = pa.array(names, pa.string()).take(pa.array(key // len(terms)))
+            total = [pa.array(x.astype(np.int64)) for x in (np.bincount(where, n, len(key)), np.bincount(where, minlength=len(key)))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), source, said, *total], ["lang", "source", "term", "count", "docs"])
+
+
+def _counter(bits, width: int):
+    """``mapInArrow`` over ``(lang, source, text)``: occurrences and documents of the terms whose cells are all set."""
 
     def run(batches):
-        able = np.frombuffer(bits.value, np.uint8)
-        seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        held = 0
-        for lang, source, text in _rows(batches):
-            count, docs = seen.setdefault((lang, source), (Counter(), Counter()))
-            held -= len(count)
-            own: set[bytes] = set()
-            for run_of in terms_of(text):
-                count.update(run_of)
-                own.update(run_of)
-            docs.update(own)
-            held += len(count)
-            if held > HELD:
-                yield from handed(seen, able)
-                seen, held = {}, 0
-        yield from handed(seen, able)
+        able, held = np.frombuffer(bits.value, np.uint8), _Held()
+        for row in _rows(batches):
+            held.add(*row)
+            if held.terms > HELD or held.entries > HELD_OF_TEXTS:
+                yield from held.counted(able, width)
+                held = _Held()
+        yield from held.counted(able, width)
 
     return run
 
@@ -161,7 +179,8 @@ def term_counts(docs: DataFrame, least: int = LEAST_DOCS, width: int = WIDTH) ->
     language or more, exactly. Nulls count as empty strings. Groups of a common source are counted in part by each task."""
     bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, least, width))
     partial = docs.select("lang", "source", "text").mapInArrow(_counter(bits, width), "lang string, source string, term string, count long, docs long")
-    found = materialize(partial.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "terms")
+    by_term = partial.repartition("lang", "term")  # tasks have added up what they hold: no use in a second time before the exchange
+    found = materialize(by_term.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")), "terms")
     kept = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term")
     return found.join(kept, ["lang", "term"]).select("lang", "source", "term", "count")
 
