@@ -2,7 +2,7 @@
 
 The index holds, in each slot of a two-choice table, a 16-bit tag and the stored key and payload behind it. A tag
 hit is verified against the stored key of that slot; an insertion that finds no place after many moves doubles the
-table and files the stored keys again. Texts that the index calls equal are then held against each other, digest by
+table and files the stored keys again. Keys that doubling would not part, as they share a hash, lie in a stash. Texts that the index calls equal are then held against each other, digest by
 digest; where a digest has more than one text, the texts themselves decide. Beside the index lie the live rows by
 digest and id, so that digests can be deleted row by row and the index follows a changing corpus.
 """
@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable
+from itertools import chain
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +26,19 @@ BUCKET_ROWS, SALT = 20_000, 8
 
 
 class CuckooIndex:
-    """Keys are bytes of which the first eight are well mixed; payloads are (keep_id, size, times): the id that stays, how many rows there are, and how many with that id."""
+    """Keys are any bytes, filed by a hash of all of them; payloads are (keep_id, size, times): the id that stays, how many rows there are, and how many with that id."""
 
     def __init__(self, capacity: int = 64):
         self.buckets = 1 << max(2, (capacity * 5 // 4 // SLOTS).bit_length())
         self.tags = [0] * (self.buckets * SLOTS)
         self.keys: list[bytes | None] = [None] * (self.buckets * SLOTS)
         self.payload: list[tuple | None] = [None] * (self.buckets * SLOTS)
+        self.stash: dict[bytes, tuple] = {}
         self.live = 0
 
     def _places(self, key: bytes) -> tuple[int, int, int]:
-        tag = int.from_bytes(key[6:8], "little") or 1
-        a = int.from_bytes(key[:6], "little") & (self.buckets - 1)
+        h = xxhash.xxh64_intdigest(key)
+        tag, a = h >> 48 or 1, h & (self.buckets - 1)
         return tag, a, self._other(a, tag)
 
     def _other(self, bucket: int, tag: int) -> int:
@@ -51,7 +54,7 @@ class CuckooIndex:
 
     def get(self, key: bytes) -> tuple | None:
         slot = self._find(key)
-        return None if slot < 0 else self.payload[slot]
+        return self.stash.get(key) if slot < 0 else self.payload[slot]
 
     def put(self, key: bytes, payload: tuple) -> None:
         """Insert a key, or replace its payload."""
@@ -59,14 +62,18 @@ class CuckooIndex:
         if slot >= 0:
             self.payload[slot] = payload
             return
+        if key in self.stash:
+            self.stash[key] = payload
+            return
         self.live += 1
         self._file(key, payload)
 
     def delete(self, key: bytes) -> bool:
         slot = self._find(key)
-        if slot < 0:
+        if slot >= 0:
+            self.tags[slot], self.keys[slot], self.payload[slot] = 0, None, None
+        elif self.stash.pop(key, None) is None:
             return False
-        self.tags[slot], self.keys[slot], self.payload[slot] = 0, None, None
         self.live -= 1
         return True
 
@@ -84,7 +91,11 @@ class CuckooIndex:
             key, self.keys[slot] = self.keys[slot], key
             payload, self.payload[slot] = self.payload[slot], payload
             bucket = self._other(bucket, tag)
+        if self.live * 4 < self.buckets * SLOTS:  # a table that is mostly empty does not overflow for want of room
+            self.stash[key] = payload
+            return
         held = [(k, p) for k, p in self.items()] + [(key, payload)]
+        self.stash = {}
         self.buckets *= 2
         self.tags = [0] * (self.buckets * SLOTS)
         self.keys, self.payload = [None] * (self.buckets * SLOTS), [None] * (self.buckets * SLOTS)
@@ -92,7 +103,7 @@ class CuckooIndex:
             self._file(k, p)
 
     def items(self):
-        return ((k, p) for k, p in zip(self.keys, self.payload) if k is not None)
+        return chain(((k, p) for k, p in zip(self.keys, self.payload) if k is not None), self.stash.items())
 
     def to_bytes(self) -> bytes:
         return pickle.dumps((self.buckets, self.live, list(self.items())), 5)
@@ -129,7 +140,7 @@ def sha256(text: Column) -> Column:
 
 
 def _bucket(buckets: int) -> Column:
-    return F.pmod(F.conv(F.substring("digest", 17, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int").alias("bucket")
+    return F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def _partial(rows: DataFrame, buckets: int) -> DataFrame:
@@ -234,7 +245,7 @@ def exact_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, digest: Ca
     Texts are equal if they are the same without any change; null is the empty text. Of a group the largest doc_id
     stays. Rows that repeat both id and text count in ``group_size`` and share one decision. Null ids stay only
     where no row of the group has an id. Other columns are ignored; an empty table gives an empty result.
-    ``digest`` may be any key of 16 hex digits or more: what it calls equal is held against the texts.
+    ``digest`` may be any key of an even number of hex digits: what it calls equal is held against the texts.
     """
     found, by_text = _decided(docs, digest, bucket_rows)
     rows = docs.select("doc_id", digest(content()).alias("digest"), *([content().alias("text")] if by_text is not None else []), sha256(content()).alias("text_sha256"))

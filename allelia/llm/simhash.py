@@ -3,8 +3,9 @@
 Of two fingerprints that differ in at most ``max_bits`` bits, laid out as a ring of m segments, some chain of
 consecutive segments stays within the budget ``l * max_bits / m`` for each of its lengths l (Qin and Xiao, VLDB 2018).
 The leading segments whose budget is below one bit must be equal: they are the key of a bucket. Within a bucket the
-longer chains are tested before the whole Hamming distance is. In a bucket of many members the bits that are not
-fixed yet are a ring again, by the same rule, until buckets are small or no more bits are free than may differ.
+longer chains are tested before the whole Hamming distance is. Large buckets are cut into blocks of members that meet
+block by block, where only the links that join two components of what has met are kept. In the largest ones the bits
+that are not fixed yet are a ring again first, by the same rule.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from .xxh import xxh64
 
 #: Words in a shingle, differing bits of a link.
 SHINGLE, MAX_BITS = 3, 2
-#: Members of a bucket that are compared pair by pair; larger buckets are cut into rings of their own.
-PAIRWISE = 64
+#: Members of a bucket that are compared pair by pair in a stream of buckets, members of a block of a larger bucket, and
+#: members from which on a bucket is cut into a ring of its own. Blocks add ``members * members / BLOCK`` rows to a bucket.
+PAIRWISE, BLOCK, LARGE = 64, 4096, 1 << 17
 _WHOLE = (1 << 64) - 1
 
 _LANES = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], dtype=np.uint64)
@@ -107,24 +109,55 @@ def deal(rows: DataFrame, max_bits: int) -> DataFrame:
     return rows.select("free", "fp", "rep").mapInArrow(_dealer(max_bits), f"{_BUCKET}, fp long, rep long")
 
 
+def _near(ring: int, at: int, x: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which differences have a chain from ``at`` on within its budgets, and then so few bits in all."""
+    parts = ring_of(ring & _WHOLE, max_bits)
+    total, ok = np.zeros(x.shape, np.int64), np.ones(x.shape, bool)
+    for k in range(key_length(len(parts), max_bits), len(parts)):
+        total += np.bitwise_count(x & np.uint64(parts[(at + k) % len(parts)]))
+        ok &= total <= (k + 1) * max_bits // len(parts)
+    ok[ok] = np.bitwise_count(x[ok]) <= max_bits
+    return ok
+
+
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _new(cols: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before in any column."""
+    changed = np.zeros(len(cols[0]) - 1, bool)
+    for c in cols:
+        changed |= c[1:] != c[:-1]
+    return np.concatenate([[True], changed])
+
+
+def _grouped(keys: int, work):
+    """``mapInArrow`` over rows of longs sorted by their first ``keys`` columns: ``work`` on whole groups, several at once."""
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [np.asarray(c, dtype=np.int64) for c in b.columns]
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            last = int(np.flatnonzero(_new(cols[:keys]))[-1])  # the last group may go on
+            if last:
+                yield from work([c[:last] for c in cols])
+            held = [c[last:] for c in cols]
+        if held is not None:
+            yield from work(held)
+
+    return run
+
+
 def _linker(max_bits: int, most: int):
-    """``mapInArrow`` over rows sorted by bucket, of ``most`` members at most: pairs within ``max_bits``, chains first."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def near(ring: int, at: int, x: np.ndarray) -> np.ndarray:
-        """Which differences have a chain from ``at`` on within its budgets, and then so few bits in all."""
-        parts = ring_of(ring & _WHOLE, max_bits)
-        total, ok = np.zeros(len(x), np.int64), np.ones(len(x), bool)
-        for k in range(key_length(len(parts), max_bits), len(parts)):
-            total += np.bitwise_count(x & np.uint64(parts[(at + k) % len(parts)]))
-            ok &= total <= (k + 1) * max_bits // len(parts)
-        ok[ok] = np.bitwise_count(x[ok]) <= max_bits
-        return ok
+    """Buckets ``(ring, at, free, fixed, fp, rep)`` of ``most`` members at most: pairs within ``max_bits``, chains first."""
 
     def work(cols):
         ring, at, _, _, fp, rep = cols
         n = len(fp)
-        begin = np.flatnonzero(_new(cols))
+        begin = np.flatnonzero(_new(cols[:4]))
         size = np.diff(np.append(begin, n))
         left = np.repeat(begin + size, size) - np.arange(n) - 1  # members after this one in its bucket
         kind = ring * np.int64(64) + at
@@ -135,39 +168,74 @@ def _linker(max_bits: int, most: int):
                 break
             for k in np.unique(kind[idx]):
                 i = idx[kind[idx] == k]
-                i = i[near(int(ring[i[0]]), int(at[i[0]]), u64[i] ^ u64[i + d])]
+                i = i[_near(int(ring[i[0]]), int(at[i[0]]), u64[i] ^ u64[i + d], max_bits)]
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[i + d])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[i + d])], schema=_LINKS)
+
+    return _grouped(4, work)
+
+
+def joining(fp: np.ndarray, ring: int, at: int, max_bits: int, cut: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links among members, or between the first ``cut`` and the others, that keep every connection: fewer than members.
+
+    All are compared, a few rows at a time; of links whose ends are connected already none is kept."""
+    n, u64 = len(fp), fp.view(np.uint64)
+    root = np.arange(n)
+    u, v = [], []
+    for a in range(0, cut or n, 64):
+        rows = np.arange(a, min(a + 64, cut or n))
+        cols = np.arange(cut, n) if cut else np.arange(a + 1, n)
+        x, y = np.nonzero(_near(ring, at, u64[rows][:, None] ^ u64[cols][None], max_bits))
+        x, y = rows[x], cols[y]
+        while len(x):
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+            _, first = np.unique(high, return_index=True)  # a link for each component that joins a lesser one
+            u.append(x[first])
+            v.append(y[first])
+            to = np.arange(n)
+            to[high[first]] = low[first]
+            while (to[to] != to).any():
+                to = to[to]
+            root = to[root]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(u or none), np.concatenate(v or none)
+
+
+def _block_linker(max_bits: int):
+    """Pairs of blocks ``(ring, at, free, fixed, i, j, block, fp, rep)``: links that keep every connection in and between them."""
 
-    def _new(cols) -> np.ndarray:
-        changed = np.zeros(len(cols[0]) - 1, bool)
-        for c in cols[:4]:
-            changed |= c[1:] != c[:-1]
-        return np.concatenate([[True], changed])
+    def work(cols):
+        begin = np.flatnonzero(_new(cols[:6]))
+        for a, b in zip(begin, np.append(begin[1:], len(cols[0]))):
+            ring, at, i, j = (int(cols[c][a]) for c in (0, 1, 4, 5))
+            block, fp, rep = (cols[c][a:b] for c in (6, 7, 8))
+            cut = 0 if i == j else int((block == i).sum())
+            if i == j or 0 < cut < len(fp):
+                u, v = joining(fp, ring, at, max_bits, cut)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[u]), pa.array(rep[v])], schema=_LINKS)
 
-    def run(batches):
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [np.asarray(c, dtype=np.int64) for c in b.columns]
-            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
-            last = int(np.flatnonzero(_new(cols))[-1])  # the last bucket may go on
-            if last:
-                yield from work([c[:last] for c in cols])
-            held = [c[last:] for c in cols]
-        if held is not None:
-            yield from work(held)
+    return _grouped(6, work)
 
-    return run
+
+def block_pairs(members: DataFrame, block: int) -> DataFrame:
+    """``members(ring, at, free, fixed, fp, rep, n)`` with ``i``, ``j`` and ``block``: each member for every pair of blocks
+    that its own is in. A bucket of n members has ``ceil(n / block)`` blocks, and each member as many rows."""
+    blocks = F.ceil(F.col("n") / block)
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return dealt.select("ring", "at", "free", "fixed", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "fp", "rep")
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE, block: int = BLOCK, large: int = LARGE) -> DataFrame:
     """``fps(fp, rep)``, fingerprints distinct → links ``(u, v)`` of representatives that keep every connection.
 
     Exact for any ``max_bits`` from 1 to 31. Buckets are counted before they are dealt out: those of one member go,
-    those of up to ``pairwise`` are compared, and larger ones are cut further, each round as a stored table. Where no
-    more bits are free than may differ all members are near, and are linked to the least."""
+    those of up to ``pairwise`` are compared in a stream, those of up to ``large`` in blocks, and larger ones are cut
+    further, each round as a stored table. A bucket of n members becomes ``n * ceil(n / block)`` rows, with n up to
+    ``large``; only more members than that are dealt ``2 * max_bits + 1`` times again. Where no more bits are free than
+    may differ all members are near, and are linked to the least."""
     if not 1 <= max_bits <= 31:
         raise ValueError("max_bits must be from 1 to 31")
     spark = fps.sparkSession
@@ -179,13 +247,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE) ->
         small = dealt.join(sizes.where(F.col("n") <= pairwise).select(*bucket), bucket).select(*dealt.columns)
         sorted_ = small.repartition(tasks(spark), *bucket).sortWithinPartitions(*bucket, "fp")
         pairs = sorted_.mapInArrow(_linker(max_bits, pairwise), "u long, v long")
-        large = materialize(dealt.join(sizes.where(F.col("n") > pairwise), bucket), "large")
-        all_near = F.bit_count("free") <= max_bits
-        pairs = pairs.union(large.where(all_near & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("u"), F.col("least").alias("v")))
+        many = materialize(dealt.join(sizes.where(F.col("n") > pairwise), bucket), "large")
+        if not many.isEmpty():
+            all_near = F.bit_count("free") <= max_bits
+            pairs = pairs.union(many.where(all_near & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("u"), F.col("least").alias("v")))
+            blocks = block_pairs(many.where(~all_near & (F.col("n") <= large)), block)
+            met = blocks.repartition(tasks(spark), *bucket, "i", "j").sortWithinPartitions(*bucket, "i", "j", "block")
+            pairs = pairs.union(met.mapInArrow(_block_linker(max_bits), "u long, v long"))
+            rows = many.where(~all_near & (F.col("n") > large)).select("free", "fp", "rep").distinct()
         pairs = materialize(pairs.distinct(), "near")
         found = pairs if found is None else found.union(pairs)
-        rows = large.where(~all_near).select("free", "fp", "rep").distinct()
-        if rows.isEmpty():
+        if many.isEmpty() or rows.isEmpty():
             return found
     raise RuntimeError("buckets did not settle")
 

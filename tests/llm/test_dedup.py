@@ -57,6 +57,38 @@ def test_links_keep_every_component(spark, max_bits, pairwise):
     assert {n: got.get(n, n) for n in rows} == brute.components(rows, max_bits)
 
 
+@pytest.mark.parametrize("max_bits,how", [(2, {"block": 8}), (5, {"block": 16}), (2, {"block": 8, "large": 40}), (1, {"large": 60})])
+def test_links_of_large_buckets(spark, max_bits, how):
+    """Blocks and further rings keep every component, and rows stay within their bound."""
+    rnd = random.Random(9)
+    seed = rnd.getrandbits(64)
+    fps = {seed ^ k for k in range(128)} | {seed ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(150)} | {rnd.getrandbits(64) for _ in range(40)}
+    rows = {i: f for i, f in enumerate(sorted(fps))}
+    df = spark.createDataFrame([(f - (1 << 64) * (f >> 63), i) for i, f in rows.items()], "fp long, rep long")
+    found = simhash.links(df, max_bits, pairwise=4, **how).collect()
+    got = {r.node: r.root for r in connected(spark.createDataFrame(found)).collect()}
+    assert {n: got.get(n, n) for n in rows} == brute.components(rows, max_bits)
+    block = how.get("block", simhash.BLOCK)
+    if "large" not in how:  # a bucket's links: fewer than the members of each pair of its blocks
+        assert len(found) < (2 * max_bits + 1) * len(rows) * -(-len(rows) // block) + 2 * len(rows)
+
+
+def test_rows_of_blocks_are_bounded(spark):
+    members = spark.range(1000).select(*(F.lit(0).alias(c) for c in ("ring", "at", "free", "fixed")), F.col("id").alias("fp"), F.col("id").alias("rep"), F.lit(1000).alias("n"))
+    blocks = simhash.block_pairs(members, 128)
+    assert blocks.count() == 1000 * 8 and blocks.select("i", "j").distinct().count() == 36
+    assert blocks.groupBy("i", "j").count().agg(F.max("count")).first()[0] < 4 * 128
+
+
+def test_joining_links_are_a_forest():
+    rnd = np.random.default_rng(2)
+    fp = rnd.choice(1 << 12, 600, replace=False).astype(np.int64)
+    for cut in (0, 250):
+        u, v = simhash.joining(fp, -1, 0, 2, cut)
+        assert len(u) < len(fp) and all(int(fp[a] ^ fp[b]).bit_count() <= 2 for a, b in zip(u, v))
+        assert not cut or ((u < cut) & (v >= cut)).all()
+
+
 def test_simhash_nasty_and_empty(spark):
     got = simhash.near_duplicates(frame(spark, NASTY)).collect()
     assert sorted((r.doc_id, r.fingerprint) for r in got) == sorted((d, f"{brute.fingerprint(t):016x}") for d, t in NASTY)
@@ -121,6 +153,30 @@ def test_cuckoo_tag_hits_are_verified():
     assert index.get(a) == (1, 1)
 
 
+def test_cuckoo_keys_of_any_kind(monkeypatch):
+    index = cuckoo.CuckooIndex(8)
+    keys = [bytes(8) + bytes([i]) for i in range(30)] + [b"", b"a"]  # equal first bytes, and short keys
+    for i, k in enumerate(keys):
+        index.put(k, (i, 1))
+    assert index.buckets <= 64 and [index.get(k)[0] for k in keys] == list(range(32))
+    monkeypatch.setattr(cuckoo.xxhash, "xxh64_intdigest", lambda key: 7)  # no doubling can part these
+    index = cuckoo.CuckooIndex(8)
+    for i, k in enumerate(keys):
+        index.put(k, (i, 1))
+        index.put(k, (i, 2))
+    assert index.live == 32 and index.buckets <= 64 and index.stash and dict(index.items()) == {k: (i, 2) for i, k in enumerate(keys)}
+    again = cuckoo.CuckooIndex.from_bytes(index.to_bytes())
+    assert [again.delete(k) for k in keys] == [True] * 32 and again.live == 0 and not again.delete(b"a")
+
+
+def test_short_digests_are_dealt_out(spark):
+    rows = spark.createDataFrame([(i, f"t{i // 2}") for i in range(400)], "doc_id long, text string")
+    short = lambda t: F.substring(F.sha2(t, 256), 1, 16)
+    assert rows.select(short(F.col("text")).alias("digest")).select(cuckoo._bucket(8)).distinct().count() == 8
+    got = cuckoo.exact_duplicates(rows, bucket_rows=50, digest=short).collect()
+    assert all(r.group_size == 2 and r.keep_id == r.doc_id | 1 for r in got)
+
+
 def test_index_tables_follow_a_corpus(spark):
     docs = spark.createDataFrame([(i, f"text {i % 30}") for i in range(90)], "doc_id long, text string")
     live = cuckoo.live_rows(docs)
