@@ -60,14 +60,6 @@ def made(spark: SparkSession) -> list[str]:
     return list(_made.get(folder(spark), []))
 
 
-def release(spark: SparkSession, paths: list[str], read: DataFrame) -> None:
-    """Delete stored tables, but for those that ``read`` reads."""
-    files = read.inputFiles() if paths else []
-    for path in paths:
-        if not any(path.rsplit("/", 1)[1] in f for f in files):
-            discard(spark, path)
-
-
 def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"

@@ -10,56 +10,31 @@ columns are carried by all stages but the last. An empty table gives an empty on
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from allelia.llm import cuckoo, langid, packing, secrets, simhash
 from allelia.llm.common import stored, table
 from allelia.llm.queries import vocabulary
-from allelia.plans.tables import discard, made, release
-
-
-#: What the last stage of each session has stored for itself.
-_left: dict[str, list[str]] = {}
-
-
-def _alone(stage):
-    """A stage that deletes what the stage before it stored for itself, as its documents are written and read again by then."""
-
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        release(spark, _left.pop(app, []), docs)
-        before = set(made(spark))
-        out = stage(spark, docs, sf_dir)
-        _left[app] = [p for p in made(spark) if p not in before]
-        return out
-
-    return run
+from allelia.plans.tables import discard, made
 
 
-@_alone
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter (null and empty ones too) and texts in no language that the table's own labels
     teach. Rows with a null or repeated id are judged by their own text; without any label all rows go."""
     return langid.keep_known(docs, langid.fit_filters(docs))
 
 
-@_alone
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each text: the largest id, a null one only where there is no other, and one of equal rows."""
     return cuckoo.keep_last(docs)
 
 
-@_alone
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: the least id, a null one only where there is no other, and one of
     equal rows. Texts without words, null ones too, are alike."""
     return simhash.keep_one(docs)
 
 
-@_alone
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops no row; masks secrets in each row's text and counts ``n_chars`` anew. Null texts stay null."""
     return secrets.redact(docs)
@@ -83,10 +58,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder, read again, and deleted after the next one."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    What a stage stored for itself is deleted once its result is written, and that result once the next one is. Stages
+    delete nothing: called by themselves, in any order, their results can be read at any time."""
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        before = set(made(spark))
         docs, path = stored(stage(spark, docs, sf_dir), name)
+        for own in made(spark):
+            if own not in before and own != path:
+                discard(spark, own)
         if last:
             discard(spark, last)
         last = path
