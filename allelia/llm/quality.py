@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds, in DataFrame functions.
 
-The rates of each text are sketched by language and source (KLL, mergeable). A group's upper limit follows from its
-quartiles. They are drawn towards those of the merged sketches of its language, and these towards those of all, by the
-weight of a fixed number of rows, so that every group has limits of its own and none jumps as it grows. The limits are
-joined back to the texts.
+The rates of each text are sketched by language and source (KLL, mergeable): the rates above zero, and how many rows
+have none, as most texts of a clean source have no repeated line or symbol at all. A group's upper limit follows from
+its tail, its spread and how common and how high its positive rates are. These are drawn towards those of the merged
+sketches of its language, and these towards those of all, by the weight of a fixed number of rows, so that every group
+has limits of its own and none jumps as it grows. The limits are joined back to the texts.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from .common import SPACE_CHARS, materialize
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 3, 50, 0.5
-#: Rates that get a limit, with the least distance from the upper quartile to it.
-RATES = {"word_length": 1.5, "symbol_rate": 0.04, "dup_line_rate": 0.04, "repeat_rate": 0.35}
-#: Interquartile ranges from the upper quartile to the limit; rows that the quartiles of a group's parent count as.
-SPREAD, PARENT_ROWS = 6.0, 300
+#: Rates that get a limit, with how far beyond the group's own level a text may be at least.
+RATES = {"word_length": 0.0, "symbol_rate": 0.04, "dup_line_rate": 0.04, "repeat_rate": 0.35}
+#: Rows from which on a rate is in the tail, as a share; interquartile ranges, and times the usual positive rate by its
+#: share of rows and that of the others, from there to the limit; rows that what a group's parent has counts as.
+TAIL, SPREAD, LIFT, PARENT_ROWS = 0.85, 6.0, 1.0, 300
+#: Steps of the ranks at which sketches are read.
+GRID = 64
 
 
 def _repeated(w: Column) -> Column:
@@ -90,24 +94,35 @@ def counts(docs: DataFrame) -> DataFrame:
 def limits(rows: DataFrame) -> DataFrame:
     """``(lang, source, limit_<rate>...)`` of each language and source in ``rows``, from the rows that pass the base rules."""
     passed = rows.where("not base_failed")
-    own = passed.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r).alias(r) for r in RATES))
-    merged = lambda df: df.agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RATES))
+    above = lambda r: F.when(F.col(r) > 0, F.col(r))
+    own = passed.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.count(above(r)).alias(f"n_{r}") for r in RATES), *(F.kll_sketch_agg_double(above(r)).alias(r) for r in RATES))
+    merged = lambda df: df.agg(F.sum("n").alias("n"), *(F.sum(f"n_{r}").alias(f"n_{r}") for r in RATES), *(F.kll_merge_agg_double(r).alias(r) for r in RATES))
     own = materialize(own, "sketches")
-    by_lang = merged(own.groupBy("lang")).select(F.col("lang").alias("_lang"), F.struct("n", *RATES).alias("of_lang"))
-    of_all = merged(own.groupBy()).select(F.struct("n", *RATES).alias("of_all"))
-    every = own.select("lang", "source", F.struct("n", *RATES).alias("of_group")).join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(of_all))  # of_all is one row
+    every = ("n", *(f"n_{r}" for r in RATES), *RATES)
+    by_lang = merged(own.groupBy("lang")).select(F.col("lang").alias("_lang"), F.struct(*every).alias("of_lang"))
+    of_all = merged(own.groupBy()).select(F.struct(*every).alias("of_all"))
+    joined = own.select("lang", "source", F.struct(*every).alias("of_group")).join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(of_all))  # of_all is one row
 
-    def quartile(rate: str, at: float) -> Column:
-        """A quantile of the group, drawn towards its language's, drawn towards that of all."""
-        q = lambda level: F.kll_sketch_get_quantile_double(F.col(f"{level}.{rate}"), F.lit(at))
-        drawn = lambda level, parent: (F.col(f"{level}.n") * q(level) + PARENT_ROWS * parent) / (F.col(f"{level}.n") + PARENT_ROWS)
-        return drawn("of_group", drawn("of_lang", q("of_all")))
+    def drawn(of) -> Column:
+        """A figure of the group, drawn towards its language's, drawn towards that of all."""
+        towards = lambda level, parent: (F.col(f"{level}.n") * of(level) + PARENT_ROWS * parent) / (F.col(f"{level}.n") + PARENT_ROWS)
+        return towards("of_group", towards("of_lang", of("of_all")))
 
     def limit(rate: str, least: float) -> Column:
-        low, high = quartile(rate, 0.25), quartile(rate, 0.75)
-        return (high + F.greatest(SPREAD * (high - low), F.lit(least))).alias(f"limit_{rate}")
+        share = lambda level: F.col(f"{level}.n_{rate}") / F.greatest(F.col(f"{level}.n"), F.lit(1))
+        # A sketch takes fixed ranks only, so those of the positive rates are read off a grid.
+        grid = lambda level: F.kll_sketch_get_quantile_double(F.col(f"{level}.{rate}"), F.array(*(F.lit(i / GRID) for i in range(GRID + 1))))
+        positive = lambda level, at: F.get(grid(level), F.round(at * GRID).cast("int"))
 
-    return every.select("lang", "source", *(limit(r, x) for r, x in RATES.items()))
+        def quantile(at: float):
+            """Of all rows: zero up to the share that has none, and then from the sketch of the others."""
+            return lambda level: F.when(share(level) > 1 - at, positive(level, F.greatest(F.lit(0.0), 1 - (1 - at) / share(level)))).otherwise(0.0)
+
+        usual = lambda level: F.when(share(level) > 0, share(level) * (1 - share(level)) * positive(level, F.lit(0.5))).otherwise(0.0)
+        range_ = drawn(quantile(0.75)) - drawn(quantile(0.25))
+        return (drawn(quantile(TAIL)) + SPREAD * range_ + LIFT * drawn(usual) + least).alias(f"limit_{rate}")
+
+    return joined.select("lang", "source", *(limit(r, x) for r, x in RATES.items()))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -323,25 +323,53 @@ def test_quality_limits_decide_every_row(spark):
     passed = rows[~rows.base_failed]
     assert len(found) == passed.groupby(["lang", "source"]).ngroups > 50
 
-    def drawn(rate, lang, source, at):
-        """The quantile of a group, drawn towards its language's and that towards all's, each by 300 rows."""
-        value = np.quantile(passed[rate], at, method="inverted_cdf")
+    def drawn(lang, source, of):
+        """A figure of a group, drawn towards its language's and that towards all's, each by 300 rows."""
+        value = of(passed)
         for own in (passed[passed.lang == lang], passed[(passed.lang == lang) & (passed.source == source)]):
-            value = (len(own) * np.quantile(own[rate], at, method="inverted_cdf") + 300 * value) / (len(own) + 300)
+            value = (len(own) * of(own) + 300 * value) / (len(own) + 300)
         return value
 
-    e = 0.03  # ranks that the sketch may be off
+    def quantile(rate, at, off):
+        """Of all rows; among the positive ones the rank may be off by the sketch's error and half a step of the grid."""
+
+        def of(rows):
+            x = rows[rate][rows[rate] > 0]
+            share = len(x) / max(1, len(rows))
+            if share <= 1 - at:
+                return 0.0
+            return np.quantile(x, min(max(1 - (1 - at) / share + off, 0), 1), method="inverted_cdf")
+
+        return of
+
+    def usual(rate, off):
+        return lambda rows: (rows[rate] > 0).mean() * (rows[rate] == 0).mean() * np.quantile(rows[rate][rows[rate] > 0], 0.5 + off, method="inverted_cdf") if (rows[rate] > 0).any() else 0.0
+
+    e = 0.04
     for (lang, source), limit in found.iterrows():
         for rate, least in quality.RATES.items():
-            low, high = ([drawn(rate, lang, source, min(max(q + d, 0), 1)) for d in (-e, e)] for q in (0.25, 0.75))
-            bound = [h + max(6 * (h - l), least) for h, l in ((high[0], low[1]), (high[1], low[0]))]
-            assert bound[0] - 1e-9 <= limit[f"limit_{rate}"] <= bound[1] + 1e-9
+            at = lambda q, off: drawn(lang, source, quantile(rate, q, off))  # noqa: E731, B023
+            ends = [at(0.85, d) + 6 * (at(0.75, d) - at(0.25, -d)) + drawn(lang, source, usual(rate, d)) + least for d in (-e, e)]
+            assert ends[0] - 1e-9 <= limit[f"limit_{rate}"] <= ends[1] + 1e-9
     got = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
     for r in rows.itertuples():
         limit = found.loc[(r.lang, r.source)] if (r.lang, r.source) in found.index else None
         assert got[r.doc_id] == (not r.base_failed and all(getattr(r, x) <= limit[f"limit_{x}"] for x in quality.RATES))
 
 
+def test_quality_limits_follow_each_source(spark):
+    """Rates that are mostly zero: sources with other tails get other limits, however few positive rates there are."""
+    rnd = random.Random(4)
+    text = lambda n: " ".join(f"w{i}x{rnd.randrange(10**6)}" for i in range(60)) + " " + "#" * n
+    share = {"common": 0.2, "rare": 0.03, "none": 0.0}
+    rows = [(i, text(rnd.randrange(1, 30) if rnd.random() < share[s] else 0), "en", s) for i, s in enumerate(["common", "rare", "none"] * 1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limit = {r.source: r.limit_symbol_rate for r in quality.limits(quality.measured(docs)).collect()}
+    assert limit["none"] + 0.0002 < limit["rare"] < limit["common"] - 0.01, limit
+    kept = quality.judge(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    assert all(r.k > 0.95 for r in kept)
+
+
 def test_quality_nasty(spark):
     docs = frame(spark).withColumn("lang", F.when(F.col("doc_id") > 4, "en")).withColumn("source", F.lit(None).cast("string"))
     got = quality.judge(docs).collect()
