@@ -10,6 +10,8 @@ are a small part of those above it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +165,7 @@ def cuts(scored: DataFrame) -> dict[int, float]:
     """The least p-value that is reported, by class of lengths, from ``scored(spans)`` of :func:`judged`; the counts are a bounded grid.
 
     A string counts once, however often it is repeated. A class's counts are shrunk towards those of the other
-    lengths, and these towards uniform ones, by ``PRIOR`` strings each."""
+    lengths, by ``PRIOR`` strings at most and never by more than there are: no string counts that was not found."""
     free = scored.select(F.explode(F.filter("spans", lambda x: x["free"])).alias("c"))
     strings = free.groupBy("c.h").agg(F.min(F.struct((F.col("c.end") - F.col("c.start")).alias("length"), F.col("c.p").alias("p"))).alias("s")).select("s.length", "s.p")
     one = strings.select(_length_class(F.col("length")).alias("size"), F.least(F.floor(F.col("p") * GRID), F.lit(GRID - 1)).cast("int").alias("at"))
@@ -172,14 +174,16 @@ def cuts(scored: DataFrame) -> dict[int, float]:
         table[size][at] += n
     out = {}
     for k, own in table.items():
-        others = [sum(x) - n + PRIOR / GRID for x, n in zip(zip(*table.values()), own)]
-        out[k] = _cut([n + PRIOR * m / sum(others) for n, m in zip(own, others)])
+        others = [sum(x) - n for x, n in zip(zip(*table.values()), own)]
+        weight = min(1.0, PRIOR / max(1, sum(others)))
+        out[k] = _cut([n + weight * m for n, m in zip(own, others)])
     return out
 
 
 def _cut(counts: list[float]) -> float:
     """The least grid point from which on ordinary strings are FALSE_PART at most; 1 or more if there is none."""
-    random = sum(counts[GRID // 2 :]) / (GRID - GRID // 2)  # of each step: the upper half is taken as random
+    upper = sum(counts[GRID // 2 :])  # these are taken as random; as many are below, give or take what chance allows
+    random = (upper + 1 + math.sqrt(upper + 1) / 2) / (GRID - GRID // 2)
     for at in range(GRID):
         above = sum(counts[at:])
         if above and above - random * (GRID - at) <= FALSE_PART * above:

@@ -52,6 +52,32 @@ def test_secrets_cut_by_one_rule_at_every_count(spark, n):
     assert max(secrets.cuts(scored).values()) <= 0.1
 
 
+def at(*steps):
+    """Counts on the grid with a string at each of the steps."""
+    counts = [0] * secrets.GRID
+    for x in steps:
+        counts[x] += 1
+    return counts
+
+
+def test_few_ordinary_strings_are_not_reported():
+    """Strings at small p-values and none elsewhere are no random ones, however few; nor are they hidden by some random ones."""
+    for n in (6, 10, 40, 1000):
+        assert secrets._cut(at(*[1] * n)) > 1 / secrets.GRID, n
+    assert secrets._cut(at(*[1] * 9, 7, 20, 33, 41)) > 1 / secrets.GRID
+    assert secrets._cut(at(*[1] * 100, *range(secrets.GRID))) > 1 / secrets.GRID
+    for steps in ([14], [3, 30], [5, 20, 44], range(0, 50, 5), [i % 50 for i in range(1000)]):
+        assert secrets._cut(at(*steps)) == secrets.PLAIN_CUT, steps
+
+
+def test_few_ordinary_strings_of_a_table(spark):
+    """Ten strings that the battery finds odd but not impossible, and nothing else: none is a secret."""
+    pool = [x for x in drawn(4000, 17, 24) if 0.02 <= battery(x) < 0.04][:10]
+    assert len(pool) == 10
+    docs = spark.createDataFrame([(i, f"see {x} there") for i, x in enumerate(pool)], "doc_id long, text string")
+    assert [r.spans for r in secrets.report(secrets.scan(docs)).collect()] == [""] * 10
+
+
 def battery(token):
     """The three tests by plain loops, with the exact normal tail."""
     import math
@@ -77,7 +103,8 @@ def battery(token):
 
 def cut(counts):
     """The cut of one class of lengths by its definition, from the counts of a grid."""
-    random_ = sum(counts[secrets.GRID // 2 :]) / (secrets.GRID // 2)
+    upper = sum(counts[secrets.GRID // 2 :])
+    random_ = (upper + 1 + (upper + 1) ** 0.5 / 2) / (secrets.GRID // 2)
     for at in range(secrets.GRID):
         above = sum(counts[at:])
         if above and (above - random_ * (secrets.GRID - at)) / above <= secrets.FALSE_PART:
@@ -100,7 +127,7 @@ def plain_spans(texts):
                 token = m[0].rstrip("=")
                 free.append((m.start(), m.end(), battery(token)))
                 size = m.end() - m.start()
-                strings[token] = min(strings.get(token, (size, 0.0)), (size, battery(token)))
+                strings[token] = min(strings.get(token, (size, 2.0)), (size, battery(token)))
         found.append((base, free))
     kind = lambda size: sum(size >= x for x in secrets.LENGTH_CLASSES)
     table = {k: [0] * secrets.GRID for k in range(len(secrets.LENGTH_CLASSES) + 1)}
@@ -108,8 +135,8 @@ def plain_spans(texts):
         table[kind(size)][min(int(p * secrets.GRID), secrets.GRID - 1)] += 1
     cuts = {}
     for k, own in table.items():
-        others = [sum(t[g] for j, t in table.items() if j != k) + secrets.PRIOR / secrets.GRID for g in range(secrets.GRID)]
-        cuts[k] = cut([n + secrets.PRIOR * m / sum(others) for n, m in zip(own, others)])
+        others = [sum(t[g] for j, t in table.items() if j != k) for g in range(secrets.GRID)]
+        cuts[k] = cut([n + m * min(1, secrets.PRIOR / max(1, sum(others))) for n, m in zip(own, others)])
     out = []
     for base, free in found:
         spans = base + [(a, 3, b) for a, b, p in free if p >= cuts[kind(b - a)]]
