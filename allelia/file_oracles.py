@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .file_queries import REGION
+from .file_queries import DEPTH, REGION
 from .oracles import CONTACTS, EPS, classes, edges, obs, r6, sites
 
 #: Fixed values of the grounded files, as the queries make them.
@@ -18,6 +18,13 @@ SEEN = f"""{READS}, snps AS (SELECT p_partkey AS snp_idx, (p_partkey + 1) * 100
       placed AS (SELECT *, CASE WHEN d < 7 THEN 3 + d WHEN d BETWEEN 9 AND 13 THEN d + 1 ELSE d + 2 END AS j FROM met WHERE d < 7 OR d > 8),
       based AS (SELECT *, substr('ACGT', (k * (7 + j) + j * j) % 4 + 1, 1) AS base, (k * 3 + j * 5) % 40 + 2 AS baseq FROM placed),
       seen AS (SELECT *, CASE WHEN base = ref THEN 1 WHEN base = alt THEN -1 ELSE 0 END AS b FROM based)"""
+DEEP = f"""{READS}, deep AS (SELECT k, name, CASE WHEN regexp_matches(name, '^r[0-9]*7/') THEN flag | 2048 ELSE flag END AS flag, start0 // 10 AS start0, mapq, row_number() OVER (ORDER BY start0, k) AS ordinal FROM reads),
+      snps AS (SELECT p_partkey AS snp_idx, (p_partkey + 1) * 100 AS pos1, substr(['AC', 'CG', 'GT', 'TA', 'AG'][p_partkey % 5 + 1], 1, 1) AS ref, substr(['AC', 'CG', 'GT', 'TA', 'AG'][p_partkey % 5 + 1], 2, 1) AS alt FROM part),
+      met AS (SELECT *, pos1 - 1 - start0 AS d FROM deep JOIN snps ON pos1 - 1 >= start0 AND pos1 - 1 < start0 + 18 WHERE flag & {4 | 256 | 512 | 1024} = 0),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY snp_idx ORDER BY start0, ordinal) AS rank FROM met),
+      placed AS (SELECT *, CASE WHEN d < 7 THEN 3 + d WHEN d BETWEEN 9 AND 13 THEN d + 1 ELSE d + 2 END AS j, d BETWEEN 7 AND 8 AS gap FROM ranked WHERE rank <= {DEPTH}),
+      based AS (SELECT *, substr('ACGT', (k * (7 + j) + j * j) % 4 + 1, 1) AS base, (k * 3 + j * 5) % 40 + 2 AS baseq FROM placed),
+      seen AS (SELECT *, CASE WHEN base = ref THEN 1 WHEN base = alt THEN -1 ELSE 0 END AS b, NOT gap AND flag & 2048 = 0 AND mapq >= 20 AND baseq >= 13 AS passed FROM based)"""
 READ_SCAN, PILEUP = 4 | 256 | 2048, 4 | 256 | 2048 | 512 | 1024
 PASSED = "flag & %d = 0 AND mapq >= 20 AND baseq >= 13"
 NAMED = "named AS (SELECT 'q' || read_id AS read_id, 'chr1:' || ((snp_idx + 1) * 1000) || ':A>C' AS snp_id, snp_idx, (snp_idx + 1) * 1000 AS pos1, b, baseq, mapq, weight FROM obs)"
@@ -39,6 +46,13 @@ def _all() -> dict[str, str]:
             array_to_string([(k * 3 + j * 5) % 40 + 2 FOR j IN range(20)], ',') AS qual FROM reads WHERE start0 + 18 > 5000 AND start0 < 150000""",
         "bam_observations": f"WITH {SEEN} SELECT name AS read_id, {long('snp_idx', 'b', 'baseq', 'mapq')}, {r6(f'ln((1 - {eps}) / {eps})')} AS weight FROM seen WHERE {PASSED % READ_SCAN} AND b <> 0",
         "bam_pileup": f"WITH {SEEN} SELECT name AS read_id, {long('snp_idx', 'b', 'baseq', 'mapq')} FROM seen WHERE {PASSED % PILEUP} AND b <> 0",
+        "bam_pileup_depth": f"WITH {DEEP} SELECT name AS read_id, {long('snp_idx', 'b', 'baseq', 'mapq')} FROM seen WHERE passed AND b <> 0",
+        "bam_pileup_columns": f"""WITH {DEEP}, covered AS (SELECT snp_idx, count(*) AS covering FROM met GROUP BY snp_idx),
+            counted AS (SELECT snp_idx, count(*) AS depth, count(*) FILTER (passed AND b = 1) AS n_ref, count(*) FILTER (passed AND b = -1) AS n_alt, count(*) FILTER (passed AND b = 0) AS n_other,
+                count(*) FILTER (NOT gap AND NOT passed) AS n_low, count(*) FILTER (gap) AS n_gap FROM seen GROUP BY snp_idx)
+            SELECT 'chr1' AS chrom, {long('snp_idx', 'pos1')}, coalesce(covering, 0) AS covering, coalesce(depth, 0) AS depth, coalesce(n_ref, 0) AS n_ref, coalesce(n_alt, 0) AS n_alt, coalesce(n_other, 0) AS n_other, coalesce(n_low, 0) AS n_low, coalesce(n_gap, 0) AS n_gap
+            FROM snps LEFT JOIN covered USING (snp_idx) LEFT JOIN counted USING (snp_idx)""",
+        "tsv_order": f"WITH {obs()}, {NAMED} SELECT count(*) AS n, CAST(0 AS BIGINT) AS breaks FROM named",
         "bam_counts": f"WITH {SEEN} SELECT count(*) FILTER (b = 1) AS n_ref, count(*) FILTER (b = -1) AS n_alt, count(*) FILTER (b = 0) AS n_other FROM seen WHERE {PASSED % READ_SCAN}",
         "bam_anchors": f"""WITH {SEEN} SELECT split_part(name, '/', 1) AS query_name, CAST(snp_idx // 10 AS VARCHAR) AS component, CAST(CASE WHEN snp_idx % 3 = 0 THEN -b ELSE b END AS BIGINT) AS sign, CAST(1 AS BIGINT) AS n_sites,
             start0 + 1 AS start, start0 + 18 AS "end", {long('mapq')}, {r6('greatest(mapq / 60, 0.05)')} AS score FROM seen WHERE flag & {READ_SCAN} = 0 AND mapq >= 10 AND b <> 0""",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import queries as q
 from .functions.evidence import site_id, site_order, site_parts
 from .operators import contacts, evaluate, observe, parity, risk
+from .operators.ranges import order_proof
 from .params import Contact, Observing
 from .plans.tables import folder, materialize
 from .sources import bam, bgzf, npz, sinks, tsv, vcf
@@ -21,6 +22,8 @@ from .sources import bam, bgzf, npz, sinks, tsv, vcf
 #: Reads of the grounded alignments, and the contact settings that all of them pass.
 REGION = ("chr1", 5_000, 120_000)
 LOOSE = Contact(min_mapq=10, min_score=1.0)
+#: Reads that a column of the deep pileup takes.
+DEPTH = 12
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -137,6 +140,30 @@ def bam_pileup(spark, sf_dir):
     return rows.select("read_id", *q.big("snp_idx", "b", "baseq", "mapq"))
 
 
+def _deep(spark, sf_dir) -> DataFrame:
+    """The reads of the grounded file in a tenth of the reference, with every eleventh a supplementary one."""
+    e = bam.alignments(spark, bam_file(spark, sf_dir))
+    return e.withColumn("start0", F.expr("start0 div 10")).withColumn("flag", F.when(F.substring("name", 2, 9).rlike("^[0-9]*7/"), F.col("flag").bitwiseOR(F.lit(2048))).otherwise(F.col("flag")))
+
+
+def bam_pileup_depth(spark, sf_dir):
+    """A pileup whose depth limit cuts most columns."""
+    rows, _ = observe.observations(_deep(spark, sf_dir), snps(spark, sf_dir), Observing(dedup=False, scan="pileup", max_depth=DEPTH))
+    return rows.select("read_id", *q.big("snp_idx", "b", "baseq", "mapq"))
+
+
+def bam_pileup_columns(spark, sf_dir):
+    rows = observe.pileup_columns(_deep(spark, sf_dir), snps(spark, sf_dir), Observing(scan="pileup", max_depth=DEPTH))
+    return rows.select("chrom", *q.big("snp_idx", "pos1", "covering", "depth", "n_ref", "n_alt", "n_other", "n_low", "n_gap"))
+
+
+def tsv_order(spark, sf_dir):
+    """Observations as a sorted file, read by place in the file: keys never fall, and no rows are collected to see that."""
+    path = place(spark, "sorted.tsv")
+    sinks.write_tsv(sinks.observation_file(named(spark, sf_dir)[0]), path, ["read_id", "snp_id"])
+    return order_proof(tsv.observations(spark, path, True), "ordinal", ["read_id", "snp_id"])
+
+
 def bam_counts(spark, sf_dir):
     return _observed(spark, sf_dir, Observing(dedup=False))[1].select(*q.big("n_ref", "n_alt", "n_other"))
 
@@ -270,7 +297,7 @@ def risk_summary(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        vcf_het_sites, vcf_region_records, vcf_phase_calls, vcf_phased_export, vcf_export_counts, bam_scan, bam_observations, bam_pileup, bam_counts, bam_anchors, tsv_observations, tsv_indexed,
+        vcf_het_sites, vcf_region_records, vcf_phase_calls, vcf_phased_export, vcf_export_counts, bam_scan, bam_observations, bam_pileup, bam_pileup_depth, bam_pileup_columns, tsv_order, bam_counts, bam_anchors, tsv_observations, tsv_indexed,
         npz_graph, npz_pairs, tsv_parity_edges, tsv_phases, tsv_component_edges, tsv_orientations, tsv_metrics, elapsed_log, debug_edges, debug_soft_edges, site_names, read_entries, required_sites, risk_summary,
     )
 }

@@ -16,6 +16,8 @@ from ..plans.tables import materialize
 UNMAPPED, SECONDARY, SUPPLEMENTARY = 0x4, 0x100, 0x800
 #: Flags that a pileup leaves out besides: failed quality checks, duplicates.
 QC_FAIL, DUPLICATE = 0x200, 0x400
+#: Flags of alignments that are in no column of a pileup; supplementary ones take up depth, but show nothing.
+PILED = UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE
 
 
 def usable_alignments(alignments: DataFrame, min_mapq: int, skip: int = UNMAPPED | SECONDARY | SUPPLEMENTARY) -> DataFrame:
@@ -69,6 +71,46 @@ def observed_bases(alignments: DataFrame, sites: DataFrame) -> DataFrame:
     return found.select("ordinal", "name", "mapq", "chrom", "start0", "cigar", "pos1", "snp_idx", "snp_id", "ref", "alt", base.alias("base"), F.get("qual", at).cast("int").alias("baseq"), *[c for c in points.columns if c not in ("snp_idx", "snp_id", "chrom", "pos1", "ref", "alt", "pos0")])
 
 
+def spans(alignments: DataFrame) -> DataFrame:
+    """``(ordinal, chrom, start0, end0)``: the reference that each alignment covers, deletions and skips within it."""
+    sizes = F.transform(F.regexp_extract_all("cigar", F.lit("([0-9]+)[MDN=X]"), F.lit(1)), lambda n: n.cast("long"))
+    return alignments.select("ordinal", "chrom", "start0", (F.col("start0") + F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n)).alias("end0"))
+
+
+def within_depth(alignments: DataFrame, sites: DataFrame, max_depth: int) -> DataFrame:
+    """``(ordinal, snp_idx, rank)``: of the alignments that cover a site the first ``max_depth``, by start and then place in
+    the file, ranked from 1.
+
+    Ranks are taken within a site, and Spark drops what is beyond the limit in each task before the exchange, so a site
+    that very many reads cover reaches its task as ``max_depth`` rows of every other one at most."""
+    points = sites.select("chrom", "snp_idx", (F.col("pos1") - 1).alias("pos0"))
+    met = interval_join(spans(alignments), points, "start0", "end0", "pos0", ("chrom",))
+    rank = F.row_number().over(Window.partitionBy("snp_idx").orderBy("start0", "ordinal"))
+    return met.select("ordinal", "snp_idx", "start0").withColumn("rank", rank).where(F.col("rank") <= max_depth).select("ordinal", "snp_idx", "rank")
+
+
+def pileup_columns(alignments: DataFrame, sites: DataFrame, p: Observing = Observing(scan="pileup")) -> DataFrame:
+    """``(snp_idx, chrom, pos1, covering, depth, n_ref, n_alt, n_other, n_low, n_gap)`` of each site: alignments that cover
+    it, those within the depth limit, and what these show there: either allele, another base, a base or alignment of
+    too little quality or that is supplementary, or no base at all. Sites that nothing covers have zeros."""
+    sites = last_site_at(sites)
+    piled = usable_alignments(alignments, 0, PILED)
+    covering = interval_join(spans(piled), sites.select("chrom", "snp_idx", (F.col("pos1") - 1).alias("pos0")), "start0", "end0", "pos0", ("chrom",)).groupBy("snp_idx").agg(F.count("*").alias("covering"))
+    kept = within_depth(piled, sites, p.max_depth)
+    depth = kept.groupBy("snp_idx").agg(F.count("*").alias("depth"))
+    based = observed_bases(piled, sites)
+    shown = based.join(kept, ["ordinal", "snp_idx"], "left_semi").groupBy("snp_idx").agg(F.count("*").alias("shown"))
+    passed = coded(observed_bases(usable_alignments(alignments, p.min_mapq, PILED | SUPPLEMENTARY), sites), p).join(kept, ["ordinal", "snp_idx"], "left_semi")
+    alleles = passed.groupBy("snp_idx").agg(*(F.count_if(F.col("b") == b).alias(n) for n, b in (("n_ref", 1), ("n_alt", -1), ("n_other", 0))))
+    out = sites.select("snp_idx", "chrom", "pos1")
+    for part in (covering, depth, shown, alleles):
+        out = out.join(part, "snp_idx", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    counted = ("covering", "depth", "n_ref", "n_alt", "n_other")
+    low = n("shown") - n("n_ref") - n("n_alt") - n("n_other")
+    return out.select("snp_idx", "chrom", "pos1", *(n(c).alias(c) for c in counted), low.alias("n_low"), (n("depth") - n("shown")).alias("n_gap"))
+
+
 def coded(bases: DataFrame, p: Observing = Observing()) -> DataFrame:
     """Bases of enough quality with their allele ``b`` (0: neither allele)."""
     return bases.withColumn("baseq", usable_baseq(F.col("baseq"), p)).where(F.col("baseq") >= p.min_baseq).withColumn("b", allele(F.col("base"), F.col("ref"), F.col("alt")))
@@ -90,10 +132,13 @@ def best_per_read_site(obs: DataFrame, order: tuple[str, ...] = ("ordinal",)) ->
 
 def observations(alignments: DataFrame, sites: DataFrame, p: Observing = Observing()) -> tuple[DataFrame, DataFrame]:
     """(observations, counts): ``(read_id, snp_idx, snp_id, b, baseq, mapq, epsilon, weight, ordinal)``, and one row
-    ``(n_ref, n_alt, n_other)``. Without ``dedup`` mates that share a name keep both rows. A pileup scan also leaves
-    out failed and duplicate alignments."""
-    skip = UNMAPPED | SECONDARY | SUPPLEMENTARY | (QC_FAIL | DUPLICATE if p.scan == "pileup" else 0)
-    seen = coded(observed_bases(usable_alignments(alignments, p.min_mapq, skip), last_site_at(sites)), p)
+    ``(n_ref, n_alt, n_other)``. Without ``dedup`` mates that share a name keep both rows. A pileup scan goes by columns:
+    failed and duplicate alignments are in none, and of the others the first ``max_depth`` of each site count."""
+    piled, sites = p.scan == "pileup", last_site_at(sites)
+    skip = UNMAPPED | SECONDARY | SUPPLEMENTARY | (PILED if piled else 0)
+    seen = coded(observed_bases(usable_alignments(alignments, p.min_mapq, skip), sites), p)
+    if piled:
+        seen = seen.join(within_depth(usable_alignments(alignments, 0, PILED), sites, p.max_depth), ["ordinal", "snp_idx"], "left_semi")
     rows = weighted(seen.where("b <> 0"), p).select(F.col("name").alias("read_id"), "snp_idx", "snp_id", "b", "baseq", "mapq", "epsilon", "weight", "ordinal")
     if p.dedup:
         rows = best_per_read_site(rows)

@@ -15,6 +15,7 @@ class Observing:
     mapq_cap: int = 60
     dedup: bool = True
     scan: str = "read"
+    max_depth: int = 8000
 
 
 @dataclass(frozen=True)
