@@ -52,6 +52,9 @@ def _all() -> dict[str, str]:
                 count(*) FILTER (NOT gap AND NOT passed) AS n_low, count(*) FILTER (gap) AS n_gap FROM seen GROUP BY snp_idx)
             SELECT 'chr1' AS chrom, {long('snp_idx', 'pos1')}, coalesce(covering, 0) AS covering, coalesce(depth, 0) AS depth, coalesce(n_ref, 0) AS n_ref, coalesce(n_alt, 0) AS n_alt, coalesce(n_other, 0) AS n_other, coalesce(n_low, 0) AS n_low, coalesce(n_gap, 0) AS n_gap
             FROM snps LEFT JOIN covered USING (snp_idx) LEFT JOIN counted USING (snp_idx)""",
+        "component_sites": """WITH snps AS (SELECT p_partkey AS k, (p_partkey + 1) * 100 AS pos1, ['AC', 'CG', 'GT', 'TA', 'AG'][p_partkey % 5 + 1] AS pair, CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE 1 END AS delta FROM part WHERE p_partkey % 6 <> 0),
+            named AS (SELECT 'phases' AS sets, *, k // 25 AS c FROM snps UNION ALL SELECT 'reads', *, k // 40 FROM snps WHERE k % 7 <> 0)
+            SELECT sets, 'chr1' AS chrom, CAST(pos1 AS BIGINT) AS pos1, CAST(delta AS BIGINT) AS delta, substr(pair, 1, 1) AS ref, substr(pair, 2, 1) AS alt, CAST(c AS VARCHAR) AS component FROM named""",
         "tsv_order": f"WITH {obs()}, {NAMED} SELECT count(*) AS n, CAST(0 AS BIGINT) AS breaks FROM named",
         "bam_counts": f"WITH {SEEN} SELECT count(*) FILTER (b = 1) AS n_ref, count(*) FILTER (b = -1) AS n_alt, count(*) FILTER (b = 0) AS n_other FROM seen WHERE {PASSED % READ_SCAN}",
         "bam_anchors": f"""WITH {SEEN} SELECT split_part(name, '/', 1) AS query_name, CAST(snp_idx // 10 AS VARCHAR) AS component, CAST(CASE WHEN snp_idx % 3 = 0 THEN -b ELSE b END AS BIGINT) AS sign, CAST(1 AS BIGINT) AS n_sites,

@@ -288,6 +288,17 @@ def required_sites(spark, sf_dir):
     return rows.groupBy("read_id").agg(F.sum(F.col("b") * F.col("tau")).alias("field")).select(*q.big("read_id", "field"))
 
 
+def component_sites(spark, sf_dir):
+    """Phased sites by the sets of their own, and by those of the reads where phases have none."""
+    s = snps(spark, sf_dir)
+    k = F.col("snp_idx")
+    phases = s.where("snp_idx % 6 <> 0").select("snp_idx", F.when(k % 4 == 0, -1).otherwise(1).alias("delta"), F.expr("snp_idx div 25").alias("ps"))
+    seen = s.where("snp_idx % 7 <> 0").select("snp_idx", F.expr("snp_idx div 40").alias("ps"))
+    own = contacts.component_sites(s, phases).withColumn("sets", F.lit("phases"))
+    read = contacts.component_sites(s, phases.withColumn("ps", F.lit(None).cast("long")), seen).withColumn("sets", F.lit("reads"))
+    return own.unionByName(read).select("sets", "chrom", *q.big("pos1", "delta"), "ref", "alt", "component")
+
+
 def risk_summary(spark, sf_dir):
     c = q.classes(spark, sf_dir)
     forest = c.where("edge_class = 'hard' and (i + j) % 2 = 0").select("i", "j", F.lit("hard_retained").alias("status"))
@@ -298,6 +309,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         vcf_het_sites, vcf_region_records, vcf_phase_calls, vcf_phased_export, vcf_export_counts, bam_scan, bam_observations, bam_pileup, bam_pileup_depth, bam_pileup_columns, tsv_order, bam_counts, bam_anchors, tsv_observations, tsv_indexed,
-        npz_graph, npz_pairs, tsv_parity_edges, tsv_phases, tsv_component_edges, tsv_orientations, tsv_metrics, elapsed_log, debug_edges, debug_soft_edges, site_names, read_entries, required_sites, risk_summary,
+        npz_graph, npz_pairs, tsv_parity_edges, tsv_phases, tsv_component_edges, tsv_orientations, tsv_metrics, elapsed_log, debug_edges, debug_soft_edges, site_names, read_entries, required_sites, component_sites, risk_summary,
     )
 }

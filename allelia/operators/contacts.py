@@ -14,15 +14,19 @@ from .observe import SECONDARY, SUPPLEMENTARY, UNMAPPED, aligned_blocks, interva
 def component_sites(sites: DataFrame, phases: DataFrame, read_sets: DataFrame | None = None) -> DataFrame:
     """``(chrom, pos1, ref, alt, delta, component)``: phased sites with the name of their phase set.
 
-    A phase set column must cover all sites or none; with none the sets of ``read_sets(snp_idx, ps)`` are taken."""
-    covered = phases.agg(F.count("*"), F.count("ps")).first()
-    if covered[1] not in (0, covered[0]):
-        raise ValueError("phase sets must cover every site")
-    p = sites.join(phases, "snp_idx")
-    if not covered[1]:
-        if read_sets is None:
-            raise ValueError("phases without phase sets need observations")
-        p = p.drop("ps").join(read_sets, "snp_idx")
+    A phase set column must cover all sites or none; with none the sets of ``read_sets(snp_idx, ps)`` are taken, and
+    sites that are in none of these go. Whether it does is part of the plan: rows that break the rule are an error when
+    they are read, and no job runs before."""
+    covered = phases.agg(F.count("*").alias("_sites"), F.count("ps").alias("_sets"))  # one row
+    p = sites.join(phases, "snp_idx").crossJoin(F.broadcast(covered)).withColumnRenamed("ps", "_own")
+    if read_sets is None:
+        instead = F.raise_error(F.lit("phases without phase sets need observations")).cast("string")
+    else:
+        p = p.join(read_sets.select("snp_idx", F.col("ps").cast("string").alias("_seen")), "snp_idx", "left")
+        instead = F.col("_seen")
+    some = (F.col("_sets") > 0) & (F.col("_sets") < F.col("_sites"))
+    failed = F.raise_error(F.lit("phase sets must cover every site")).cast("string")
+    p = p.withColumn("ps", F.when(some, failed).when(F.col("_sets") > 0, F.col("_own").cast("string")).otherwise(instead)).where("ps is not null")
     return p.select("chrom", "pos1", F.upper("ref").alias("ref"), F.upper("alt").alias("alt"), "delta", F.col("ps").cast("string").alias("component"))
 
 

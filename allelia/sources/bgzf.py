@@ -1,14 +1,17 @@
 """One BGZF file from rows in order, with its position index; and ranges of such a file read back.
 
-Executors compress ranges of the rows into whole BGZF blocks, which may simply follow each other in a file. The driver
-copies the blocks through the file system's own stream and adds up their addresses into the index. Formats after the
-public SAM, BAM and tabix specifications.
+Executors compress ranges of the rows into whole BGZF blocks, which may simply follow each other in a file. Once the
+sizes of the ranges are known, so is the address of every block: where executors share the file's disk each of them
+writes its blocks to their places in one file, which is renamed when all are there; elsewhere the driver passes the
+blocks on to the file system. The index is added up by bins and windows on executors too. Formats after the public SAM,
+BAM and tabix specifications.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -47,44 +50,91 @@ def bins_over(start: int, end: int) -> set[int]:
     return {0} | {first + k for shift, first in LEVELS for k in range(start >> shift, (end - 1 >> shift) + 1)}
 
 
-_GROUP = pa.schema([("blob", pa.binary()), ("chrom", pa.list_(pa.string())), ("start", pa.list_(pa.int64())), ("end", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+_GROUP = pa.schema([("blob", pa.binary()), ("off", pa.int64()), ("chrom", pa.list_(pa.string())), ("start", pa.list_(pa.int64())), ("end", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of whole records as whole blocks, with where each record starts in its group and on its reference."""
-    held, marks = b"", []
+    """Groups of whole records as whole blocks: where each begins among the blocks of its task, and where each record
+    starts in its group and on its reference."""
+    held, marks, off = b"", [], 0
 
-    def group():
-        cols = [[blocks(held)], *([list(x)] for x in zip(*marks))]
+    def group(off: int) -> pa.RecordBatch:
+        cols = [[blocks(held)], [off], *([list(x)] for x in zip(*marks))]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _GROUP)], schema=_GROUP)
 
     for b in batches:
         for data, chrom, start, end in zip(*(b.column(k).to_pylist() for k in range(4))):
             if held and len(held) + len(data) > MOST:
-                yield group()
+                out = group(off)
+                yield out
+                off += len(out.column(0)[0].as_py())
                 held, marks = b"", []
             marks.append((chrom, start, end, len(held)))
             held += data
     if held:
-        yield group()
+        yield group(off)
+
+
+def _chunks(starts: dict[int, int]):
+    """``mapInArrow`` over ``(part, off, blob, chrom, start, end, at)``: the index entries of each group, ``(chrom, bin,
+    first, last)``, and with bin -1 - w the first record of window w."""
+
+    def run(batches):
+        for b in batches:
+            found: dict[tuple[str, int], list[int]] = {}
+            out = []
+            for part, off, size, *marks in zip(*(b.column(k).to_pylist() for k in range(7))):
+                address = starts[part] + off
+                last = address + size << 16
+                for chrom, start, end, at in zip(*marks):
+                    first, end = address << 16 | at, max(end, start + 1)
+                    key = chrom, bin_of(start, end)
+                    if key in found:
+                        found[key][1] = last
+                    else:
+                        found[key] = [first, last]
+                    for w in range(start >> 14, (end - 1 >> 14) + 1):
+                        found.setdefault((chrom, -1 - w), [first, last])
+                out += [(*k, *v) for k, v in found.items()]  # one chunk of a bin for each group: blocks are not cut
+                found = {}
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["chrom", "bin", "first", "last"])
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks sorted by ``(chrom, bin, first)``: those of one bin whose blocks touch as one; of windows the first."""
+    now = None
+    for b in batches:
+        out = []
+        for chrom, bin_, first, last in zip(*(b.column(k).to_pylist() for k in range(4))):
+            if now is not None and now[:2] == [chrom, bin_] and (bin_ < 0 or now[3] >> 16 >= first >> 16):
+                now[3] = max(now[3], last)
+                continue
+            if now is not None:
+                out.append(now)
+            now = [chrom, bin_, first, last]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["chrom", "bin", "first", "last"])
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in now], ["chrom", "bin", "first", "last"])
 
 
 class _Index:
-    def __init__(self):
-        self.names: list[str] = []
-        self.bins: dict[str, dict[int, list[list[int]]]] = defaultdict(lambda: defaultdict(list))
-        self.linear: dict[str, dict[int, int]] = defaultdict(dict)
+    """The bins and windows of each reference, from entries of executors that are merged already."""
 
-    def add(self, chrom: str, start: int, end: int, first: int, last: int) -> None:
-        if chrom not in self.bins:
-            self.names.append(chrom)
-        chunks = self.bins[chrom][bin_of(start, end)]
-        if chunks and chunks[-1][1] >> 16 >= first >> 16:
-            chunks[-1][1] = last
-        else:
-            chunks.append([first, last])
-        for w in range(start >> 14, (end - 1 >> 14) + 1):
-            self.linear[chrom].setdefault(w, first)
+    def __init__(self, entries):
+        self.bins: dict[str, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.linear: dict[str, dict[int, int]] = defaultdict(dict)
+        least: dict[str, int] = {}
+        for chrom, bin_, first, last in entries:
+            least[chrom] = min(first, least.get(chrom, first))
+            if bin_ < 0:
+                self.linear[chrom][-1 - bin_] = first
+            else:
+                self.bins[chrom][bin_].append((first, last))
+        self.names = sorted(least, key=least.get)
 
     def body(self, names: list[str]) -> bytes:
         out = b""
@@ -92,7 +142,7 @@ class _Index:
             own, lin = self.bins.get(name, {}), self.linear.get(name, {})
             out += struct.pack("<i", len(own))
             for b, chunks in sorted(own.items()):
-                out += struct.pack("<Ii", b, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+                out += struct.pack("<Ii", b, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in sorted(chunks))
             n, at, filled = max(lin, default=-1) + 1, 0, []
             for w in range(n):
                 at = lin.get(w, at)
@@ -101,49 +151,80 @@ class _Index:
         return out
 
 
+def _put(path: str, starts: dict[int, int]):
+    """``mapInArrow`` over ``(part, off, blob)``: each blob at its place in the file, which is there already; done again
+    after a lost task it writes the same bytes to the same place."""
+
+    def run(batches):
+        for b in batches:
+            written = 0
+            with open(path, "r+b") as f:
+                for part, off, blob in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    f.seek(starts[part] + off)
+                    written += f.write(blob)
+            yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["written"])
+
+    return run
+
+
 def write(head: bytes, rows: DataFrame, path: str, kind: str, names: list[str] | None = None, force: bool = False) -> int:
     """``rows(ordinal, data, chrom, start, end)`` behind ``head`` as the file ``path``, with ``path + '.' + kind`` beside it.
 
     Records follow in order of ``ordinal``, which must be that of their places on each reference for the index to hold.
     ``kind`` is ``tbi`` (VCF text) or ``bai`` (BAM; ``names`` are its references). An existing file is an error unless
-    ``force``. Gives the number of records."""
+    ``force``; the file appears under its name when it is whole. Gives the number of records. The driver holds the size
+    of each part and the finished index, which grows with the references' lengths."""
     spark = rows.sparkSession
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-    where = fs.Path(path)
+    where, half = fs.Path(path), f"{path}.{uuid.uuid4().hex}.tmp"
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not force and system.exists(where):
         raise FileExistsError(path)
     dealt = rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("data", "chrom", "start", "end")
-    groups = dealt.mapInArrow(_packed, "blob binary, chrom array<string>, start array<long>, end array<long>, at array<int>")
+    groups = dealt.mapInArrow(_packed, "blob binary, off long, chrom array<string>, start array<long>, end array<long>, at array<int>")
     groups = materialize(groups.withColumn("n", F.monotonically_increasing_id()), "blocks")
-    index, address, n = _Index(), 0, 0
-    out = system.create(where, True)
-    try:
-        first = blocks(head)
-        out.write(bytearray(first))
-        address += len(first)
-        for g in groups.orderBy("n").toLocalIterator():
-            last = address + len(g.blob) << 16
-            for chrom, start, end, at in zip(g.chrom, g.start, g.end, g.at):
-                index.add(chrom, start, max(end, start + 1), address << 16 | at, last)
-                n += 1
-            out.write(bytearray(g.blob))
-            address += len(g.blob)
-        out.write(bytearray(END))
-    finally:
-        out.close()
+    part, size = F.shiftright("n", 33).alias("part"), F.octet_length("blob").cast("long").alias("size")
+    sizes = groups.groupBy(part).agg(F.sum(F.octet_length("blob")).alias("bytes"), F.sum(F.size("at")).alias("n")).orderBy("part").collect()  # a row for each part
+    first = blocks(head)
+    starts, end = {}, len(first)
+    for r in sizes:
+        starts[r.part], end = end, end + r.bytes
+    own = local(half)
+    if own is not None:
+        with open(own, "wb") as f:
+            f.write(first)
+            f.seek(end)
+            f.write(END)
+        written = groups.select(part, "off", "blob").mapInArrow(_put(own, starts), "written long").agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
+        if written != end - len(first):
+            raise OSError(f"{written} of {end - len(first)} bytes are in {path}")
+    else:
+        out = system.create(fs.Path(half), True)
+        try:
+            out.write(bytearray(first))
+            for g in groups.orderBy("n").select("blob").toLocalIterator():
+                out.write(bytearray(g.blob))
+            out.write(bytearray(END))
+        finally:
+            out.close()
+    marks = groups.select(part, "off", size, "chrom", "start", "end", "at").mapInArrow(_chunks(starts), "chrom string, bin long, first long, last long")
+    entries = marks.repartition("chrom", "bin").sortWithinPartitions("chrom", "bin", "first").mapInArrow(_merged, "chrom string, bin long, first long, last long")
+    index = _Index(map(tuple, entries.collect()))
     names = names if names is not None else index.names
     if kind == "tbi":
         text = b"".join(x.encode() + b"\0" for x in names)
         body = blocks(b"TBI\x01" + struct.pack("<8i", len(names), 2, 1, 2, 0, ord("#"), 0, len(text)) + text + index.body(names)) + END
     else:
         body = b"BAI\x01" + struct.pack("<i", len(names)) + index.body(names)
+    system.delete(where, False)
+    if not system.rename(fs.Path(half), where):
+        raise OSError(f"{half} cannot be renamed")
     beside = system.create(fs.Path(f"{path}.{kind}"), True)
     try:
         beside.write(bytearray(body))
     finally:
         beside.close()
-    return n
+    return sum(r.n for r in sizes)
 
 
 def local(path: str) -> str | None:

@@ -486,8 +486,10 @@ def test_contacts_extend_phase_sets(spark, tmp_path):
     assert (edges.count(), e.contacts, e.score, e.same, e.opposite, e.confidence) == (1, 20, -40.0, 0.0, 40.0, 1.0)
     got = {r.snp_idx: (r.delta, r.ps) for r in done.collect()}
     assert got == {0: (1, "10"), 1: (1, "10"), 2: (-1, "10"), 3: (-1, "10"), 4: (1, "80")}
-    with pytest.raises(ValueError):
-        contacts.component_sites(s, phases.withColumn("ps", F.when(F.col("snp_idx") > 0, F.col("ps"))))
+    with pytest.raises(Exception, match="must cover"):
+        contacts.component_sites(s, phases.withColumn("ps", F.when(F.col("snp_idx") > 0, F.col("ps")))).collect()
+    with pytest.raises(Exception, match="need observations"):
+        contacts.component_sites(s, phases.withColumn("ps", F.lit(None).cast("long"))).collect()
     bare = contacts.component_sites(s, phases.withColumn("ps", F.lit(None).cast("long")), phases.select("snp_idx", "ps"))
     assert bare.count() == 5 and math.isclose(Contact().alpha, 0.1)
 
