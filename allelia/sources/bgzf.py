@@ -191,6 +191,7 @@ def write(head: bytes, rows: DataFrame, path: str, kind: str, names: list[str] |
         starts[r.part], end = end, end + r.bytes
     own = local(half)
     if own is not None:
+        os.makedirs(os.path.dirname(os.path.abspath(own)), exist_ok=True)
         with open(own, "wb") as f:
             f.write(first)
             f.seek(end)
