@@ -38,6 +38,7 @@ def _all() -> dict[str, str]:
         "vcf_het_sites": f"""WITH {VARIANTS} SELECT row_number() OVER (ORDER BY pos) - 1 AS snp_idx, pos AS pos1, 'chr2:' || pos || ':' || ref || '>' || alt AS snp_id, chrom, upper(ref) AS ref, upper(alt) AS alt
             FROM variants WHERE chrom = 'chr2' AND pos BETWEEN 3000 AND 150000 AND {SINGLE} AND s2 IN ('0|1', '1|0', '0/1')""",
         "vcf_region_records": f"WITH {VARIANTS} SELECT chrom, pos, ref, alt, s1 AS gt FROM variants WHERE {INSIDE}",
+        "vcf_pushdown": f"WITH {VARIANTS} SELECT chrom, pos, ref, alt, s1 AS gt FROM variants WHERE {INSIDE} AND length(ref) = 1",
         "vcf_phase_calls": f"WITH {VARIANTS} SELECT chrom, pos, CAST(s2 = '1|0' AS BIGINT) AS phase, ref, alt, coalesce(ps, chrom) AS ps FROM variants WHERE length(alt) = 1 AND s2 IN ('0|1', '1|0')",
         "vcf_phased_export": f"""WITH {VARIANTS} SELECT chrom, pos, ref, alt, 'GT:PS' AS format, CASE WHEN k % 3 = 0 THEN '1|0' ELSE '0|1' END AS gt, {exported} AS ps
             FROM variants WHERE chrom = 'chr1' AND pos BETWEEN 8000 AND 90000 AND {SINGLE} AND k % 5 <> 2""",

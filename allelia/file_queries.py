@@ -17,7 +17,7 @@ from .operators import contacts, evaluate, observe, parity, risk
 from .operators.ranges import order_proof
 from .params import Contact, Observing
 from .plans.tables import folder, materialize
-from .sources import bam, bgzf, npz, sinks, tsv, vcf
+from .sources import bam, bgzf, indexed, npz, sinks, tsv, vcf
 
 #: Reads of the grounded alignments, and the contact settings that all of them pass.
 REGION = ("chr1", 5_000, 120_000)
@@ -99,6 +99,13 @@ def vcf_region_records(spark, sf_dir):
     return vcf.records(spark, vcf_file(spark, sf_dir), "S1", REGION).select("chrom", *q.big("pos"), "ref", "alt", "gt")
 
 
+def vcf_pushdown(spark, sf_dir):
+    """SQL over the file as a source: chromosome and positions of the predicate go to the index."""
+    view = f"records_{uuid.uuid4().hex}"
+    indexed.records(spark, vcf_file(spark, sf_dir), "S1", 1 << 14).createTempView(view)
+    return spark.sql(f"SELECT chrom, pos, ref, alt, split(call, ':')[0] AS gt FROM {view} WHERE chrom = '{REGION[0]}' AND pos BETWEEN {REGION[1]} AND {REGION[2]} AND length(ref) = 1")
+
+
 def vcf_phase_calls(spark, sf_dir):
     return evaluate.phase_calls(vcf.records(spark, vcf_file(spark, sf_dir), "S2")).select("chrom", *q.big("pos", "phase"), "ref", "alt", "ps")
 
@@ -308,7 +315,7 @@ def risk_summary(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        vcf_het_sites, vcf_region_records, vcf_phase_calls, vcf_phased_export, vcf_export_counts, bam_scan, bam_observations, bam_pileup, bam_pileup_depth, bam_pileup_columns, tsv_order, bam_counts, bam_anchors, tsv_observations, tsv_indexed,
+        vcf_het_sites, vcf_region_records, vcf_pushdown, vcf_phase_calls, vcf_phased_export, vcf_export_counts, bam_scan, bam_observations, bam_pileup, bam_pileup_depth, bam_pileup_columns, tsv_order, bam_counts, bam_anchors, tsv_observations, tsv_indexed,
         npz_graph, npz_pairs, tsv_parity_edges, tsv_phases, tsv_component_edges, tsv_orientations, tsv_metrics, elapsed_log, debug_edges, debug_soft_edges, site_names, read_entries, required_sites, component_sites, risk_summary,
     )
 }

@@ -242,40 +242,81 @@ def inflate(data: bytes) -> bytes:
     return out
 
 
-def tabix_ranges(path: str, chrom: str, start: int, end: int, split: int = 64 << 20) -> list[tuple[int, int]] | None:
-    """Virtual offsets [first, last) that hold all records over [start, end) of ``chrom``, cut about every ``split``
-    bytes; None without an index that can be opened here."""
+def read_tabix(path: str) -> dict[str, tuple[dict[int, list[tuple[int, int]]], tuple[int, ...]]] | None:
+    """Each reference's chunks by bin and first offsets by window; None without an index that can be opened here."""
     own = local(path)
     if own is None or not os.path.exists(own + ".tbi"):
         return None
     with open(own + ".tbi", "rb") as f:
         data = inflate(f.read())
     n_ref, text = struct.unpack_from("<i", data, 4)[0], struct.unpack_from("<i", data, 32)[0]
-    names, at = data[36 : 36 + text].split(b"\0")[:n_ref], 36 + text
+    names, at, out = data[36 : 36 + text].split(b"\0")[:n_ref], 36 + text, {}
     for name in names:
-        chunks, wanted = [], bins_over(start, max(end, start + 1))
+        bins = {}
         for _ in range(struct.unpack_from("<i", data, at)[0]):
             b, n = struct.unpack_from("<Ii", data, at + 4)
-            found = [struct.unpack_from("<QQ", data, at + 12 + 16 * k) for k in range(n)]
-            chunks += found if b in wanted else []
+            bins[b] = [struct.unpack_from("<QQ", data, at + 12 + 16 * k) for k in range(n)]
             at += 8 + 16 * n
-        at += 4
-        n = struct.unpack_from("<i", data, at)[0]
-        linear = struct.unpack_from(f"<{n}Q", data, at + 4)
-        at += 4 + 8 * n
-        if name.decode() != chrom:
-            continue
-        least = linear[min(start >> 14, n - 1)] if n else 0
-        chunks = [(max(a, least), z) for a, z in chunks if z > least]
-        if not chunks:
-            return []
-        first, last = min(a for a, _ in chunks), max(z for _, z in chunks)
-        cuts = [first]
-        for v in sorted({v for v in linear if first < v < last}):
-            if (v >> 16) - (cuts[-1] >> 16) >= split:
-                cuts.append(v)
-        return list(zip(cuts, [*cuts[1:], last]))
-    return []
+        n = struct.unpack_from("<i", data, at + 4)[0]
+        out[name.decode()] = bins, struct.unpack_from(f"<{n}Q", data, at + 8)
+        at += 8 + 8 * n
+    return out
+
+
+def _cut(first: int, last: int, offsets, split: int) -> list[tuple[int, int]]:
+    cuts = [first]
+    for v in sorted({v for v in offsets if first < v < last}):
+        if (v >> 16) - (cuts[-1] >> 16) >= split:
+            cuts.append(v)
+    return list(zip(cuts, [*cuts[1:], last]))
+
+
+def tabix_ranges(path: str, chrom: str, start: int, end: int, split: int = 64 << 20) -> list[tuple[int, int]] | None:
+    """Virtual offsets [first, last) that hold all records over [start, end) of ``chrom``, cut about every ``split``
+    bytes; None without an index that can be opened here."""
+    index = read_tabix(path)
+    if index is None:
+        return None
+    bins, linear = index.get(chrom, ({}, ()))
+    wanted = bins_over(start, max(end, start + 1))
+    least = linear[min(start >> 14, len(linear) - 1)] if linear else 0
+    chunks = [(max(a, least), z) for b, own in bins.items() if b in wanted for a, z in own if z > least]
+    return _cut(min(a for a, _ in chunks), max(z for _, z in chunks), linear, split) if chunks else []
+
+
+def whole_ranges(path: str, split: int = 64 << 20) -> list[tuple[int, int]]:
+    """Virtual offsets that hold the whole file, cut where its index, if there is one, has a record."""
+    offsets = [v for _, linear in (read_tabix(path) or {}).values() for v in linear]
+    return _cut(0, os.path.getsize(local(path)) << 16, offsets, split)
+
+
+def read_lines(path: str, first: int, last: int) -> tuple[list[int], list[str]]:
+    """Virtual offsets and texts of the lines of a BGZF file that start in [first, last)."""
+    ordinals, values = [], []
+    with open(path, "rb") as f:
+        f.seek(first >> 16)
+        address, skip, rest, begun = first >> 16, first & 0xFFFF, b"", first
+        while address << 16 < last or rest:
+            head = f.read(18)
+            if len(head) < 18:
+                break
+            size = struct.unpack_from("<H", head, 16)[0] + 1
+            data = zlib.decompress(f.read(size - 18)[:-8], -15)
+            at = skip
+            while at < len(data):
+                if not rest:
+                    begun = address << 16 | at
+                    if begun >= last:
+                        break
+                end = data.find(b"\n", at)
+                rest += data[at:] if end < 0 else data[at:end]
+                at = len(data) if end < 0 else end + 1
+                if end >= 0:
+                    ordinals.append(begun)
+                    values.append(rest.decode())
+                    rest = b""
+            address, skip = address + size, 0
+    return ordinals, values
 
 
 def lines_between(spark: SparkSession, path: str, ranges: list[tuple[int, int]]) -> DataFrame:
@@ -285,30 +326,7 @@ def lines_between(spark: SparkSession, path: str, ranges: list[tuple[int, int]])
     def run(batches):
         for b in batches:
             for first, last in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ordinals, values = [], []
-                with open(own, "rb") as f:
-                    f.seek(first >> 16)
-                    address, skip, rest, begun = first >> 16, first & 0xFFFF, b"", first
-                    while address << 16 < last or rest:
-                        head = f.read(18)
-                        if len(head) < 18:
-                            break
-                        size = struct.unpack_from("<H", head, 16)[0] + 1
-                        data = zlib.decompress(f.read(size - 18)[:-8], -15)
-                        at = skip
-                        while at < len(data):
-                            if not rest:
-                                begun = address << 16 | at
-                                if begun >= last:
-                                    break
-                            end = data.find(b"\n", at)
-                            rest += data[at:] if end < 0 else data[at:end]
-                            at = len(data) if end < 0 else end + 1
-                            if end >= 0:
-                                ordinals.append(begun)
-                                values.append(rest.decode())
-                                rest = b""
-                        address, skip = address + size, 0
+                ordinals, values = read_lines(own, first, last)
                 yield pa.RecordBatch.from_arrays([pa.array(ordinals, pa.int64()), pa.array(values, pa.string())], ["ordinal", "value"])
 
     rows = spark.createDataFrame(ranges, "first long, last long")

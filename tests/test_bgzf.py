@@ -118,3 +118,38 @@ def test_failed_write_leaves_the_old_file(spark, parts, tmp_path):
     assert open(path, "rb").read() == before
     with pytest.raises(FileExistsError):
         bgzf.write(b"#\n", frame(spark, lines(5)), path, "tbi")
+
+
+def test_predicates_reach_the_index(spark, parts, tmp_path):
+    """SQL over the source: rows as a scan gives them, fewer bytes planned, and what cannot be pushed is done by Spark."""
+    from allelia.sources import indexed
+
+    path, rnd = str(tmp_path / "calls.vcf.gz"), random.Random(3)
+    rows = [(i, c, p, p + 1, f"{c}\t{p + 1}\ts{i}\tA\tC\t.\tPASS\t{'x' * rnd.randrange(400)}\tGT\t0|1\t1|0\n") for i, (c, p) in enumerate((c, p) for c in ("1", "2", "3") for p in range(0, 900_000, 300))]
+    head = "##fileformat=VCFv4.2\n" + "##note=" + "y" * 200_000 + "\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2\n"
+    bgzf.write(head.encode(), frame(spark, rows), path, "tbi")
+    indexed.records(spark, path, "S2", 1 << 14).createOrReplaceTempView("calls")
+    for where, keep in (
+        ("chrom = '2' AND pos BETWEEN 300000 AND 360000", lambda c, p: c == "2" and 300_000 <= p <= 360_000),
+        ("chrom IN ('1', '3') AND pos > 899000 AND id LIKE '%7'", lambda c, p: c in "13" and p > 899_000),
+        ("pos <= 1000", lambda c, p: p <= 1000), ("chrom = '9'", lambda c, p: False), ("chrom = '1' AND pos > 10 AND pos < 5", lambda c, p: False), ("true", lambda c, p: True),
+    ):
+        want = sorted(r[4].split("\t")[2] for r in rows if keep(r[1], r[2] + 1) and ("LIKE" not in where or r[4].split("\t")[2].endswith("7")))
+        got = spark.sql(f"SELECT id, call FROM calls WHERE {where}").collect()
+        assert sorted(r.id for r in got) == want and {r.call for r in got} <= {"1|0"}, where
+
+    def planned(*filters):
+        reader = indexed.Reader(path, None, 1 << 14)
+        back = list(reader.pushFilters(list(filters)))
+        return back, sum((b.last >> 16) - (b.first >> 16) for b in reader.partitions())
+
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThanOrEqual
+
+    whole = planned()[1]
+    back, some = planned(EqualTo(("chrom",), "2"), GreaterThanOrEqual(("pos",), 300_000), LessThanOrEqual(("pos",), 360_000), EqualTo(("id",), "s1"))
+    assert back == [EqualTo(("id",), "s1")] and 0 < some < whole / 5
+    with pytest.raises(Exception, match="no sample"):
+        indexed.records(spark, path, "none").collect()
+    plan = spark.sql("SELECT * FROM calls WHERE chrom = '2' AND pos > 5 AND id = 's1'")._jdf.queryExecution().executedPlan().toString()
+    kept = "".join(x for x in plan.splitlines() if "Filter" in x and "BatchScan" not in x)
+    assert "id" in kept and "chrom" not in kept and "pos" not in kept, plan
