@@ -25,7 +25,7 @@ def db(sf_dir):
 
 def rows(names, found):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(tuple(r[i] for i in order) for r in found)
+    return sorted((tuple(r[i] for i in order) for r in found), key=lambda r: [(x is not None, x) for x in r])
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
