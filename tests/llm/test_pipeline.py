@@ -71,3 +71,16 @@ def test_stages_decide_row_by_row(spark, sf_dir):
     assert "Exchange" not in corpus_pipeline.language_id(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert after(corpus_pipeline.exact_dedup, docs) == sorted([(9, one), (5, two), (7, one + " and more"), (3, None)], key=str)
     assert after(corpus_pipeline.near_dedup, docs) == sorted([(5, one), (5, two), (3, None)], key=str)
+
+
+def test_stages_in_any_order_and_read_late(spark):
+    """No stage deletes what another has stored: results of several calls are read after all of them, and again."""
+    rows = [(i, f"text number {i % 3} token=abcdef1{i % 3} and more words", "en", "s", 1) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    a = corpus_pipeline.exact_dedup(spark, docs, "")
+    b = corpus_pipeline.secret_scan(spark, docs, "")
+    c = corpus_pipeline.near_dedup(spark, b, "")
+    d = corpus_pipeline.exact_dedup(spark, b, "")
+    e = corpus_pipeline.best_fit_packing(spark, c, "")
+    for _ in range(2):
+        assert e.count() == c.count() and d.count() == 3 and b.count() == 9 and a.count() == 3
