@@ -73,7 +73,7 @@ def extract(spark, a, p):
     sinks.write_tsv(reads, f"{a.out}.reads.tsv", ["read_idx"], a.force)
     sinks.write_tsv(sinks.metric_rows(counts), f"{a.out}.summary.tsv", None, a.force)
     if a.npz:
-        npz.write(rows, sites, reads, f"{a.out}.npz")
+        npz.write(rows, sites, reads, f"{a.out}.npz", a.force)
 
 
 def backbone(spark, a, p):
