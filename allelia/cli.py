@@ -17,7 +17,7 @@ from .functions.evidence import parse_region
 from .operators import blocks, contacts, observe, parity
 from .operators.select import read_components
 from .params import Params
-from .plans import phasing
+from .plans import debug, phasing
 from .plans.tables import materialize
 from .sources import bam, npz, sinks, tsv, vcf
 
@@ -96,8 +96,7 @@ def solve(spark, a, p):
     sinks.write_tsv(summary, f"{a.out}/config_metrics.tsv", None, a.force)
     print("\n".join(f"{k}\t{v}" for k, v in summary.first().asDict().items()))
     if a.debug:
-        sinks.write_tsv(sinks.edge_rows(found.classes, found.sites), f"{a.out}/debug/edges.tsv", ["snp_i", "snp_j"], a.force)
-        sinks.write_tsv(sinks.soft_edge_rows(found.classes, found.blocks), f"{a.out}/debug/soft_edges.tsv", ["snp_i", "snp_j"], a.force)
+        debug.write_debug(found, f"{a.out}/debug", a.force)
         for name in ("edges", "classes", "margins", "blocks", "hyper", "soft", "coupling", "samples"):
             getattr(found, name).write.mode("overwrite" if a.force else "errorifexists").parquet(f"{a.out}/debug/{name}")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .file_queries import DEPTH, REGION
-from .oracles import CONTACTS, EPS, classes, edges, obs, r6, sites
+from .oracles import CONTACTS, EPS, classes, edges, hyper, margin, obs, r6, sites, soft
 
 #: Fixed values of the grounded files, as the queries make them.
 VARIANTS = """variants AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'chr1' ELSE 'chr2' END AS chrom, (p_partkey + 1) * 100 AS pos, ['A', 'c', 'G'][p_partkey % 3 + 1] AS ref,
@@ -64,6 +64,15 @@ def _all() -> dict[str, str]:
         "tsv_indexed": f"WITH {obs()}, {NAMED} SELECT row_number() OVER (ORDER BY pos1) - 1 AS snp_idx, pos1, n, snp_id, 'chr1' AS chrom, 'A' AS ref, 'C' AS alt FROM (SELECT pos1, snp_id, count(*) AS n FROM named GROUP BY ALL)",
         "npz_graph": f"WITH {obs()}, {NAMED} SELECT read_id, dense_rank() OVER (ORDER BY snp_idx) - 1 AS snp_idx, pos1, {long('b', 'baseq')}, round(weight, 4) AS weight FROM named",
         "npz_pairs": f"WITH {obs()}, {NAMED} SELECT read_id, snp_id FROM named",
+        "npz_count": f"WITH {obs()}, {NAMED} SELECT count(*) AS n, CAST(sum(baseq) AS BIGINT) AS baseq FROM named",
+        "debug_pattern_matrix": f"WITH {hyper()} SELECT hyper, CAST(block AS BIGINT) AS block, {r6('value')} AS value FROM hyper",
+        "debug_row_pointers": f"""WITH {classes()}, {soft()}, cells AS (SELECT l AS b FROM soft UNION ALL SELECT r FROM soft), n AS (SELECT b, count(*) AS n FROM cells GROUP BY b),
+            every AS (SELECT CAST(unnest(range((SELECT max(block) + 2 FROM sites))) AS BIGINT) AS row)
+            SELECT row, CAST(coalesce(sum(n) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS indptr FROM every LEFT JOIN n ON b = row - 1""",
+        "debug_mapping": f"WITH {obs()}, {sites()}, {margin()} SELECT snp_idx, CAST(block AS BIGINT) AS block, CAST(tau AS BIGINT) AS tau, 'chr1:' || pos1 || ':A>C' AS snp_id, {r6('margin')} AS margin FROM margins JOIN sites USING (snp_idx)",
+        "debug_blocks": f"WITH {sites()} SELECT 'chr1' AS chrom, CAST(block AS BIGINT) AS phaselet_id, min(pos1) AS start, max(pos1) AS \"end\", count(*) AS n_snps FROM sites GROUP BY block",
+        "debug_patterns": f"WITH {hyper()} SELECT hyper AS hyperread_id, max(reads) AS support_reads, max(degree) AS degree, array_to_string(path, ',') AS path, array_to_string(signs, ',') AS signs, {r6('sum(abs(raw))')} AS raw_abs_weight FROM hyper GROUP BY hyper, path, signs",
+        "debug_pattern_edges": f"WITH {hyper()} SELECT hyper AS hyperread_id, CAST(block AS BIGINT) AS phaselet_id, {r6('raw')} AS raw_value, {r6('value')} AS normalized_value FROM hyper",
         "tsv_parity_edges": f"""WITH {edges()} SELECT i, j, cnt, (j - i) * 1000 AS distance_bp, {r6('score')} AS score, {r6('support')} AS support, {r6('CASE WHEN support > 0 THEN abs(score) / support ELSE 0 END')} AS confidence
             FROM edges WHERE (j - i) * 1000 <= 20000""",
         "tsv_phases": f"WITH {sites()} SELECT 'chr1:' || pos1 || ':A>C' AS snp_id, CAST(tau AS BIGINT) AS delta, CASE WHEN snp_idx % 4 > 1 THEN snp_idx // 7 END AS ps FROM sites",

@@ -16,6 +16,7 @@ from .functions.evidence import site_id, site_order, site_parts
 from .operators import contacts, evaluate, observe, parity, risk
 from .operators.ranges import order_proof
 from .params import Contact, Observing
+from .plans import debug
 from .plans.tables import folder, materialize
 from .sources import bam, bgzf, indexed, npz, sinks, tsv, vcf
 
@@ -208,16 +209,62 @@ def npz_graph(spark, sf_dir):
     # Every other site is one that no read shows.
     twice = s.withColumn("snp_idx", F.col("snp_idx") * 2)
     more = twice.unionByName(twice.withColumn("snp_idx", F.col("snp_idx") + 1).withColumn("snp_id", F.concat("snp_id", F.lit("x"))))
-    npz.write(o.withColumn("snp_idx", F.col("snp_idx") * 2), more, observe.read_index(o), bgzf.local(path))
-    rows, sites = npz.graph(spark, bgzf.local(path), True)
+    npz.write(o.withColumn("snp_idx", F.col("snp_idx") * 2), more, observe.read_index(o), path)
+    rows, sites = npz.graph(spark, path, True)
     return rows.join(sites.select("snp_idx", "pos1"), "snp_idx").select("read_id", *q.big("snp_idx", "pos1", "b", "baseq"), F.round("weight", 4).alias("weight"))
 
 
 def npz_pairs(spark, sf_dir):
     o, s = named(spark, sf_dir)
     o, path = materialize(o, "obs"), place(spark, "observations.npz")
-    npz.write(o, s, observe.read_index(o), bgzf.local(path))
-    return npz.pairs(npz.observations(spark, bgzf.local(path))[0])
+    npz.write(o, s, observe.read_index(o), path)
+    return npz.pairs(npz.observations(spark, path)[0])
+
+
+def npz_count(spark, sf_dir):
+    """The number of observations by the header of an archive, and the sum of one array that is read by ranges."""
+    o, s = named(spark, sf_dir)
+    o, path = materialize(o, "obs"), place(spark, "observations.npz")
+    npz.write(o, s, observe.read_index(o), path)
+    return npz.arrays(spark, path, ["baseq"], 4096).agg(F.sum("baseq").alias("baseq")).select(F.lit(npz.count(path)).cast("long").alias("n"), "baseq")
+
+
+def debug_pattern_matrix(spark, sf_dir):
+    hyper, path = materialize(q.hyper(spark, sf_dir), "hyper"), place(spark, "hyperread_matrix.npz")
+    debug.write_pattern_matrix(hyper, q.fixed_blocks(spark, sf_dir), path)
+    return npz.sparse(spark, path).select(F.col("row").alias("hyper"), F.col("column").alias("block"), q.r6("value").alias("value"))
+
+
+def debug_row_pointers(spark, sf_dir):
+    """Where each block's row begins among the coefficients of the coupling, rows without any included."""
+    soft, path = materialize(q.soft(spark, sf_dir), "soft"), place(spark, "soft_phaselet_coupling.npz")
+    debug.write_coupling(soft, q.fixed_blocks(spark, sf_dir), path)
+    return npz.arrays(spark, path, ["indptr"])
+
+
+def debug_mapping(spark, sf_dir):
+    """Blocks, signs and margins of the sites, by archives in their order."""
+    _, s = named(spark, sf_dir)
+    m = q.blocks.consistency_margin(q.matrix(spark, sf_dir), q.tau(spark, sf_dir))
+    rows, path = q.fixed_blocks(spark, sf_dir).join(q.tau(spark, sf_dir), "snp_idx").join(m, "snp_idx").join(s.select("snp_idx", "snp_id"), "snp_idx"), place(spark, "mapping.npz")
+    debug.write_by_site(rows, {"phaselet_ids": ("block", "<i4"), "tau": ("tau", "|i1"), "snp_ids": ("snp_id", "U"), "margin": ("margin", "<f8")}, path)
+    back = npz.arrays(spark, path, ["phaselet_ids", "tau", "snp_ids", "margin"])
+    return back.select(F.col("row").alias("snp_idx"), F.col("phaselet_ids").alias("block"), "tau", F.col("snp_ids").alias("snp_id"), q.r6("margin").alias("margin"))
+
+
+def debug_blocks(spark, sf_dir):
+    rows = debug.block_rows(q.fixed_blocks(spark, sf_dir), q.sites(spark, sf_dir))
+    return rows.select("chrom", *q.big("phaselet_id", "start", "end", "n_snps"))
+
+
+def debug_patterns(spark, sf_dir):
+    rows = debug.pattern_rows(q.hyper(spark, sf_dir))
+    return rows.select(*q.big("hyperread_id", "support_reads", "degree"), "path", "signs", q.r6(F.col("raw_abs_weight").cast("double")).alias("raw_abs_weight"))
+
+
+def debug_pattern_edges(spark, sf_dir):
+    rows = debug.pattern_edge_rows(q.hyper(spark, sf_dir))
+    return rows.select(*q.big("hyperread_id", "phaselet_id"), *(q.r6(F.col(c).cast("double")).alias(c) for c in ("raw_value", "normalized_value")))
 
 
 def tsv_parity_edges(spark, sf_dir):
@@ -316,6 +363,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         vcf_het_sites, vcf_region_records, vcf_pushdown, vcf_phase_calls, vcf_phased_export, vcf_export_counts, bam_scan, bam_observations, bam_pileup, bam_pileup_depth, bam_pileup_columns, tsv_order, bam_counts, bam_anchors, tsv_observations, tsv_indexed,
-        npz_graph, npz_pairs, tsv_parity_edges, tsv_phases, tsv_component_edges, tsv_orientations, tsv_metrics, elapsed_log, debug_edges, debug_soft_edges, site_names, read_entries, required_sites, component_sites, risk_summary,
+        npz_graph, npz_pairs, npz_count, tsv_parity_edges, tsv_phases, tsv_component_edges, tsv_orientations, tsv_metrics, elapsed_log, debug_edges, debug_soft_edges, debug_pattern_matrix, debug_row_pointers, debug_mapping, debug_blocks, debug_patterns, debug_pattern_edges, site_names, read_entries, required_sites, component_sites, risk_summary,
     )
 }
