@@ -48,14 +48,27 @@ def anchors(alignments: DataFrame, sites: DataFrame, p: Contact = Contact()) ->
         anchor_score(F.col("b.total"), F.col("mapq"), p.mapq_cap).alias("score"), "n_sites", "chrom", (F.col("start0") + 1).alias("start"), (F.col("start0") + span).alias("end"), "mapq", "ordinal")
 
 
-def component_edges(found: DataFrame, alpha: float = 0.1) -> DataFrame:
+#: Components of one molecule that are paired as one array; more are dealt into cells of about twice as many.
+CELL = 1000
+
+
+def component_edges(found: DataFrame, alpha: float = 0.1, cell: int = CELL) -> DataFrame:
     """``(ci, cj, score, abs_score, contacts, same, opposite, confidence)``: of each molecule and component the best
     anchor, the first of equals, and of each molecule all its pairs of components, ci below cj as text.
 
-    Pairs are made within a molecule's own short array, not by a join of all anchors."""
+    Pairs are made within short arrays, not by a join of all anchors. The components of a molecule with more than
+    ``cell`` are dealt into parts by hash, and each two parts, and each part by itself, are a cell of their own: no task
+    holds a whole molecule, and each component is in as many cells as there are parts."""
     best = found.groupBy("query_name", "component").agg(F.max_by(F.struct("sign", "score"), F.struct("score", -F.col("ordinal"))).alias("a"))
-    items = best.groupBy("query_name").agg(F.sort_array(F.collect_list(F.struct("component", "a.sign", "a.score"))).alias("x")).where(F.size("x") > 1)
-    pairs = items.select("x", F.posexplode("x").alias("_at", "one")).select("one", F.explode(F.slice("x", F.col("_at") + 2, F.size("x"))).alias("two"))
+    large = best.groupBy("query_name").agg(F.count("*").alias("_n")).where(F.col("_n") > cell)
+    parts = F.coalesce(F.ceil(F.col("_n") / cell), F.lit(1))
+    dealt = best.join(large, "query_name", "left").withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("component"), F.col("_parts")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    dealt = dealt.withColumn("_lo", F.least("_part", "_other")).withColumn("_hi", F.greatest("_part", "_other"))
+    cells = dealt.repartition("query_name", "_lo", "_hi").groupBy("query_name", "_lo", "_hi")
+    items = cells.agg(F.sort_array(F.collect_list(F.struct("component", "a.sign", "a.score", "_part"))).alias("x")).where(F.size("x") > 1)
+    pairs = items.select("x", (F.col("_lo") == F.col("_hi")).alias("_alone"), F.posexplode("x").alias("_at", "one")).select("_alone", "one", F.explode(F.slice("x", F.col("_at") + 2, F.size("x"))).alias("two"))
+    pairs = pairs.where(F.col("_alone") | (F.col("one._part") != F.col("two._part")))
     w = F.greatest(F.lit(float(alpha)), F.least("one.score", "two.score"))
     s = F.col("one.sign") * F.col("two.sign")
     rows = pairs.select(F.col("one.component").alias("ci"), F.col("two.component").alias("cj"), w.alias("w"), s.alias("s"))

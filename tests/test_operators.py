@@ -538,3 +538,23 @@ def test_key_value_files_are_whole_or_refused(spark, tmp_path):
     assert len(tsv.key_values(spark, path)) == 30 and tsv.key_values(spark, path + ".none") == {}
     with pytest.raises(ValueError, match="more than 20"):
         tsv.key_values(spark, path, 20)
+
+
+def test_molecules_of_many_components_are_paired_in_cells(spark):
+    rng = random.Random(5)
+    rows = [(f"m{m}", f"c{rng.randrange(60):02d}", rng.choice((-1, 1)), rng.randrange(1, 9) / 4, k) for k, m in enumerate([0] * 150 + [1] * 40 + [2] * 6 + [3])]
+    found = spark.createDataFrame(rows, "query_name string, component string, sign int, score double, ordinal long")
+    best = {}
+    for q, c, s, w, k in rows:
+        if (q, c) not in best or (w, -k) > best[q, c][:2]:
+            best[q, c] = w, -k, s
+    want = {}
+    for (q, a), (r, b) in itertools.product(best, best):
+        if q == r and a < b:
+            w, s = max(0.1, min(best[q, a][0], best[r, b][0])), best[q, a][2] * best[r, b][2]
+            old = want.get((a, b), (0.0, 0))
+            want[a, b] = old[0] + w * s, old[1] + 1
+    for cell in (7, 1000):
+        got = {(r.ci, r.cj): (r.score, r.contacts) for r in contacts.component_edges(found, cell=cell).collect()}
+        assert got == want
+    assert contacts.component_edges(found.limit(0)).count() == 0
