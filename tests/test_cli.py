@@ -2,6 +2,7 @@ import json
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import toy
@@ -39,6 +40,11 @@ def test_commands_end_to_end(spark, tmp_path):
         d = [int(r["delta"]) for r in tsv_rows(spark, out + ".snp_phases.tsv")]
         assert d == [1, 1, -1, -1]
     cli.main(["solve", "--observations", at("x.npz"), "--out", at("s"), "--debug", *small])
+    with np.load(at("s/debug/phaselet_mapping.npz")) as m, np.load(at("s/debug/read_consistency.npz")) as c, np.load(at("s/debug/hyperread_matrix.npz")) as h, np.load(at("s/debug/soft_phaselet_coupling.npz")) as k:
+        n = m["phaselet_ids"].max() + 1
+        assert len(m["tau"]) == len(m["ps"]) == len(c["margin"]) > 0 and m["snp_ids"].tolist() == c["snp_ids"].tolist() and set(m["tau"].tolist()) <= {-1, 1}
+        assert h["shape"][1] == n and k["shape"].tolist() == [n, n] and len(k["indptr"]) == n + 1 and h["indptr"][-1] == len(h["data"])
+    assert {x.name for x in (tmp_path / "s" / "debug").iterdir()} >= {"edges.tsv", "soft_edges.tsv", "phaselets.tsv", "hyperreads.tsv", "hyperread_edges.tsv"}
     assert {r["ps"] for r in tsv_rows(spark, at("s/snp_phases.tsv"))} == {"10"} and spark.read.parquet(at("s/debug/coupling")).count() == 6
     cli.main(["export", "--vcf", variants, "--phases", at("a.snp_phases.tsv"), "--observations", at("x.npz"), "--region", "chr1:1-1000", "--out", at("o.vcf")])
     assert [(r.gt, r.ps) for r in vcf.records(spark, at("o.vcf.gz")).orderBy("pos").collect()] == [("0|1", "10")] * 2 + [("1|0", "10")] * 2
