@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,32 @@ from ..operators.observe import dense_index
 from ..operators.parity import file_edges
 
 
+#: Bits of a row's place in its task, and bytes of a file's pieces that ordinals tell apart.
+_PLACE, _PIECE = 33, 1 << 16
+
+
+def _by_numbers(name: str) -> list:
+    """A key that sorts part 10 of a folder behind part 9."""
+    return [int(x) if x.isdigit() else x for x in re.split("([0-9]+)", name)]
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, blank lines left out, with ``_ordinal`` in file order."""
+    """All columns as text, blank lines left out, with ``_ordinal`` in file order: files by name, their numbers as numbers.
+
+    Spark deals out pieces of files by size, so a row's task says nothing about its place in the folder. Ordinals go by
+    file, piece of it and then row; the driver lists names and sizes. Pieces below 64 kB within a file are an error."""
     df = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
-    return df.withColumn("_ordinal", F.monotonically_increasing_id())
+    files, firsts, at = spark.read.format("binaryFile").load(path).select("_metadata.file_path", "_metadata.file_size").collect(), [], 0
+    for f in sorted(files, key=lambda f: _by_numbers(f.file_path)):
+        firsts.append((f.file_path, at))
+        at += f.file_size // _PIECE + 1
+    if at >> 63 - _PLACE:
+        raise ValueError(f"{path} is too large to number its rows")
+    start, length, size = (F.col(f"_metadata.file_{c}") for c in ("block_start", "block_length", "size"))
+    piece = F.when((length < _PIECE) & (start + length < size), F.raise_error(F.lit(f"pieces of {path} are too small to number its rows"))).otherwise(F.floor(start / _PIECE))
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), piece.cast("long").alias("_piece"), F.monotonically_increasing_id().alias("_row"))
+    ordinal = F.shiftleft(F.col("_first") + F.col("_piece"), _PLACE).bitwiseOR(F.col("_row").bitwiseAND(F.lit((1 << _PLACE) - 1)))
+    return rows.join(F.broadcast(spark.createDataFrame(firsts, "_file string, _first long")), "_file").select(*df.columns, ordinal.alias("_ordinal"))
 
 
 def observations(spark: SparkSession, path: str, weighted: bool = False, weight: str = "weight") -> DataFrame:
