@@ -65,8 +65,9 @@ def reads(spark, sf_dir) -> DataFrame:
     e = q.table(spark, sf_dir, "events")
     k = F.col("event_id")
     flag = F.when(k % 13 == 0, 1024).when(k % 17 == 0, 256).when(k % 19 == 0, 4).otherwise(F.when(k % 2 == 0, 0).otherwise(16))
-    seq = F.concat(*(F.substring(F.lit("ACGT"), (k * (7 + j) + j * j) % 4 + 1, F.lit(1)) for j in range(20)))
-    qual = F.unhex(F.concat(*(F.lpad(F.hex((k * 3 + j * 5) % 40 + 2), 2, "0") for j in range(20))))
+    # Bases (k * (7 + j) + j * j) % 4 and qualities (k * 3 + j * 5) % 40 + 2 at j come round after 4 and 40 reads.
+    seq = F.element_at(F.array(*(F.lit("".join("ACGT"[(r * (7 + j) + j * j) % 4] for j in range(20))) for r in range(4))), (k % 4 + 1).cast("int"))
+    qual = F.element_at(F.array(*(F.lit(bytes((r * 3 + j * 5) % 40 + 2 for j in range(20))) for r in range(40))), (k % 40 + 1).cast("int"))
     start = (k * 131) % 200_000
     return e.select(
         (start * F.lit(1 << 24) + k).alias("ordinal"), F.concat(F.lit("r"), (F.expr("event_id div 2")).cast("string"), F.lit("/"), (k % 2 + 1).cast("string")).alias("name"), flag.alias("flag"), F.lit("chr1").alias("chrom"),

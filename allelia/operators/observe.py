@@ -18,6 +18,8 @@ UNMAPPED, SECONDARY, SUPPLEMENTARY = 0x4, 0x100, 0x800
 QC_FAIL, DUPLICATE = 0x200, 0x400
 #: Flags of alignments that are in no column of a pileup; supplementary ones take up depth, but show nothing.
 PILED = UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE
+#: How many times finer the bins of short intervals are.
+FINE = 32
 
 
 def usable_alignments(alignments: DataFrame, min_mapq: int, skip: int = UNMAPPED | SECONDARY | SUPPLEMENTARY) -> DataFrame:
@@ -47,12 +49,16 @@ def aligned_blocks(alignments: DataFrame) -> DataFrame:
 def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str, point: str, keys: tuple[str, ...] = (), bin_size: int = 1 << 12) -> DataFrame:
     """Each interval [start, end) with each point in it, and equal ``keys``.
 
-    Both sides meet on fixed bins, an equi-join that any executor can take part in; a point has one bin, so no pair
-    comes twice. Intervals that span more bins are repeated for each."""
-    left = intervals.where(F.col(start) < F.col(end)).withColumn("_bin", F.explode(F.sequence(F.expr(f"{start} div {bin_size}"), F.expr(f"({end} - 1) div {bin_size}"))))
-    right = points.withColumn("_bin", F.expr(f"{point} div {bin_size}"))
-    joined = left.join(right, ["_bin", *keys]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
-    return joined.drop("_bin")
+    Both sides meet on fixed bins, an equi-join that any executor can take part in. Intervals up to a ``FINE``-th of
+    ``bin_size`` meet points in bins of that size, so that they are held against few of them; a point has one bin of
+    each size and an interval one size, so no pair comes twice. Intervals that span more bins are repeated for each."""
+    small = max(1, bin_size // FINE)
+    size = F.when(F.col(end) - F.col(start) <= small, small).otherwise(bin_size)
+    left = intervals.where(F.col(start) < F.col(end)).withColumn("_size", size).withColumn("_bin", F.explode(F.sequence(F.expr(f"{start} div _size"), F.expr(f"({end} - 1) div _size"))))
+    sizes = sorted({small, bin_size})
+    right = points.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("_bin", F.expr(f"{point} div _size"))
+    joined = left.join(right, ["_size", "_bin", *keys]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
+    return joined.drop("_size", "_bin")
 
 
 def last_site_at(sites: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,6 +20,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "ordinal long, name string, flag int, chrom string, start0 long, mapq int, cigar string, seq string, qual binary"
 _CIGAR, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"  # fixed values of the specification
 BATCH = 4096
+#: Bases are four bits each, so a hexadecimal digit of the record stands for one.
+_TO_BASES = bytes.maketrans(b"0123456789abcdef", _BASES.encode())
+_TO_DIGITS = bytes(b"0123456789abcdef"[_BASES.index(chr(x))] if chr(x) in _BASES else ord("?") for x in range(256))
+SPLIT = 1 << 20
 
 
 class _Blocks:
@@ -104,17 +109,34 @@ class BamPartition(InputPartition):
         self.first, self.last, self.number = first, last, number
 
 
+@lru_cache(4096)
+def _cigar(packed: bytes) -> tuple[str, int]:
+    """The text of a packed CIGAR and the length of reference that it covers."""
+    ops = struct.unpack(f"<{len(packed) // 4}I", packed)
+    return "".join(f"{o >> 4}{_CIGAR[o & 15]}" for o in ops), sum(o >> 4 for o in ops if _CIGAR[o & 15] in "MDN=X")
+
+
+@lru_cache(4096)
+def _packed_cigar(cigar: str) -> tuple[bytes, int]:
+    """:func:`_cigar` the other way."""
+    ops = [(int(n), _CIGAR.index(c)) for n, c in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)]
+    return struct.pack(f"<{len(ops)}I", *(n << 4 | c for n, c in ops)), sum(n for n, c in ops if _CIGAR[c] in "MDN=X")
+
+
+def _packed_bases(seq: str) -> bytes:
+    return bytes.fromhex((seq.encode().translate(_TO_DIGITS) + b"0" * (len(seq) % 2)).decode())
+
+
 def _record(data: bytes, names: list[str], ordinal: int) -> tuple:
     ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", data, 0)
     at = 32 + l_name
     name = data[32 : at - 1].decode()
-    ops = struct.unpack_from(f"<{n_cigar}I", data, at)
+    cigar = _cigar(data[at : at + 4 * n_cigar])[0]
     at += 4 * n_cigar
-    packed = data[at : at + (l_seq + 1) // 2]
-    seq = "".join(_BASES[x >> 4] + _BASES[x & 15] for x in packed)[:l_seq]
+    seq = data[at : at + (l_seq + 1) // 2].hex().encode().translate(_TO_BASES)[:l_seq].decode()
     at += (l_seq + 1) // 2
     qual = data[at : at + l_seq]
-    return ordinal, name, flag, names[ref] if ref >= 0 else None, pos, mapq, "".join(f"{o >> 4}{_CIGAR[o & 15]}" for o in ops), seq, None if qual[:1] == b"\xff" else qual
+    return ordinal, name, flag, names[ref] if ref >= 0 else None, pos, mapq, cigar, seq, None if qual[:1] == b"\xff" else qual
 
 
 class BamReader(DataSourceReader):
@@ -164,7 +186,7 @@ class BamReader(DataSourceReader):
                 chrom, start, end = self.region
                 if row[3] == chrom and row[4] >= end:
                     break  # sorted by position
-                span = sum(int(x >> 4) for x in struct.unpack_from(f"<{struct.unpack_from('<H', data, 12)[0]}I", data, 32 + data[8]) if _CIGAR[x & 15] in "MDN=X")
+                span = _cigar(data[32 + data[8] : 32 + data[8] + 4 * struct.unpack_from("<H", data, 12)[0]])[1]
                 if row[3] != chrom or row[4] + max(1, span) <= start:
                     continue
             rows.append(row)
@@ -186,14 +208,14 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options["path"].removeprefix("file://"), self.options.get("region"), int(self.options.get("splitbytes", 64 << 20)))
+        return BamReader(self.options["path"].removeprefix("file://"), self.options.get("region"), int(self.options.get("splitbytes", SPLIT)))
 
 
 def register(spark) -> None:
     spark.dataSource.register(BamSource)
 
 
-def alignments(spark, path: str, region: str | None = None, split_bytes: int = 64 << 20):
+def alignments(spark, path: str, region: str | None = None, split_bytes: int = SPLIT):
     """Alignments of a file or region; ``qual`` as an array of integers, null where the file has none."""
     from pyspark.sql import functions as F
 
@@ -211,12 +233,11 @@ def encoded(rows, names: list[str]):
         for b in batches:
             data, ends = [], []
             for name, flag, chrom, start, mapq, cigar, seq, qual in zip(*(b.column(k).to_pylist() for k in range(1, 9))):
-                ops = [(int(n), _CIGAR.index(c)) for n, c in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)]
-                codes = [_BASES.index(x) for x in seq] + [0] * (len(seq) % 2)
-                body = struct.pack("<iiBBHHHiiii", place.get(chrom, -1), start, len(name) + 1, mapq, 0, len(ops), flag, len(seq), -1, -1, 0) + name.encode() + b"\0"
-                body += struct.pack(f"<{len(ops)}I", *(n << 4 | c for n, c in ops)) + bytes(x << 4 | y for x, y in zip(codes[::2], codes[1::2])) + (qual if qual is not None else b"\xff" * len(seq))
+                ops, span = _packed_cigar(cigar)
+                body = struct.pack("<iiBBHHHiiii", place.get(chrom, -1), start, len(name) + 1, mapq, 0, len(ops) // 4, flag, len(seq), -1, -1, 0) + name.encode() + b"\0"
+                body += ops + _packed_bases(seq) + (qual if qual is not None else b"\xff" * len(seq))
                 data.append(struct.pack("<i", len(body)) + body)
-                ends.append(start + max(1, sum(n for n, c in ops if _CIGAR[c] in "MDN=X")))
+                ends.append(start + max(1, span))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary()), b.column(3), b.column(4), pa.array(ends, pa.int64())], ["ordinal", "data", "chrom", "start", "end"])
 
     kept = rows.selectExpr("cast(ordinal as long) ordinal", "name", "cast(flag as int) flag", "chrom", "cast(start0 as long) start0", "cast(mapq as int) mapq", "cigar", "seq", "qual")
@@ -232,4 +253,4 @@ def write(rows, path: str, references: list[tuple[str, int]], force: bool = Fals
     for name, size in references:
         head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
     names = [x for x, _ in references]
-    return bgzf.write(head, encoded(rows, names), path, "bai", names, force)
+    return bgzf.write(head, rows, path, "bai", names, force, lambda dealt: encoded(dealt, names))

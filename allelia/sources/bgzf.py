@@ -14,7 +14,7 @@ import struct
 import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +56,10 @@ _GROUP = pa.schema([("blob", pa.binary()), ("off", pa.int64()), ("chrom", pa.lis
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of whole records as whole blocks: where each begins among the blocks of its task, and where each record
     starts in its group and on its reference."""
-    held, marks, off = b"", [], 0
+    held, marks, off = bytearray(), [], 0
 
     def group(off: int) -> pa.RecordBatch:
-        cols = [[blocks(held)], [off], *([list(x)] for x in zip(*marks))]
+        cols = [[blocks(bytes(held))], [off], *([list(x)] for x in zip(*marks))]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _GROUP)], schema=_GROUP)
 
     for b in batches:
@@ -68,7 +68,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out = group(off)
                 yield out
                 off += len(out.column(0)[0].as_py())
-                held, marks = b"", []
+                held, marks = bytearray(), []
             marks.append((chrom, start, end, len(held)))
             held += data
     if held:
@@ -167,9 +167,12 @@ def _put(path: str, starts: dict[int, int]):
     return run
 
 
-def write(head: bytes, rows: DataFrame, path: str, kind: str, names: list[str] | None = None, force: bool = False) -> int:
+def write(head: bytes, rows: DataFrame, path: str, kind: str, names: list[str] | None = None, force: bool = False, encode: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """``rows(ordinal, data, chrom, start, end)`` behind ``head`` as the file ``path``, with ``path + '.' + kind`` beside it.
 
+    With ``encode``, which must keep rows in their tasks and order, those are its columns of ``rows(ordinal, ...)``: it
+    runs once, behind the exchange, and not for the sample of the ranges as well.
+
     Records follow in order of ``ordinal``, which must be that of their places on each reference for the index to hold.
     ``kind`` is ``tbi`` (VCF text) or ``bai`` (BAM; ``names`` are its references). An existing file is an error unless
     ``force``; the file appears under its name when it is whole. Gives the number of records. The driver holds the size
@@ -180,7 +183,10 @@ def write(head: bytes, rows: DataFrame, path: str, kind: str, names: list[str] |
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not force and system.exists(where):
         raise FileExistsError(path)
-    dealt = rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("data", "chrom", "start", "end")
+    # A number of ranges, as adaptive execution would go by bytes, which say little of the work.
+    ranges = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(ranges, "ordinal").sortWithinPartitions("ordinal")
+    dealt = (encode(dealt) if encode else dealt).select("data", "chrom", "start", "end")
     groups = dealt.mapInArrow(_packed, "blob binary, off long, chrom array<string>, start array<long>, end array<long>, at array<int>")
     groups = materialize(groups.withColumn("n", F.monotonically_increasing_id()), "blocks")
     part, size = F.shiftright("n", 33).alias("part"), F.octet_length("blob").cast("long").alias("size")
