@@ -42,9 +42,13 @@ def with_confidence(edges: DataFrame) -> DataFrame:
     return edges.withColumn("confidence", confidence(F.col("score"), F.col("support")))
 
 
-def read_site_matrix(obs: DataFrame, weighted: bool = False) -> DataFrame:
-    """``(read_id, snp_idx, v)``: summed signed weight; repeated observations add up."""
+def read_site_matrix(obs: DataFrame, weighted: bool = False, unique: bool = False) -> DataFrame:
+    """``(read_id, snp_idx, v)``: summed signed weight; repeated observations add up.
+
+    With ``unique`` there are none, as ``best_per_read_site`` leaves it, and no task holds tables of its reads to see that."""
     value = F.col("weight") * F.col("b") if weighted else F.col("b").cast("double")
+    if unique:
+        return obs.select("read_id", "snp_idx", value.alias("v"))
     return obs.groupBy("read_id", "snp_idx").agg(F.sum(value).alias("v"))
 
 

@@ -76,7 +76,7 @@ def classes(spark, sf_dir, kind="dense", hard=Hard(), soft=Soft()) -> DataFrame:
 
 
 def matrix(spark, sf_dir, kind="dense", weighted=False) -> DataFrame:
-    return parity.read_site_matrix(obs(spark, sf_dir, kind), weighted)
+    return parity.read_site_matrix(obs(spark, sf_dir, kind), weighted, unique=True)
 
 
 def projected(spark, sf_dir) -> DataFrame:
