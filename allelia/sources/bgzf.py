@@ -50,57 +50,32 @@ def bins_over(start: int, end: int) -> set[int]:
     return {0} | {first + k for shift, first in LEVELS for k in range(start >> shift, (end - 1 >> shift) + 1)}
 
 
-_GROUP = pa.schema([("blob", pa.binary()), ("off", pa.int64()), ("chrom", pa.list_(pa.string())), ("start", pa.list_(pa.int64())), ("end", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+_GROUP = pa.schema([("blob", pa.binary()), ("off", pa.int64()), ("records", pa.int64()), ("chrom", pa.list_(pa.string())), ("bin", pa.list_(pa.int64())), ("at", pa.list_(pa.int64()))])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of whole records as whole blocks: where each begins among the blocks of its task, and where each record
-    starts in its group and on its reference."""
-    held, marks, off = bytearray(), [], 0
+    """Groups of whole records as whole blocks: where each begins among the blocks of its task, the number of its records,
+    and where in it the first record of each bin starts, and with bin -1 - w the first of window w."""
+    held, found, n, off = bytearray(), {}, 0, 0
 
-    def group(off: int) -> pa.RecordBatch:
-        cols = [[blocks(bytes(held))], [off], *([list(x)] for x in zip(*marks))]
+    def group() -> pa.RecordBatch:
+        cols = [[blocks(bytes(held))], [off], [n], [[c for c, _ in found]], [[k for _, k in found]], [[*found.values()]]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _GROUP)], schema=_GROUP)
 
     for b in batches:
         for data, chrom, start, end in zip(*(b.column(k).to_pylist() for k in range(4))):
             if held and len(held) + len(data) > MOST:
-                out = group(off)
+                out = group()
                 yield out
                 off += len(out.column(0)[0].as_py())
-                held, marks = bytearray(), []
-            marks.append((chrom, start, end, len(held)))
+                held, found, n = bytearray(), {}, 0
+            end = max(end, start + 1)
+            for k in (bin_of(start, end), *range(-1 - (end - 1 >> 14), -(start >> 14))):
+                found.setdefault((chrom, k), len(held))
+            n += 1
             held += data
     if held:
-        yield group(off)
-
-
-def _chunks(starts: dict[int, int]):
-    """``mapInArrow`` over ``(part, off, blob, chrom, start, end, at)``: the index entries of each group, ``(chrom, bin,
-    first, last)``, and with bin -1 - w the first record of window w."""
-
-    def run(batches):
-        for b in batches:
-            found: dict[tuple[str, int], list[int]] = {}
-            out = []
-            for part, off, size, *marks in zip(*(b.column(k).to_pylist() for k in range(7))):
-                address = starts[part] + off
-                last = address + size << 16
-                for chrom, start, end, at in zip(*marks):
-                    first, end = address << 16 | at, max(end, start + 1)
-                    key = chrom, bin_of(start, end)
-                    if key in found:
-                        found[key][1] = last
-                    else:
-                        found[key] = [first, last]
-                    for w in range(start >> 14, (end - 1 >> 14) + 1):
-                        found.setdefault((chrom, -1 - w), [first, last])
-                out += [(*k, *v) for k, v in found.items()]  # one chunk of a bin for each group: blocks are not cut
-                found = {}
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["chrom", "bin", "first", "last"])
-
-    return run
+        yield group()
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,19 +127,15 @@ class _Index:
 
 
 def _put(path: str, starts: dict[int, int]):
-    """``mapInArrow`` over ``(part, off, blob)``: each blob at its place in the file, which is there already; done again
-    after a lost task it writes the same bytes to the same place."""
+    """A function of ``(part, off, blob)``: each blob at its place in the file, which is there already; done again after a
+    lost task it writes the same bytes to the same place. Pickled rows come by the hundred, Arrow batches by thousands."""
 
-    def run(batches):
-        for b in batches:
-            written = 0
-            with open(path, "r+b") as f:
-                for part, off, blob in zip(*(b.column(k).to_pylist() for k in range(3))):
-                    f.seek(starts[part] + off)
-                    written += f.write(blob)
-            yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["written"])
+    def run(part, off, blob):
+        with open(path, "r+b") as f:
+            f.seek(starts[part] + off)
+            return f.write(blob)
 
-    return run
+    return F.udf(run, "long", useArrow=False)
 
 
 def write(head: bytes, rows: DataFrame, path: str, kind: str, names: list[str] | None = None, force: bool = False, encode: Callable[[DataFrame], DataFrame] | None = None) -> int:
@@ -187,10 +158,10 @@ def write(head: bytes, rows: DataFrame, path: str, kind: str, names: list[str] |
     ranges = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(ranges, "ordinal").sortWithinPartitions("ordinal")
     dealt = (encode(dealt) if encode else dealt).select("data", "chrom", "start", "end")
-    groups = dealt.mapInArrow(_packed, "blob binary, off long, chrom array<string>, start array<long>, end array<long>, at array<int>")
+    groups = dealt.mapInArrow(_packed, "blob binary, off long, records long, chrom array<string>, bin array<long>, at array<long>")
     groups = materialize(groups.withColumn("n", F.monotonically_increasing_id()), "blocks")
     part, size = F.shiftright("n", 33).alias("part"), F.octet_length("blob").cast("long").alias("size")
-    sizes = groups.groupBy(part).agg(F.sum(F.octet_length("blob")).alias("bytes"), F.sum(F.size("at")).alias("n")).orderBy("part").collect()  # a row for each part
+    sizes = groups.groupBy(part).agg(F.sum(F.octet_length("blob")).alias("bytes"), F.sum("records").alias("n")).orderBy("part").collect()  # a row for each part
     first = blocks(head)
     starts, end = {}, len(first)
     for r in sizes:
@@ -202,7 +173,7 @@ def write(head: bytes, rows: DataFrame, path: str, kind: str, names: list[str] |
             f.write(first)
             f.seek(end)
             f.write(END)
-        written = groups.select(part, "off", "blob").mapInArrow(_put(own, starts), "written long").agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
+        written = groups.select(_put(own, starts)(part, "off", "blob").alias("written")).agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
         if written != end - len(first):
             raise OSError(f"{written} of {end - len(first)} bytes are in {path}")
     else:
@@ -214,7 +185,10 @@ def write(head: bytes, rows: DataFrame, path: str, kind: str, names: list[str] |
             out.write(bytearray(END))
         finally:
             out.close()
-    marks = groups.select(part, "off", size, "chrom", "start", "end", "at").mapInArrow(_chunks(starts), "chrom string, bin long, first long, last long")
+    # One chunk of a bin for each group: blocks are not cut.
+    marks = groups.select(part, "off", size, F.explode(F.arrays_zip("chrom", "bin", "at")).alias("m")).join(F.broadcast(spark.createDataFrame([*starts.items()], "part long, begun long")), "part")
+    address = F.col("begun") + F.col("off")
+    marks = marks.select("m.chrom", "m.bin", F.shiftleft(address, 16).bitwiseOR(F.col("m.at")).alias("first"), F.shiftleft(address + F.col("size"), 16).alias("last"))
     entries = marks.repartition("chrom", "bin").sortWithinPartitions("chrom", "bin", "first").mapInArrow(_merged, "chrom string, bin long, first long, last long")
     index = _Index(map(tuple, entries.collect()))
     names = names if names is not None else index.names
