hyperreads_adaptive_dom_cap, hyperreads_cap: store patterns once, number them before degrees

Symptom: with sf0.1 the queries wrote 63 and 54 MB of shuffle and read 78 and 74 MB (the profiler), many times the lineitem file of 10.8 MB.
Evidence: in the event log reads were dealt out and collapsed twice, patterns four times (5.5 MB each), then by block with their arrays (6 MB), once more for a distinct (3 MB) and in the join with their numbers with all derived columns (8 MB).
Fix: pattern_ids and hyper_matrix store what they read twice, a pattern's row of its least block replaces the distinct, numbers are joined before degrees and norms are added, and degrees of blocks are stored so that Spark knows their size when it plans the join (a shuffle without the arrays beyond its own limit).

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.evidence import canonical, capped_by_domination, normalized
 from ..params import Collapse
+from ..plans.tables import materialize
 from .observe import dense_index
 
 
@@ -42,17 +43,23 @@ def hyper_matrix(pats: DataFrame, p: Collapse = Collapse()) -> DataFrame:
     """Patterns with degrees, domination and the normalised ``value``.
 
     The degree of a pattern is the length of its path, as none of its values is zero; those of blocks are aggregates
-    joined back, so that a block in most patterns is no single task."""
+    joined back, so that a block in most patterns is no single task. Patterns are stored, as they are read twice, and so
+    are the blocks' aggregates: their size is then known where Spark chooses whether the join deals the patterns out."""
+    pats = materialize(pats, "patterns")
     per = pats.groupBy("block").agg(F.count("*").alias("block_degree"), F.sum(F.abs("raw")).alias("block_total"))
-    m = pats.join(per, "block").withColumn("degree", F.size("path")).withColumn("domination", F.abs("raw") / F.col("block_total"))
+    m = pats.withColumn("degree", F.size("path")).join(materialize(per, "degrees"), "block").withColumn("domination", F.abs("raw") / F.col("block_total"))
     value = normalized(F.col("raw"), F.col("reads"), F.col("degree"), F.col("block_degree"), F.col("domination"), p)
     return m.withColumn("value", value).withColumn("capped", capped_by_domination(F.col("domination"), p))
 
 
-def pattern_ids(matrix: DataFrame) -> DataFrame:
-    """``matrix`` with ``hyper``: patterns numbered from 0 by path, then signs."""
-    ids = dense_index(matrix.select("path", "signs").distinct(), ["path", "signs"], "hyper")
-    return matrix.join(ids, ["path", "signs"])
+def pattern_ids(pats: DataFrame) -> DataFrame:
+    """``pats`` with ``hyper``: patterns numbered from 0 by path, then signs.
+
+    A pattern has one row for each block of its path, so that of its least block stands for it. The rows are read twice,
+    hence stored; what is reckoned from them is better added behind this, as all columns are dealt out to meet their number."""
+    pats = materialize(pats, "patterns")
+    ids = dense_index(pats.where(F.col("block") == F.array_min("path")).select("path", "signs"), ["path", "signs"], "hyper")
+    return pats.join(ids, ["path", "signs"])
 
 
 def pattern_rows(matrix: DataFrame) -> DataFrame:

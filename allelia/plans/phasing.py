@@ -70,7 +70,7 @@ def phase(obs: DataFrame, sites: DataFrame, p: Params = Params(), validation: Da
     found = materialize(blocks.numbered_blocks(blocks.relaxed_blocks(sites, classes, margins)), "blocks")
     train_matrix = parity.read_site_matrix(train, p.weighted)
     vectors = collapse.read_vectors(collapse.projection(train_matrix, tau, found))
-    hyper = materialize(collapse.pattern_ids(collapse.hyper_matrix(collapse.patterns(vectors), p.collapse)), "hyper")
+    hyper = materialize(collapse.hyper_matrix(collapse.pattern_ids(collapse.patterns(vectors)), p.collapse), "hyper")
     soft = materialize(coupling.soft_coupling(classes, found, p.soft), "soft")
     count = lambda df, c: (lambda top: 0 if top is None else top + 1)(df.agg(F.max(c)).first()[0])
     n_hyper, n_blocks = count(hyper, "hyper"), count(found, "block")

@@ -253,12 +253,9 @@ def single_profile(spark, sf_dir):
     return s.select(*big("single_reads", "multi_reads"), r6("single_constant").alias("single_constant"))
 
 
-def unnumbered(spark, sf_dir, norm="sqrt_cap"):
-    return collapse.hyper_matrix(collapse.patterns(collapse.read_vectors(projected(spark, sf_dir))), Collapse(norm=norm, **CAP))
-
-
 def hyper(spark, sf_dir, norm="sqrt_cap"):
-    return collapse.pattern_ids(unnumbered(spark, sf_dir, norm))
+    numbered = collapse.pattern_ids(collapse.patterns(collapse.read_vectors(projected(spark, sf_dir))))
+    return collapse.hyper_matrix(numbered, Collapse(norm=norm, **CAP))
 
 
 def hyperreads(norm: str):
@@ -402,7 +399,7 @@ def chunking(spark, sf_dir):
 
 def solver(spark, sf_dir):
     """All blocks of the dense grounding with a candidate each; held against exact optima in the tests."""
-    h = materialize(collapse.pattern_ids(materialize(unnumbered(spark, sf_dir), "patterns")), "hyper")
+    h = materialize(hyper(spark, sf_dir), "hyper")
     n = h.agg(F.max("hyper")).first()[0]
     n_hyper = 0 if n is None else n + 1
     n_blocks = labels(spark, sf_dir).count()
