@@ -1,13 +1,14 @@
 """What is dealt out between tasks, and that odd rows still give what plain loops say."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from allelia import queries
-from allelia.operators import collapse
+from allelia.operators import collapse, coupling
 from allelia.params import Collapse
 
 
@@ -77,3 +78,34 @@ def test_no_patterns(spark):
     none = spark.createDataFrame([(1, 0, 1.0), (2, 3, 1.0)], "read_id long, block int, v double")
     m = collapse.hyper_matrix(collapse.pattern_ids(collapse.patterns(collapse.read_vectors(none))))
     assert m.count() == 0 and {"hyper", "value", "domination"} <= set(m.columns)
+
+
+def test_candidates_of_patterns_are_added_up_by_block(spark, capsys):
+    """Repeated rows, nulls, blocks and patterns that only one side has; against a plain loop over all triples."""
+    rnd = random.Random(5)
+    some = lambda n, *values: [tuple(rnd.choice(v) for v in values) for _ in range(n)]
+    ids, blocks, cands, signs = [None, *range(12)], [None, *range(5)], [None, 0, 1, 2], [None, -1, 1]
+    hyper = some(60, ids, blocks, [None, 0.0, 0.5, -1.5, 2.0])
+    samples, eta = some(25, blocks, cands, signs), [*some(50, ids, cands, signs), (40, 3, 1)]
+    samples += samples[:4] + [(0, 7, 1), (9, 3, 1)]
+    eta += eta[:6]
+    soft = [(0, 1, 0.5), (1, 2, -2.0), (None, 2, 1.0), (0, 2, None), (3, 77, 1.0)]
+    want, eq = {}, lambda a, b: a is not None and a == b
+
+    def add(cand, *factors):
+        want[cand] = want.get(cand, 0.0) + (0.0 if None in factors else factors[0] * factors[1] * factors[2])
+
+    for h, b, v in hyper:
+        for sb, c, z in samples:
+            for eh, ec, s in eta:
+                if eq(h, eh) and eq(b, sb) and eq(c, ec):
+                    add(c, v, z, s)
+    for left, right, w in soft:
+        for lb, c, z in samples:
+            for rb, rc, y in samples:
+                if eq(left, lb) and eq(right, rb) and eq(c, rc):
+                    add(c, w, z, y)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    found = coupling.compressed_score(frame(hyper, "hyper long, block int, value double"), frame(soft, "l int, r int, coeff double"), frame(samples, "block int, cand int, z int"), frame(eta, "hyper long, cand int, s int"))
+    assert len(want) >= 3 and {r.cand: r.score for r in found.collect()} == {c: pytest.approx(v) for c, v in want.items()}
+    assert not re.search(r"hashpartitioning\(hyper#\d+L?, cand", plan(found, capsys))  # a row for each pattern and candidate, before
